@@ -57,8 +57,3 @@ def ngrams(words: Column, n: int) -> Column:
             lambda start: F.array_join(F.slice(words, start, F.lit(n)), " "),
         ),
     ).otherwise(F.array().cast("array<string>"))
-
-
-def digest(text: Column) -> Column:
-    """Fixed-width stand-in for a long string, so that distinct counts shuffle 32 bytes."""
-    return F.unhex(F.sha2(text, 256))

@@ -95,15 +95,14 @@ def comparable(df: DataFrame, column: str) -> Column:
     return present(df, column)
 
 
-def row_digest(df: DataFrame) -> Column:
-    """128 bits that tell rows apart without shuffling the rows themselves.
+def row_key(df: DataFrame) -> Column:
+    """All values of a row as one struct, its NULL pattern first.
 
-    Hash functions skip NULLs, so the NULL pattern is hashed next to the values; the two
-    halves start from different seeds.
+    Hash functions skip NULLs, so without the pattern (NULL, 1) and (1, NULL) would hash
+    alike.
     """
     values = [comparable(df, c) for c in df.columns]
-    nulls = [v.isNull() for v in values]
     return F.struct(
-        F.xxhash64(F.lit(1), *nulls, *values).alias("a"),
-        F.xxhash64(F.lit(2), *nulls, *values).alias("b"),
+        *[v.isNull().alias(f"m{i}") for i, v in enumerate(values)],
+        *[v.alias(f"v{i}") for i, v in enumerate(values)],
     )
