@@ -1,0 +1,230 @@
+"""Forward and backward pass of a small feed-forward network on one batch of rows.
+
+All trainable numbers live in one flat vector so that Spark can average them as a vector.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+
+_erf = np.frompyfunc(math.erf, 1, 1)
+
+
+def _sigmoid(x):
+    return np.where(x >= 0, 1 / (1 + np.exp(-np.abs(x))), np.exp(-np.abs(x)) / (1 + np.exp(-np.abs(x))))
+
+
+def _normal_cdf(x):
+    return 0.5 * (1 + _erf(x / math.sqrt(2)).astype(float))
+
+
+# Fixed values of the self-normalising activation.
+SELU_ALPHA = 1.6732632423543772
+SELU_SCALE = 1.0507009873554805
+
+# name -> (value of x, slope at x)
+ACTIVATIONS = {
+    "relu": (lambda x: np.maximum(x, 0), lambda x: (x > 0).astype(float)),
+    "leaky_relu": (lambda x: np.where(x > 0, x, 0.01 * x), lambda x: np.where(x > 0, 1.0, 0.01)),
+    "elu": (lambda x: np.where(x > 0, x, np.expm1(np.minimum(x, 0))),
+            lambda x: np.where(x > 0, 1.0, np.exp(np.minimum(x, 0)))),
+    "gelu": (lambda x: x * _normal_cdf(x),
+             lambda x: _normal_cdf(x) + x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)),
+    "selu": (lambda x: SELU_SCALE * np.where(x > 0, x, SELU_ALPHA * np.expm1(np.minimum(x, 0))),
+             lambda x: SELU_SCALE * np.where(x > 0, 1.0, SELU_ALPHA * np.exp(np.minimum(x, 0)))),
+    "tanh": (np.tanh, lambda x: 1 - np.tanh(x) ** 2),
+    "sigmoid": (_sigmoid, lambda x: _sigmoid(x) * (1 - _sigmoid(x))),
+    "identity": (lambda x: x, lambda x: np.ones_like(x)),
+}
+OPTIMIZERS = ("adam", "adamw", "rmsprop", "sgd")
+NORM_EPS, NORM_MOMENTUM = 1e-5, 0.1
+
+
+def resolve_activations(hidden: Sequence[int], activations: str | Sequence[str]) -> list[str]:
+    """One activation name per hidden layer."""
+    names = [activations] * len(hidden) if isinstance(activations, str) else list(activations)
+    if len(names) != len(hidden):
+        raise ValueError("Give one activation, or one for every hidden layer.")
+    for name in names:
+        if not isinstance(name, str):
+            raise TypeError("An activation must be a string.")
+        if name.lower() not in ACTIVATIONS:
+            raise ValueError(f"Unsupported activation '{name}'.")
+    return [name.lower() for name in names]
+
+
+@dataclass(frozen=True)
+class NetworkSpec:
+    """Linear -> [batch norm] -> activation -> [dropout] per hidden layer, then Linear."""
+
+    input_size: int
+    output_size: int
+    hidden_layers: tuple[int, ...] = ()
+    activations: tuple[str, ...] = ()
+    dropout: float = 0.0
+    use_batch_norm: bool = False
+    # (name, layer) -> (start, shape) in the flat vector; running averages come last.
+    layout: dict = field(default_factory=dict, compare=False)
+    trainable: int = 0
+    size: int = 0
+
+    @staticmethod
+    def build(input_size, output_size, hidden_layers=(), activations="relu", dropout=0.0,
+              use_batch_norm=False) -> NetworkSpec:
+        hidden = list(hidden_layers or [])
+        if input_size < 1 or output_size < 1:
+            raise ValueError("input_size and output_size must be at least 1.")
+        if any(not isinstance(h, int) or h < 1 for h in hidden):
+            raise ValueError("Every hidden layer size must be a positive integer.")
+        if not 0.0 <= dropout < 1.0:
+            raise ValueError("dropout must be at least 0 and below 1.")
+        names = resolve_activations(hidden, activations)
+        widths = [input_size, *hidden, output_size]
+        layout, at = {}, 0
+        shapes = []
+        for i in range(len(widths) - 1):
+            shapes += [(("w", i), (widths[i + 1], widths[i])), (("b", i), (widths[i + 1],))]
+        normed = range(len(hidden)) if use_batch_norm else ()
+        shapes += [((t, i), (widths[i + 1],)) for i in normed for t in ("gamma", "beta")]
+        for key, shape in shapes:
+            layout[key] = (at, shape)
+            at += int(np.prod(shape))
+        trainable = at
+        for i in normed:
+            for t in ("mean", "var"):
+                layout[(t, i)] = (at, (widths[i + 1],))
+                at += widths[i + 1]
+        return NetworkSpec(input_size, output_size, tuple(hidden), tuple(names), dropout,
+                           use_batch_norm, layout, trainable, at)
+
+    def view(self, flat, name, layer):
+        start, shape = self.layout[(name, layer)]
+        return flat[start:start + int(np.prod(shape))].reshape(shape)
+
+    def initial(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        flat = np.zeros(self.size)
+        for (name, layer), (start, shape) in self.layout.items():
+            end = start + int(np.prod(shape))
+            if name in ("w", "b"):
+                bound = 1 / math.sqrt(self.layout[("w", layer)][1][1])
+                flat[start:end] = rng.uniform(-bound, bound, end - start)
+            elif name in ("gamma", "var"):
+                flat[start:end] = 1.0
+        return flat
+
+    def outputs(self, flat, x, rng=None, trace=None):
+        """Raw outputs. With ``rng`` the pass is a training pass: batch statistics update
+        the running ones in place, dropout is drawn, and ``trace`` collects what the
+        backward pass needs."""
+        for i, name in enumerate(self.activations):
+            step = {"x": x}
+            z = x @ self.view(flat, "w", i).T + self.view(flat, "b", i)
+            if self.use_batch_norm:
+                mean, var = self.view(flat, "mean", i), self.view(flat, "var", i)
+                if rng is not None:
+                    m, v = z.mean(axis=0), z.var(axis=0)
+                    n = len(z)
+                    mean += NORM_MOMENTUM * (m - mean)
+                    var += NORM_MOMENTUM * (v * n / max(n - 1, 1) - var)
+                else:
+                    m, v = mean, var
+                step["inverse"] = 1 / np.sqrt(v + NORM_EPS)
+                step["unit"] = (z - m) * step["inverse"]
+                z = self.view(flat, "gamma", i) * step["unit"] + self.view(flat, "beta", i)
+            step["z"] = z
+            x = ACTIVATIONS[name][0](z)
+            if rng is not None and self.dropout:
+                step["mask"] = (rng.random(x.shape) >= self.dropout) / (1 - self.dropout)
+                x = x * step["mask"]
+            if trace is not None:
+                trace.append(step)
+        last = len(self.activations)
+        if trace is not None:
+            trace.append({"x": x})
+        return x @ self.view(flat, "w", last).T + self.view(flat, "b", last)
+
+    def gradient(self, flat, trace, slope):
+        """Gradient of the trainable part, from the slope of the loss at the outputs."""
+        grad = np.zeros(self.trainable)
+        for i in range(len(self.activations), -1, -1):
+            self.view(grad, "w", i)[...] = slope.T @ trace[i]["x"]
+            self.view(grad, "b", i)[...] = slope.sum(axis=0)
+            if i == 0:
+                break
+            back = trace[i - 1]
+            slope = slope @ self.view(flat, "w", i)
+            if "mask" in back:
+                slope = slope * back["mask"]
+            slope = slope * ACTIVATIONS[self.activations[i - 1]][1](back["z"])
+            if self.use_batch_norm:
+                unit = back["unit"]
+                self.view(grad, "gamma", i - 1)[...] = (slope * unit).sum(axis=0)
+                self.view(grad, "beta", i - 1)[...] = slope.sum(axis=0)
+                g = slope * self.view(flat, "gamma", i - 1)
+                slope = back["inverse"] * (g - g.mean(axis=0) - unit * (g * unit).mean(axis=0))
+        return grad
+
+
+def loss_and_slope(outputs, y, task: str, classes: int | None, weights) -> tuple[float, np.ndarray]:
+    """Mean loss of a batch and its slope at the outputs.
+
+    Squared error; logistic loss with ``weights`` as the weight of class 1; cross-entropy
+    with ``weights`` per class, averaged by weight.
+    """
+    n = len(y)
+    if task == "regression":
+        miss = outputs[:, 0] - y
+        return float((miss * miss).mean()), (2 * miss / n)[:, None]
+    if classes == 2:
+        z, w = outputs[:, 0], 1.0 if weights is None else weights
+        soft = np.log1p(np.exp(-np.abs(z)))
+        loss = (1 - y) * (np.maximum(z, 0) + soft) + w * y * (np.maximum(-z, 0) + soft)
+        p = _sigmoid(z)
+        return float(loss.mean()), (((1 - y) * p - w * y * (1 - p)) / n)[:, None]
+    at = y.astype(int)
+    w = np.ones(n) if weights is None else np.asarray(weights)[at]
+    shifted = outputs - outputs.max(axis=1, keepdims=True)
+    log_p = shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+    line = np.arange(n)
+    slope = np.exp(log_p)
+    slope[line, at] -= 1
+    total = w.sum() or 1.0
+    return float(-(w * log_p[line, at]).sum() / total), slope * (w / total)[:, None]
+
+
+def optimizer_step(name, p, grad, moments, t, rate, decay):
+    """Update ``p`` and the two moment rows in place; ``t`` counts steps from 1."""
+    first, second = moments
+    if name == "adamw":
+        p -= rate * decay * p
+    elif decay:
+        grad = grad + decay * p
+    if name == "sgd":
+        first *= 0.9
+        first += grad
+        p -= rate * first
+    elif name == "rmsprop":
+        second *= 0.99
+        second += 0.01 * grad * grad
+        p -= rate * grad / (np.sqrt(second) + 1e-8)
+    else:
+        first += 0.1 * (grad - first)
+        second += 0.001 * (grad * grad - second)
+        fixed = np.sqrt(second / (1 - 0.999 ** t)) + 1e-8
+        p -= rate * (first / (1 - 0.9 ** t)) / fixed
+
+
+def probabilities(outputs, task: str, classes: int | None) -> np.ndarray:
+    """Values for regression, class probabilities otherwise (both columns when binary)."""
+    if task == "regression":
+        return outputs
+    if classes == 2:
+        p = _sigmoid(outputs[:, 0])
+        return np.column_stack([1 - p, p])
+    e = np.exp(outputs - outputs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -42,6 +43,11 @@ def documents(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame
     return kept.where(F.col("text").isNotNull() & ~tx.is_blank(F.col("text")))
 
 
+def _require_text(df: DataFrame, column: str) -> None:
+    if documents(df, column).isEmpty():
+        raise ValueError(f"Column '{column}' holds no usable text.")
+
+
 def cleaned(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     return documents(df, column, keep).withColumn("text", tx.clean(F.col("text")))
 
@@ -100,6 +106,7 @@ def ngrams(
     """The most frequent runs of n words, formed after stop words are removed."""
     if n < 1:
         raise ValueError("n must be at least 1.")
+    _require_text(df, column)
     return (
         _tokenised(df, column, stop_words)
         .select(F.explode(tx.ngrams(F.col("words"), n)).alias("ngram"))
@@ -127,6 +134,8 @@ def vocabulary(
     if max_features < 1:
         raise ValueError("max_features must be at least 1.")
     total = documents(df, column).count()
+    if not total:
+        raise ValueError(f"Column '{column}' holds no usable text.")
     low = min_df if isinstance(min_df, int) else min_df * total
     high = max_df if isinstance(max_df, int) else max_df * total
     if high < low:
@@ -166,8 +175,6 @@ def tfidf_keywords(
     vocabulary (at most ``max_features`` terms) is the only thing the tasks share; the
     weights are computed inside each row and summed as vectors.
     """
-    import math
-
     table, total = vocabulary(df, column, stop_words, max_features)
     terms = table.collect()
     if not terms:

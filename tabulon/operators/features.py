@@ -156,18 +156,16 @@ def fit_features(
     scratch = [m.rsplit("`", 2)[1] for m in made]
     if categories:
         slots = range(len(categories))
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [values for _, values in categories.values()],
-            inputCols=[f"_c{i}" for i in slots],
-            outputCols=[f"_i{i}" for i in slots],
-            handleInvalid="keep",
-        )
+        indexers = [
+            StringIndexerModel.from_labels(values, f"_c{i}", f"_i{i}", handleInvalid="keep")
+            for i, (_, values) in enumerate(categories.values())
+        ]
         encoder = OneHotEncoder(
             inputCols=[f"_i{i}" for i in slots], outputCols=[f"_o{i}" for i in slots], dropLast=True
         )
         # The indexer's label metadata gives the sizes, so this fit reads no rows.
-        ready = PipelineModel([*stages, indexer]).transform(df)
-        stages += [indexer, encoder.fit(ready)]
+        ready = PipelineModel([*stages, *indexers]).transform(df)
+        stages += [*indexers, encoder.fit(ready)]
         inputs += [f"_o{i}" for i in slots]
         scratch += [f"_{t}{i}" for t in "io" for i in slots]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))

@@ -61,11 +61,13 @@ def assign_folds(
     requested_folds: int = 10,
     seed: int = 42,
     minimum_rows: int = 3,
+    positions: bool = False,
 ) -> tuple[DataFrame, int, str | None]:
     """Add ``fold`` (0-based). Returns the table, the number of folds and a warning.
 
     Classification spreads every class evenly; fold sizes differ by at most one in all.
-    ``key`` must tell the rows apart.
+    ``key`` must tell the rows apart. ``positions`` also keeps where a row stands in its
+    class (``_number``), where the class starts (``_start``) and its size (``_size``).
     """
     if requested_folds < 2:
         raise ValueError("At least two folds are required.")
@@ -83,10 +85,10 @@ def assign_folds(
         rows = sum(counts.values())
         start, starts = 0, []
         for label, n in counts.items():
-            starts.append((label, start))
+            starts.append((label, start, n))
             start += n
         kind = df.schema[target].dataType.simpleString()
-        shift = df.sparkSession.createDataFrame(starts, f"`{target}` {kind}, _start long")
+        shift = df.sparkSession.createDataFrame(starts, f"`{target}` {kind}, _start long, _size long")
         numbered = number_rows(df, key, seed, rows, [target]).join(F.broadcast(shift), target)
         fold = F.pmod(F.col("_number") + F.col("_start"), F.lit(folds))
     elif task_type == "regression":
@@ -96,11 +98,34 @@ def assign_folds(
         folds = min(requested_folds, rows)
         if folds < requested_folds:
             warning = f"Folds reduced from {requested_folds} to {folds}."
-        numbered = number_rows(df, key, seed, rows)
+        numbered = number_rows(df, key, seed, rows).withColumns(
+            {"_start": F.lit(0).cast("long"), "_size": F.lit(rows).cast("long")}
+        )
         fold = F.pmod("_number", F.lit(folds))
     else:
         raise ValueError("task_type must be 'classification' or 'regression'.")
-    return numbered.select(*df.columns, fold.cast("int").alias("fold")), folds, warning
+    kept = ["_number", "_start", "_size"] if positions else []
+    return numbered.select(*df.columns, *kept, fold.cast("int").alias("fold")), folds, warning
+
+
+def validation_share(fold: int, folds: int, fraction: float):
+    """Is a row validation data when ``fold`` is held out? A column over ``positions``.
+
+    Rows of a class are evenly picked by their place among those left for training, so
+    ceil(fraction * n) of every class with at least two rows are taken. Hash order makes
+    the evenly spaced pick a random one, and no further sort or count is needed.
+    """
+    if not 0 < fraction < 0.5:
+        raise ValueError("validation_fraction must be between 0 and 0.5.")
+    first = F.pmod(F.lit(fold) - F.col("_start"), F.lit(folds))  # first held-out place
+
+    def held_out_before(place):
+        return F.greatest(F.ceil((place - first) / F.lit(folds)), F.lit(0))
+
+    rank = F.col("_number") - held_out_before(F.col("_number"))
+    left = F.col("_size") - held_out_before(F.col("_size"))
+    picked = F.ceil((rank + 1) * F.lit(fraction)) > F.ceil(rank * F.lit(fraction))
+    return (F.col("fold") != fold) & (left >= 2) & picked
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

@@ -1,0 +1,617 @@
+"""Cross-validated feed-forward networks, trained data-parallel.
+
+One Spark job per epoch: every task starts from the shared weights, goes through its rows
+in shuffled mini-batches, and returns its weights; Spark averages them by row count. The
+job also measures the validation loss of the weights it started from, and carries all
+folds at once, so cross-validation takes as many jobs as its longest fold has epochs. A
+table small enough for one task is trained exactly as on a single machine.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabulon.functions.layers import (
+    OPTIMIZERS,
+    NetworkSpec,
+    loss_and_slope,
+    optimizer_step,
+    probabilities,
+)
+from tabulon.operators import metrics as mx
+from tabulon.operators.features import category_parameters, numeric_parameters
+from tabulon.operators.folds import assign_folds, validation_share
+from tabulon.operators.profile import Profile
+from tabulon.operators.supervised import (
+    LABEL,
+    ROW_ID,
+    TARGET,
+    FeatureSelection,
+    Prepared,
+    prepare_supervised_data,
+)
+
+ROWS_PER_TASK = 50_000
+MAX_PARAMETERS = 5_000_000
+TRAIN, VALIDATE, TEST = 0, 1, 2
+
+
+# --- features as two arrays -----------------------------------------------------------
+
+
+def _arrays(df: DataFrame, selection: FeatureSelection, labels: dict[str, list[str]]) -> DataFrame:
+    """Add ``_num`` (NaN where missing) and ``_cat`` (label position, -1 where missing)."""
+    numbers = [
+        F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(c)
+        for c in selection.numeric_columns
+    ]
+    table = df.withColumn("_num", F.array(*numbers).cast("array<double>"))
+    codes = []
+    for i, c in enumerate(selection.categorical_columns):
+        values = labels.get(c)
+        if not values:
+            codes.append(F.lit(-1))
+            continue
+        text = f"_t{i}"
+        table = table.withColumn(text, F.col(f"`{c}`").cast("string"))
+        table = StringIndexerModel.from_labels(values, text, f"_i{i}", "keep").transform(table)
+        codes.append(F.when(F.col(text).isNull(), -1).otherwise(F.col(f"_i{i}").cast("int")))
+    return table.withColumn("_cat", F.array(*codes).cast("array<int>"))
+
+
+@dataclass
+class Encoder:
+    """Turns the two arrays into network inputs with figures of one training part."""
+
+    numeric: np.ndarray  # positions of the usable numeric columns
+    fill: np.ndarray
+    centre: np.ndarray
+    scale: np.ndarray
+    categorical: list[tuple[int, int, np.ndarray]]  # (position, mode, input per label or -1)
+    names: list[str]
+
+    def __call__(self, num, cat):
+        n = len(num)
+        out = np.zeros((n, len(self.names)))
+        if len(self.numeric):
+            x = num[:, self.numeric]
+            x = np.where(np.isnan(x), self.fill, x)
+            out[:, : len(self.numeric)] = (x - self.centre) / self.scale
+        for position, mode, inputs in self.categorical:
+            code = cat[:, position]
+            code = np.where(code < 0, mode, code)
+            spot = inputs[np.minimum(code, len(inputs) - 1)]
+            rows = np.nonzero(spot >= 0)[0]
+            out[rows, spot[rows]] = 1.0
+        return out
+
+
+def _encoders(table: DataFrame, selection: FeatureSelection, labels, parts: int) -> list[Encoder]:
+    """Medians, scales, modes and categories of every part from shared passes.
+
+    A row belongs to part i when element i of ``_role`` is TRAIN.
+    """
+    numbers, texts = {}, {}
+    for i in range(parts):
+        mine = F.get("_role", F.lit(i)) == TRAIN
+        for j, c in enumerate(selection.numeric_columns):
+            x = F.get("_num", F.lit(j))
+            numbers[f"{i}:{c}"] = F.when(mine, F.nanvl(x, F.lit(None).cast("double")))
+        for j, c in enumerate(selection.categorical_columns):
+            code = F.get("_cat", F.lit(j))
+            texts[f"{i}:{c}"] = F.when(mine & (code >= 0), F.format_string("%08d", code))
+    scaled = numeric_parameters(table, numbers, "standard")
+    chosen = category_parameters(table, texts)
+    encoders = []
+    for i in range(parts):
+        used = [c for c in selection.numeric_columns if f"{i}:{c}" in scaled]
+        triples = np.array([scaled[f"{i}:{c}"] for c in used]).reshape(-1, 3)
+        names, categorical = list(used), []
+        for j, c in enumerate(selection.categorical_columns):
+            if f"{i}:{c}" not in chosen:
+                continue
+            mode, present = chosen[f"{i}:{c}"]
+            inputs = np.full(len(labels[c]) + 1, -1)
+            for code in map(int, present):
+                inputs[code] = len(names)
+                names.append(f"{c}_{labels[c][code]}")
+            categorical.append((j, int(mode), inputs))
+        if not names:
+            raise ValueError("At least one usable feature is required.")
+        at = np.array([selection.numeric_columns.index(c) for c in used], dtype=int)
+        encoders.append(Encoder(at, triples[:, 0], triples[:, 1], triples[:, 2], categorical, names))
+    return encoders
+
+
+def _stack(column: pd.Series, dtype) -> np.ndarray:
+    return np.array(column.tolist(), dtype=dtype).reshape(len(column), -1)
+
+
+# --- training -------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class TrainingOptions:
+    hidden_layers: Sequence[int] = ()
+    activations: str | Sequence[str] = "relu"
+    dropout: float = 0.0
+    use_batch_norm: bool = False
+    optimizer_name: str = "adam"
+    learning_rate: float = 0.001
+    weight_decay: float = 0.0
+    batch_size: int = 32
+    handle_class_imbalance: bool = True
+    random_state: int = 42
+
+    def check(self):
+        if self.optimizer_name.lower() not in OPTIMIZERS:
+            raise ValueError(f"Unsupported optimizer '{self.optimizer_name}'.")
+        if self.batch_size < 1:
+            raise ValueError("batch_size must be at least 1.")
+
+
+@dataclass
+class _Model:
+    """One network in training: its fixed parts, its state and its history."""
+
+    part: int
+    spec: NetworkSpec
+    encoder: Encoder
+    class_weights: object
+    seed: int
+    flat: np.ndarray
+    moments: np.ndarray
+    steps: float = 0.0
+    done: bool = False
+    best_loss: float = math.inf
+    best_epoch: int = 1
+    best_flat: np.ndarray | None = None
+    waited: int = 0
+    losses: list[float] = field(default_factory=list)
+    history: list[tuple] = field(default_factory=list)
+
+
+EPOCH_SCHEMA = (
+    "part int, rows double, state array<double>, loss double, seen double, loss_seen double"
+)
+
+
+def _epoch_task(shared, task, classes, options, epoch, training):
+    """What one task does in an epoch: batches of rows in, one row of sums per model out."""
+    optimizer = options.optimizer_name.lower()
+
+    def run(batches):
+        local = {}
+        for frame in batches:
+            num, cat = _stack(frame["_num"], float), _stack(frame["_cat"], int)
+            role, y = _stack(frame["_role"], int), frame[LABEL].to_numpy(dtype=float)
+            for m in shared.value:
+                if m.part not in local:
+                    local[m.part] = {
+                        "flat": m.flat.copy(), "moments": m.moments.copy(), "steps": m.steps,
+                        "rng": np.random.default_rng([m.seed, epoch, int(frame[ROW_ID].iloc[0]) & 0x7FFFFFFF]),
+                        "rows": 0.0, "loss": 0.0, "seen": 0.0, "loss_seen": 0.0,
+                    }
+                mine = local[m.part]
+                watch = np.nonzero(role[:, m.part] == VALIDATE)[0]
+                if len(watch):
+                    outputs = m.spec.outputs(m.flat, m.encoder(num[watch], cat[watch]))
+                    loss, _ = loss_and_slope(outputs, y[watch], task, classes, m.class_weights)
+                    mine["seen"] += len(watch)
+                    mine["loss_seen"] += loss * len(watch)
+                if not training:
+                    continue
+                rows = mine["rng"].permutation(np.nonzero(role[:, m.part] == TRAIN)[0])
+                x = m.encoder(num[rows], cat[rows])
+                for start in range(0, len(rows), options.batch_size):
+                    end = start + options.batch_size
+                    trace = []
+                    outputs = m.spec.outputs(mine["flat"], x[start:end], mine["rng"], trace)
+                    part_y = y[rows[start:end]]
+                    loss, slope = loss_and_slope(outputs, part_y, task, classes, m.class_weights)
+                    grad = m.spec.gradient(mine["flat"], trace, slope)
+                    mine["steps"] += 1
+                    optimizer_step(
+                        optimizer, mine["flat"][: m.spec.trainable], grad, mine["moments"],
+                        mine["steps"], options.learning_rate, options.weight_decay,
+                    )
+                    mine["rows"] += len(part_y)
+                    mine["loss"] += loss * len(part_y)
+        lines = []
+        for part, mine in local.items():
+            state = np.concatenate([mine["flat"], mine["moments"].ravel(), [mine["steps"]]])
+            lines.append((part, mine["rows"], state * mine["rows"], mine["loss"], mine["seen"], mine["loss_seen"]))
+        yield pd.DataFrame(lines, columns=["part", "rows", "state", "loss", "seen", "loss_seen"])
+
+    return run
+
+
+def _run_epoch(table, tasks, models, task, classes, options, epoch, training):
+    """One job: returns part -> (rows, summed state, loss, seen, loss_seen)."""
+    shared = table.sparkSession.sparkContext.broadcast(models)
+    sums = table.mapInPandas(_epoch_task(shared, task, classes, options, epoch, training), EPOCH_SCHEMA)
+    if tasks == 1:
+        rows = sums.collect()  # already one row per model
+        shared.unpersist()
+        return {r["part"]: r for r in rows}
+    sums = sums.withColumn("state", array_to_vector("state"))
+    totals = [
+        F.sum("rows").alias("rows"), Summarizer.sum(F.col("state")).alias("state"),
+        F.sum("loss").alias("loss"), F.sum("seen").alias("seen"), F.sum("loss_seen").alias("loss_seen"),
+    ]
+    if tasks > 64:
+        # No single task merges the states of thousands of tasks.
+        sums = sums.groupBy("part", (F.spark_partition_id() % 64).alias("branch")).agg(*totals)
+    rows = sums.groupBy("part").agg(*totals).withColumn("state", vector_to_array("state")).collect()
+    shared.unpersist()
+    return {r["part"]: r for r in rows}
+
+
+def _advance(model: _Model, sums) -> None:
+    state = np.array(sums["state"]) / sums["rows"]
+    size, trainable = model.spec.size, model.spec.trainable
+    model.flat = state[:size]
+    model.moments = state[size:size + 2 * trainable].reshape(2, trainable)
+    model.steps = state[-1]
+    model.losses.append(sums["loss"] / sums["rows"])
+
+
+def _train(table, tasks, models, task, classes, options, epochs, patience=None, min_delta=0.0):
+    """Run the epochs; with ``patience`` stop each model early and keep its best weights."""
+    for epoch in range(1, epochs + 2):
+        running = [m for m in models if not m.done]
+        training = epoch <= epochs
+        if not running or (patience is None and not training):
+            break
+        sums = _run_epoch(table, tasks, running, task, classes, options, epoch, training)
+        for m in running:
+            if patience is not None and epoch > 1:
+                loss = sums[m.part]["loss_seen"] / sums[m.part]["seen"]
+                m.history.append((epoch - 1, m.losses[-1], loss))
+                if loss < m.best_loss - min_delta:
+                    m.best_loss, m.best_epoch, m.best_flat, m.waited = loss, epoch - 1, m.flat, 0
+                else:
+                    m.waited += 1
+                m.done = m.waited >= patience
+            if training and not m.done:
+                _advance(m, sums[m.part])
+    for m in models:
+        if patience is not None:
+            m.flat = m.best_flat if m.best_flat is not None else m.flat
+        else:
+            m.history = [(i, loss, None) for i, loss in enumerate(m.losses, 1)]
+
+
+def _class_weights(table, parts, task, classes, balanced):
+    """Loss weights per part from the label counts of its training rows."""
+    if task == "regression" or not balanced:
+        return [None] * parts
+    counts = table.groupBy(LABEL).agg(
+        *[F.count_if(F.get("_role", F.lit(i)) == TRAIN).alias(f"n{i}") for i in range(parts)]
+    ).collect()
+    weights = []
+    for i in range(parts):
+        n = np.zeros(classes)
+        for r in counts:
+            n[int(r[LABEL])] = r[f"n{i}"]
+        if (n == 0).any():
+            raise ValueError("Every class must exist in the training data.")
+        weights.append(n[0] / n[1] if classes == 2 else n.sum() / (classes * n))
+    return weights
+
+
+def _models(table, prepared: Prepared, labels, parts, options: TrainingOptions, seeds):
+    classes = prepared.number_of_classes
+    outputs = 1 if classes in (None, 2) else classes
+    encoders = _encoders(table, prepared.selection, labels, parts)
+    weights = _class_weights(table, parts, prepared.task_type, classes, options.handle_class_imbalance)
+    models = []
+    for i in range(parts):
+        spec = NetworkSpec.build(
+            len(encoders[i].names), outputs, options.hidden_layers, options.activations,
+            options.dropout, options.use_batch_norm,
+        )
+        if spec.size > MAX_PARAMETERS:
+            raise ValueError(f"The network has more than {MAX_PARAMETERS} parameters.")
+        models.append(
+            _Model(i, spec, encoders[i], weights[i], seeds[i], spec.initial(seeds[i]), np.zeros((2, spec.trainable)))
+        )
+    return models
+
+
+def _training_table(table: DataFrame, rows: int, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows spread by the hash of their id, in a fixed order, held over the epochs; and
+    the number of tasks they are spread over."""
+    context = table.sparkSession.sparkContext
+    most = max(context.defaultParallelism, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(most, math.ceil(rows / ROWS_PER_TASK)))
+    narrow = table.select(ROW_ID, "_num", "_cat", "_role", LABEL, *keep)
+    spread = narrow.repartition(tasks, ROW_ID).sortWithinPartitions(ROW_ID)
+    return spread.persist(StorageLevel.MEMORY_AND_DISK), tasks
+
+
+def _labels(prepared: Prepared) -> dict[str, list[str]]:
+    texts = {c: F.col(f"`{c}`").cast("string") for c in prepared.selection.categorical_columns}
+    return {c: values for c, (_, values) in category_parameters(prepared.data, texts).items()}
+
+
+def _scorer(models: Sequence[_Model], task, classes):
+    """Arrow function: (numbers, codes, model position) -> probabilities or the value."""
+    kept = [(m.spec, m.flat, m.encoder) for m in models]
+
+    @F.pandas_udf("array<double>")
+    def score(num: pd.Series, cat: pd.Series, part: pd.Series) -> pd.Series:
+        numbers, codes, which = _stack(num, float), _stack(cat, int), part.to_numpy()
+        out = np.empty(len(which), dtype=object)
+        for i in np.unique(which):
+            spec, flat, encoder = kept[i]
+            at = np.nonzero(which == i)[0]
+            values = probabilities(spec.outputs(flat, encoder(numbers[at], codes[at])), task, classes)
+            for row, line in zip(at, values, strict=True):
+                out[row] = line
+        return pd.Series(out)
+
+    return score
+
+
+def _decision(score, task, classes):
+    """Predicted number: the value, or the position of the most likely class."""
+    if task == "regression":
+        return F.get(score, F.lit(0))
+    if classes == 2:  # class 1 from probability one half upward
+        return (F.get(score, F.lit(1)) >= 0.5).cast("double")
+    return (F.array_position(score, F.array_max(score)) - 1).cast("double")
+
+
+# --- public operators -----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class NetworkValidation:
+    """``metrics``: per metric; ``folds``: scores and best epoch per fold; ``history``:
+    (fold, epoch, training_loss, validation_loss); ``predictions``: held-out rows."""
+
+    metrics: DataFrame
+    folds: DataFrame
+    history: DataFrame
+    predictions: DataFrame
+    best_epochs: list[int]
+    median_best_epoch: int
+    actual_folds: int
+    warning: str | None
+
+
+def cross_validate_feed_forward_network(
+    prepared: Prepared, options: TrainingOptions, requested_folds: int = 10,
+    validation_fraction: float = 0.15, max_epochs: int = 200, patience: int = 15,
+    min_delta: float = 0.0,
+) -> NetworkValidation:
+    """Early stopping on an inner validation part, scores on the outer held-out fold."""
+    options.check()
+    task, classes = prepared.task_type, prepared.number_of_classes
+    spark = prepared.data.sparkSession
+    folded, folds, warning = assign_folds(
+        prepared.data, task, ROW_ID, TARGET, requested_folds, options.random_state,
+        minimum_rows=2, positions=True,
+    )
+    roles = [
+        F.when(F.col("fold") == i, TEST)
+        .when(validation_share(i, folds, validation_fraction), VALIDATE)
+        .otherwise(TRAIN)
+        for i in range(folds)
+    ]
+    labels = _labels(prepared)
+    encoded = _arrays(folded.withColumn("_role", F.array(*roles)), prepared.selection, labels)
+    table, tasks = _training_table(encoded, prepared.rows_used, ["fold"])
+    try:
+        seeds = [options.random_state + i + 1 for i in range(folds)]
+        models = _models(table, prepared, labels, folds, options, seeds)
+        _train(table, tasks, models, task, classes, options, max_epochs, patience, min_delta)
+        score = _scorer(models, task, classes)
+        predictions = table.select(
+            F.col(ROW_ID).alias("row_id"), "fold", F.col(LABEL).alias("truth"),
+            _decision(score("_num", "_cat", "fold"), task, classes).alias("prediction"),
+        )
+        names, measure = (
+            (mx.CLASSIFICATION, mx.classification_metrics)
+            if task == "classification"
+            else (mx.REGRESSION, mx.regression_metrics)
+        )
+        rows = measure(predictions, "truth", "prediction", ["fold"]).collect()  # one per fold
+    finally:
+        table.unpersist()
+    best = [m.best_epoch for m in models]
+    scores = spark.createDataFrame(
+        [(r["fold"], best[r["fold"]], *[r[n] for n in names]) for r in rows],
+        "fold int, best_epoch int, " + ", ".join(f"{n} double" for n in names),
+    )
+    history = spark.createDataFrame(
+        [(m.part, *line) for m in models for line in m.history],
+        "fold int, epoch int, training_loss double, validation_loss double",
+    )
+    return NetworkValidation(
+        mx.summarise_folds(scores, names, 0), scores, history, predictions, best,
+        max(1, int(np.median(best))), folds, warning,
+    )
+
+
+@dataclass(frozen=True)
+class FittedNetwork:
+    """The final network and what it needs to score new rows."""
+
+    model: object
+    task_type: str
+    selection: FeatureSelection
+    labels: dict[str, list[str]]
+    class_names: list[str] | None
+    feature_names: list[str]
+    history: DataFrame
+
+
+def fit_final_feed_forward_network(
+    prepared: Prepared, options: TrainingOptions, final_epochs: int
+) -> FittedNetwork:
+    """Train on all rows for a fixed number of epochs."""
+    options.check()
+    labels = _labels(prepared)
+    all_train = prepared.data.withColumn("_role", F.array(F.lit(TRAIN)))
+    table, tasks = _training_table(_arrays(all_train, prepared.selection, labels), prepared.rows_used, [])
+    try:
+        models = _models(table, prepared, labels, 1, options, [options.random_state])
+        _train(
+            table, tasks, models, prepared.task_type, prepared.number_of_classes, options, final_epochs
+        )
+    finally:
+        table.unpersist()
+    history = prepared.data.sparkSession.createDataFrame(
+        [line[:2] for line in models[0].history], "epoch int, training_loss double"
+    )
+    return FittedNetwork(
+        models[0], prepared.task_type, prepared.selection, labels, prepared.class_names,
+        models[0].encoder.names, history,
+    )
+
+
+@dataclass(frozen=True)
+class NetworkWeights:
+    """``layers``: (layer_index, output_index, input_index, weight), input -1 being the
+    bias. ``direct``: features ranked by size per output, only without hidden layers."""
+
+    layers: DataFrame
+    direct: DataFrame | None
+
+
+def extract_network_weights(network: FittedNetwork, spark) -> NetworkWeights:
+    m = network.model
+    lines = []
+    for layer in range(len(m.spec.hidden_layers) + 1):
+        w, b = m.spec.view(m.flat, "w", layer), m.spec.view(m.flat, "b", layer)
+        for o in range(len(b)):
+            lines.append((layer, o, -1, float(b[o])))
+            lines += [(layer, o, i, float(v)) for i, v in enumerate(w[o])]
+    layers = spark.createDataFrame(
+        lines, "layer_index int, output_index int, input_index int, weight double"
+    )
+    if m.spec.hidden_layers:
+        return NetworkWeights(layers, None)
+    w, b = m.spec.view(m.flat, "w", 0), m.spec.view(m.flat, "b", 0)
+    if len(b) == 1:
+        names = [network.class_names[1] if network.class_names else "output"]
+    else:
+        names = network.class_names
+    ranked = []
+    for o, name in enumerate(names):
+        order = sorted(range(w.shape[1]), key=lambda i: (-abs(w[o, i]), i))
+        for rank, i in enumerate(order, 1):
+            v = float(w[o, i])
+            ranked.append((name, rank, network.feature_names[i], v, abs(v), float(b[o])))
+    direct = spark.createDataFrame(
+        ranked,
+        "output string, rank int, feature string, weight double, absolute_weight double, bias double",
+    )
+    return NetworkWeights(layers, direct)
+
+
+def predict_feed_forward_network(network: FittedNetwork, new_data: DataFrame) -> DataFrame:
+    """Add ``prediction`` and, for classes, ``probabilities`` in class order."""
+    missing = [c for c in network.selection.feature_columns if c not in new_data.columns]
+    if missing:
+        raise ValueError(f"New data is missing columns: {missing}.")
+    classes = len(network.class_names) if network.class_names else None
+    ready = _arrays(new_data, network.selection, network.labels)
+    score = _scorer([network.model], network.task_type, classes)("_num", "_cat", F.lit(0))
+    scored = ready.select(*[F.col(f"`{c}`") for c in new_data.columns], score.alias("_score"))
+    choice = _decision(F.col("_score"), network.task_type, classes)
+    if network.task_type == "regression":
+        return scored.withColumn("prediction", choice).drop("_score")
+    names = F.array(*[F.lit(n) for n in network.class_names])
+    return scored.withColumn("prediction", F.get(names, choice.cast("int"))).withColumnRenamed(
+        "_score", "probabilities"
+    )
+
+
+@dataclass(frozen=True)
+class NetworkResult:
+    task_type: str
+    task_detection: object
+    target_column: str
+    feature_columns: list[str]
+    numeric_columns: list[str]
+    categorical_columns: list[str]
+    feature_names: list[str]
+    class_names: list[str] | None
+    architecture: dict
+    requested_cv_folds: int
+    actual_cv_folds: int
+    cv_warning: str | None
+    cross_validation: NetworkValidation
+    final_epochs: int
+    primary_metric: str
+    primary_score: float
+    weights: NetworkWeights
+    network: FittedNetwork
+    rows_used: int
+    removed_target_rows: int
+
+
+def train_feed_forward_network(
+    df: DataFrame, profile: Profile, target_column: str,
+    feature_columns: Sequence[str] | None = None, task_type: str | None = None,
+    hidden_layers: Sequence[int] | None = None, activations: str | Sequence[str] = "relu",
+    dropout: float = 0.0, use_batch_norm: bool = False, optimizer_name: str = "adam",
+    learning_rate: float = 0.001, weight_decay: float = 0.0, batch_size: int = 32,
+    max_epochs: int = 200, patience: int = 15, min_delta: float = 0.0, cv_folds: int = 10,
+    validation_fraction: float = 0.15, handle_class_imbalance: bool = True,
+    random_state: int = 42, key: str | None = None,
+    exclude_columns: Sequence[str] | None = None,
+) -> NetworkResult:
+    """Cross-validate, refit on all rows for the median best epoch, read the weights."""
+    options = TrainingOptions(
+        list(hidden_layers or []), activations, dropout, use_batch_norm, optimizer_name,
+        learning_rate, weight_decay, batch_size, handle_class_imbalance, random_state,
+    )
+    options.check()
+    prepared = prepare_supervised_data(
+        df, profile, target_column, feature_columns, task_type, key, exclude_columns
+    )
+    validation = cross_validate_feed_forward_network(
+        prepared, options, cv_folds, validation_fraction, max_epochs, patience, min_delta
+    )
+    network = fit_final_feed_forward_network(prepared, options, validation.median_best_epoch)
+    metric = "f1_macro" if prepared.task_type == "classification" else "r2"
+    primary = validation.metrics.where(F.col("metric") == metric).first()["mean"]
+    spec = network.model.spec
+    return NetworkResult(
+        prepared.task_type, prepared.detection, target_column,
+        prepared.selection.feature_columns, prepared.selection.numeric_columns,
+        prepared.selection.categorical_columns, network.feature_names, prepared.class_names,
+        {
+            "input_size": spec.input_size, "hidden_layers": list(spec.hidden_layers),
+            "activations": list(spec.activations), "output_size": spec.output_size,
+            "dropout": dropout, "use_batch_norm": use_batch_norm,
+        },
+        cv_folds, validation.actual_folds, validation.warning, validation,
+        validation.median_best_epoch, metric, primary,
+        extract_network_weights(network, df.sparkSession), network, prepared.rows_used,
+        prepared.removed_target_rows,
+    )
+
+
+def network_summary(result: NetworkResult) -> tuple[DataFrame, DataFrame | None]:
+    """Metrics without fold lists, and the largest direct weights (15, or 10 per class)."""
+    metrics = result.cross_validation.metrics.drop("fold_scores")
+    if result.weights.direct is None:
+        return metrics, None
+    top = 10 if result.class_names and len(result.class_names) > 2 else 15
+    return metrics, result.weights.direct.where(F.col("rank") <= top)
