@@ -22,21 +22,26 @@ def build_session(app_name: str = "tabulon", master: str | None = None) -> Spark
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``. A private one is made only
-    when none is set and Spark runs in local mode, where driver and tasks share a disk.
+    A private one is made only when none is set and Spark runs in local mode, where
+    driver and tasks share a disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
+        folder = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(
-                    "Set spark.checkpoint.dir to a folder every executor can reach."
-                )
-            folder = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

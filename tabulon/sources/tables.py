@@ -96,20 +96,30 @@ def infer_types(df: DataFrame, datetimes: bool = False) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, datetimes: bool = False, schema=None) -> DataFrame:
-    """CSV with a header row. A given ``schema`` spares the pass that infers types."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = True
+) -> DataFrame:
+    """CSV with a header row. A given ``schema`` spares the pass that infers types.
+
+    Quoted cells may hold line breaks, so a file is one task's work; set ``multiline`` to
+    False for large files known to have none, which Spark can then split.
+    """
+    reader = (
+        spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    )
     if schema is not None:
         return reader.schema(schema).csv(path)
     return infer_types(missing_tokens_to_null(reader.csv(path)), datetimes)
 
 
-def read_table(spark: SparkSession, path: str, datetimes: bool = False, schema=None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = True
+) -> DataFrame:
     """Read a file, folder or glob by its suffix."""
     extension = validate_file_type(path)
     try:
         if extension == ".csv":
-            df = read_csv(spark, path, datetimes, schema)
+            df = read_csv(spark, path, datetimes, schema, multiline)
         elif extension == ".parquet":
             df = spark.read.parquet(path)
         else:
