@@ -73,7 +73,7 @@ def infer_types(df: DataFrame, datetimes: bool = False) -> DataFrame:
             "double": F.regexp_like(c, F.lit(NUMBER)),
         }
         if datetimes:
-            found["timestamp"] = c.try_cast("timestamp").isNotNull()
+            found["timestamp"] = F.when(c.isNotNull(), c.try_cast("timestamp").isNotNull())
         return found
 
     checks = [F.count(ref(name)).alias(f"n{i}") for i, name in enumerate(texts)]
