@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as a Unicode string split sees it, and the token pattern
-# (runs of two or more letters, digits or underscores).
+# Whitespace as a Unicode string split sees it (as a list and as a pattern
+# class), and the token pattern (runs of two or more letters, digits or underscores).
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.regexp_like(text, F.lit(f"(?U){NOT_SPACE}"))
+    return strip(text) == ""
 
 
 def word_count(text: Column) -> Column:
@@ -50,10 +54,8 @@ def ngrams(words: Column, n: int) -> Column:
     """Every run of n neighbouring words joined by one space."""
     if n == 1:
         return words
-    return F.when(
-        F.size(words) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)),
-            lambda start: F.array_join(F.slice(words, start, F.lit(n)), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
+    return F.transform(
+        starts,
+        lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + F.lit(k)) for k in range(1, n)]),
+    )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -193,9 +195,12 @@ class BestK:
 
 def find_best_k(
     data: DataFrame, min_k: int = 2, max_k: int = 10, random_state: int = 42,
-    features: str = "features", silhouette: str = "auto",
+    features: str = "features", silhouette: str = "auto", parallelism: int = 4,
 ) -> BestK:
-    """Try every K and keep the one with the highest silhouette, the smallest on ties."""
+    """Try every K and keep the one with the highest silhouette, the smallest on ties.
+
+    Up to ``parallelism`` values of K run at a time, so short jobs fill the cluster.
+    """
     if min_k < 2:
         raise ValueError("min_k must be at least 2.")
     if max_k < min_k:
@@ -205,12 +210,16 @@ def find_best_k(
         rows = held.count()
         if rows < 3:
             raise ValueError("At least three observations are required.")
-        tried = []
-        for k in range(min_k, min(max_k, rows - 1) + 1):
-            result = _result(held, _fit(held, k, random_state, features), features, silhouette)
-            tried.append((result.metrics.first(), result))
-        if not tried:
+        candidates = range(min_k, min(max_k, rows - 1) + 1)
+        if not candidates:
             raise ValueError("No valid K values could be evaluated.")
+
+        def attempt(k):
+            result = _result(held, _fit(held, k, random_state, features), features, silhouette)
+            return result.metrics.first(), result
+
+        with ThreadPool(min(parallelism, len(candidates))) as pool:
+            tried = pool.map(inheritable_thread_target(data.sparkSession)(attempt), candidates)
     finally:
         held.unpersist()
     best, fitted = max(tried, key=lambda pair: (pair[0]["silhouette_score"], -pair[0]["k"]))

@@ -24,6 +24,7 @@ from tabulon.functions import text as tx
 from tabulon.functions import values as vx
 from tabulon.operators.distinct import distinct_counts
 from tabulon.operators.quantiles import exact_quantiles
+from tabulon.session import spread
 
 
 def stop_word_list(stop_words: str | Sequence[str] | None) -> list[str]:
@@ -53,8 +54,15 @@ def cleaned(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _tokenised(df, column, stop_words, keep=()):
+    # Cleaning changes letter case and whitespace only, which tokenising does anyway.
     words = tx.tokens(F.col("text"), stop_word_list(stop_words))
-    return cleaned(df, column, keep).select(*[vx.ref(c) for c in keep], words.alias("words"))
+    return documents(df, column, keep).select(*[vx.ref(c) for c in keep], words.alias("words"))
+
+
+def _exploded(df, array, name, *others):
+    """One row per element. The outer form keeps the optimizer from also filtering on the
+    array's size, which would compute the array once more per row."""
+    return df.select(F.explode_outer(array).alias(name), *others).where(F.col(name).isNotNull())
 
 
 def corpus_statistics(df: DataFrame, column: str) -> DataFrame:
@@ -93,7 +101,16 @@ def word_frequencies(
     stop_words: str | Sequence[str] | None = "english",
 ) -> DataFrame:
     """The most frequent words of the corpus; ties alphabetical."""
-    return ngrams(df, column, 1, top_n, stop_words).withColumnRenamed("ngram", "word")
+    _require_text(df, column)
+    counts = (
+        _exploded(_tokenised(df, column, None), F.col("words"), "word")
+        .groupBy("word")
+        .agg(F.count("*").alias("frequency"))
+    )
+    listed = stop_word_list(stop_words)
+    if listed:  # cheaper on the distinct words than on every token
+        counts = counts.where(~F.col("word").isin(listed))
+    return counts.orderBy(F.desc("frequency"), "word").limit(top_n)
 
 
 def ngrams(
@@ -108,8 +125,7 @@ def ngrams(
         raise ValueError("n must be at least 1.")
     _require_text(df, column)
     return (
-        _tokenised(df, column, stop_words)
-        .select(F.explode(tx.ngrams(F.col("words"), n)).alias("ngram"))
+        _exploded(_tokenised(df, column, stop_words), tx.ngrams(F.col("words"), n), "ngram")
         .groupBy("ngram")
         .agg(F.count("*").alias("frequency"))
         .orderBy(F.desc("frequency"), "ngram")
@@ -129,7 +145,8 @@ def vocabulary(
     the number of documents.
 
     Whole-number limits count documents, fractional ones are shares of all documents.
-    Repeats are marked inside each row, so only (term, partial sums) is shuffled.
+    Each row gives its tokens and its distinct tokens, so only (term, partial sums) is
+    shuffled and no (document, term) pair is.
     """
     if max_features < 1:
         raise ValueError("max_features must be at least 1.")
@@ -140,20 +157,21 @@ def vocabulary(
     high = max_df if isinstance(max_df, int) else max_df * total
     if high < low:
         raise ValueError("max_df corresponds to fewer documents than min_df.")
-    marks = F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("t"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("t"), F.lit(1).alias("d"))),
+    once = F.array(
+        F.struct(F.col("words").alias("w"), F.lit(1).alias("t"), F.lit(0).alias("d")),
+        F.struct(F.array_distinct("words").alias("w"), F.lit(0).alias("t"), F.lit(1).alias("d")),
     )
+    marked = _tokenised(df, column, None).select(F.inline(once))
     terms = (
-        _tokenised(df, column, stop_words)
-        .select(F.inline(marks))
+        _exploded(marked, F.col("w"), "term", "t", "d")
         .groupBy("term")
         .agg(F.sum("t").alias("term_count"), F.sum("d").alias("document_frequency"))
         .where(F.col("document_frequency").between(low, high))
-        .orderBy(F.desc("term_count"), "term")
-        .limit(max_features)
     )
-    return terms, total
+    listed = stop_word_list(stop_words)
+    if listed:  # cheaper on the distinct terms than on every token
+        terms = terms.where(~F.col("term").isin(listed))
+    return terms.orderBy(F.desc("term_count"), "term").limit(max_features), total
 
 
 def _vectors(df, column, stop_words, terms, keep=()):
@@ -239,7 +257,7 @@ def topic_modeling(
     terms = [t["term"] for t in table.collect()]
     if not terms:
         raise ValueError("No usable terms remain for topic modelling.")
-    counts = _vectors(df, column, stop_words, terms, keep).drop("words")
+    counts = spread(_vectors(df, column, stop_words, terms, keep).drop("words"))
     estimator = LDA(
         k=n_topics,
         maxIter=max_iter,

@@ -33,24 +33,37 @@ class _Range:
 
 
 def _narrow(df, exprs, todo, slack):
-    """One pass that proposes closer values for every open (column, position)."""
-    sketches = []
-    for i, ((name, position), r) in enumerate(todo):
-        x = exprs[name]
+    """One sketch and one count of the table propose closer values for every open place.
+
+    Places that lie in the same range of the same column share a sketch.
+    """
+    shared: dict[tuple, list] = {}
+    for (name, position), r in todo:
         share = (position - r.below + 0.5) / r.inside
-        ends = [max(0.0, share - slack), min(1.0, share + slack)]
-        inside = F.when(x.between(r.low, r.high), x)
-        sketches.append(F.percentile_approx(inside, ends, SKETCH_ACCURACY).alias(f"s{i}"))
-    row = df.agg(*sketches).first()
+        ends = shared.setdefault((name, r.low, r.high), [])
+        ends.append((position, max(0.0, share - slack), min(1.0, share + slack)))
+    row = df.agg(
+        *[
+            F.percentile_approx(
+                F.when(exprs[name].between(low, high), exprs[name]),
+                [p for _, first, last in ends for p in (first, last)],
+                SKETCH_ACCURACY,
+            ).alias(f"s{i}")
+            for i, ((name, low, high), ends) in enumerate(shared.items())
+        ]
+    ).first()
+    found = {}
+    for i, ((name, _, _), ends) in enumerate(shared.items()):
+        for j, (position, _, _) in enumerate(ends):
+            found[(name, position)] = row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1]
     counts = []
-    for i, ((name, _), _r) in enumerate(todo):
-        low, high = row[f"s{i}"]
+    for i, ((name, _), (low, high)) in enumerate(found.items()):
         x = exprs[name]
         counts += [F.count_if(x < low).alias(f"b{i}"), F.count_if(x <= high).alias(f"u{i}")]
     seen = df.agg(*counts).first()
-    return [
-        _Range(*row[f"s{i}"], seen[f"b{i}"], seen[f"u{i}"]) for i in range(len(todo))
-    ]
+    return {
+        key: _Range(*ends, seen[f"b{i}"], seen[f"u{i}"]) for i, (key, ends) in enumerate(found.items())
+    }
 
 
 def exact_quantiles(
@@ -94,7 +107,9 @@ def exact_quantiles(
         todo = [(k, r) for k, r in wanted.items() if r.inside > max_rows and r.low < r.high]
         if not todo:
             break
-        for (key, old), new in zip(todo, _narrow(df, doubles, todo, slack), strict=True):
+        closer = _narrow(df, doubles, todo, slack)
+        for key, old in todo:
+            new = closer[key]
             if new.below <= key[1] < new.upto and new.inside < old.inside:
                 wanted[key] = new
         if all(wanted[key] is old for key, old in todo):
