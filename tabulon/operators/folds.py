@@ -25,7 +25,7 @@ def number_rows(
         buckets *= 2
     mixed = F.xxhash64(F.lit(seed), F.col(key))
     cut = df.withColumn("_hash", mixed).withColumn(
-        "_bucket", F.pmod("_hash", F.lit(buckets)).cast("int")
+        "_bucket", F.coalesce(F.pmod("_hash", F.lit(buckets)).cast("int"), F.lit(0))
     )
     keys = [*part, "_bucket"]
     order = Window.partitionBy(*keys).orderBy("_hash", key)

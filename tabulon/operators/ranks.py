@@ -35,7 +35,11 @@ def boundaries(
 
 
 def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
-    """How many cut values are <= x, by binary search over a literal array."""
+    """How many cut values are <= x, by binary search over a literal array.
+
+    The outer coalesce only tells the optimizer that it is never NULL; otherwise the joins
+    on it would check that on every row, below the aggregation.
+    """
     if not cuts:
         return F.lit(0)
     size, steps = (len(cuts) + 1) // 2, []
@@ -43,12 +47,13 @@ def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
         steps.append(size)
         size //= 2
     bounds = F.array(*[F.lit(float(v)) for v in cuts])
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda low, step: low
         + F.when(F.get(bounds, low + step - F.lit(1)) <= x, step).otherwise(F.lit(0)),
     )
+    return F.coalesce(found, F.lit(0))
 
 
 def running_counts(
