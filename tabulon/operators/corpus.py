@@ -67,8 +67,8 @@ def _exploded(df, array, name, *others):
 
 def corpus_statistics(df: DataFrame, column: str) -> DataFrame:
     """Document counts and lengths on the texts as they are. One row."""
-    docs = documents(df, column)
-    words = tx.word_count(F.col("text"))
+    docs = documents(df, column).withColumn("words", tx.word_count(F.col("text")))
+    words = F.col("words")
     row = docs.agg(
         F.count("*").alias("n"),
         F.avg(words).alias("mean"),

@@ -143,17 +143,23 @@ def categorical_statistics(df: DataFrame, columns: Sequence[str], top_n: int = 1
 
 def text_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lengths over the stripped non-blank texts; blank texts are counted apart."""
-
-    def stripped(c):
-        return tx.strip(vx.present(df, c).cast("string"))
+    vx.require_columns(df, columns)
+    stripped = df.select(*[tx.strip(vx.present(df, c).cast("string")).alias(c) for c in columns])
+    # Named once, so that the aggregates share one count of words per row.
+    measured = stripped.withColumns(
+        {
+            f"{tag}_{i}": F.when(vx.ref(c) != "", measure(vx.ref(c)))
+            for i, c in enumerate(columns)
+            for tag, measure in (("_words", tx.word_count), ("_chars", tx.char_count))
+        }
+    )
+    place = {c: i for i, c in enumerate(columns)}
 
     def figures(c):
-        text = stripped(c)
-        usable = F.when(text != "", text)
-        words, chars = tx.word_count(usable), tx.char_count(usable)
+        text, words, chars = vx.ref(c), F.col(f"_words_{place[c]}"), F.col(f"_chars_{place[c]}")
         return {
             "count": F.count(text),
-            "missing_count": F.count_if(vx.is_missing(df, c)),
+            "missing_count": F.count_if(text.isNull()),
             "empty_string_count": F.count_if(text == ""),
             "average_words": F.avg(words),
             "minimum_words": F.min(words),
@@ -164,7 +170,7 @@ def text_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         }
 
     return _describe(
-        df, columns, figures, stripped,
+        measured, columns, figures, vx.ref,
         "column_name string, count long, missing_count long, unique_count long, "
         "empty_string_count long, average_words double, minimum_words int, "
         "maximum_words int, average_characters double, minimum_characters int, "

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -43,7 +43,7 @@ from tabulon.operators.supervised import (
 )
 
 ROWS_PER_TASK = 50_000
-MAX_PARAMETERS = 5_000_000
+MAX_STATE_NUMBERS = 8_000_000  # of all folds together, moments included
 TRAIN, VALIDATE, TEST = 0, 1, 2
 
 
@@ -200,7 +200,7 @@ def _epoch_task(shared, task, classes, options, epoch, training):
                 if m.part not in local:
                     local[m.part] = {
                         "flat": m.flat.copy(), "moments": m.moments.copy(), "steps": m.steps,
-                        "rng": np.random.default_rng([m.seed, epoch, int(frame[ROW_ID].iloc[0]) & 0x7FFFFFFF]),
+                        "rng": np.random.default_rng([m.seed, epoch, TaskContext.get().partitionId()]),
                         "rows": 0.0, "loss": 0.0, "seen": 0.0, "loss_seen": 0.0,
                     }
                 mine = local[m.part]
@@ -322,8 +322,11 @@ def _models(table, prepared: Prepared, labels, parts, options: TrainingOptions,
             len(encoders[i].names), outputs, options.hidden_layers, options.activations,
             options.dropout, options.use_batch_norm,
         )
-        if spec.size > MAX_PARAMETERS:
-            raise ValueError(f"The network has more than {MAX_PARAMETERS} parameters.")
+        if 3 * spec.size * parts > MAX_STATE_NUMBERS:
+            raise ValueError(
+                f"Weights and moments of all folds exceed {MAX_STATE_NUMBERS} numbers; use "
+                "fewer folds, smaller layers or features with fewer categories."
+            )
         models.append(
             _Model(i, spec, encoders[i], weights[i], seeds[i], spec.initial(seeds[i]), np.zeros((2, spec.trainable)))
         )

@@ -79,9 +79,11 @@ def exact_quantiles(
     result list follows ``probabilities``; a column without values gives None.
     """
     names = list(exprs)
-    doubles = {n: exprs[n].cast("double") for n in names}
     if not names:
         return {}
+    # Named once, so that no pass evaluates a costly expression twice per row.
+    df = df.select(*[exprs[n].cast("double").alias(f"q{i}") for i, n in enumerate(names)])
+    doubles = {n: F.col(f"q{i}") for i, n in enumerate(names)}
     if known is None:
         row = df.agg(
             *[

@@ -517,6 +517,15 @@ def lda_topics(spark, folder):
     return corpus.topic_modeling(t, "text", 4, 8, max_iter=5).topics
 
 
+@query
+def lda_mixtures(spark, folder):
+    """Every document has one mixture, and its shares sum to one."""
+    t = load(spark, folder, "documents")
+    docs = corpus.topic_modeling(t, "text", 3, 5, max_iter=2, keep=["doc_id"]).documents
+    total = F.aggregate("topic_probabilities", F.lit(0.0), lambda a, b: a + b)
+    return docs.select("doc_id", F.round(total, 6).alias("total"))
+
+
 @query
 def lda_documents(spark, folder):
     t = load(spark, folder, "documents")
@@ -612,6 +621,23 @@ def forest_cv(spark, folder):
     return result.cross_validation.metrics
 
 
+@query
+def forest_held_out(spark, folder):
+    """Every labelled document is predicted once, in the fold that left it out."""
+    t = _document_features(spark, folder)
+    result = forest.cross_validate_random_forest(
+        supervised.prepare_supervised_data(
+            t, profile.profile_dataset(t, duplicates=False), "quality", key="doc_id",
+            exclude_columns=["doc_id", "toxic"],
+        ),
+        forest.build_random_forest("classification", n_estimators=5, max_depth=3), 3,
+    )
+    predicted = result.predictions.where(F.col("prediction").isin(0.0, 1.0))
+    return predicted.groupBy(F.col("truth").cast("int").alias("quality"), "fold").agg(
+        F.count("*").alias("n")
+    )
+
+
 @query
 def forest_importance(spark, folder):
     t = load(spark, folder, "orders").drop("o_orderdate")
@@ -658,3 +684,15 @@ def network_weights(spark, folder):
 def network_predict(spark, folder):
     t, fitted = _linear_network(spark, folder)
     return network.predict_feed_forward_network(fitted, t)
+
+
+@query
+def network_scores(spark, folder):
+    """Every customer gets probabilities that sum to one."""
+    t, fitted = _linear_network(spark, folder)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    scored = network.predict_feed_forward_network(fitted, t)
+    return scored.select(
+        "c_custkey", F.round(total, 6).alias("total"),
+        F.col("prediction").isin(*fitted.class_names).alias("known_class"),
+    )

@@ -445,6 +445,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS document_frequency FROM tf GROUP BY term
             HAVING count(DISTINCT doc_id) BETWEEN 2 AND 0.95 * (SELECT count(*) FROM docs)
             ORDER BY term_count DESC, term LIMIT 5000""",
+        "lda_mixtures": f"SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE {STRIPPED} <> ''",
+        "forest_held_out": """WITH c AS (SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality),
+            s AS (SELECT quality, n, sum(n) OVER (ORDER BY quality) - n AS start FROM c),
+            spots AS (SELECT quality, start, unnest(range(0, n)) AS i FROM s)
+            SELECT quality, CAST((i + start) % 3 AS INTEGER) AS fold, count(*) AS n FROM spots GROUP BY 1, 2""",
+        "network_scores": "SELECT c_custkey, 1.0::DOUBLE AS total, true AS known_class FROM customer",
         "detect_task": " UNION ALL ".join(
             [
                 _detect("o_orderstatus", "orders", "classification", "false"),
