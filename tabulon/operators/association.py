@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from tabulon.operators import ranks
 from tabulon.operators.corrections import adjust
 
 MAX_GROUPS = 1_000
+FEW_GROUPS = 12
 MAX_TABLE_COLUMNS = 10_000
 
 
@@ -72,12 +74,18 @@ def spearman_correlation(df: DataFrame, column_1: str, column_2: str) -> DataFra
 # --- numeric with groups --------------------------------------------------------------
 
 
-def _rank_sum_aggregates(n1, n2):
+PAIR_SCHEMA = (
+    "group_1 string, group_2 string, group_1_n long, group_2_n long, group_1_median double, "
+    "group_2_median double, statistic double, p_value double, rank_biserial double"
+)
+
+
+def _rank_sum_aggregates(first: str, second: str, u: str, ties: str):
     """U of the first group and the tie term, from counts per distinct value."""
-    below = F.col("n2_below").cast("double") + F.col("n2") / F.lit(2.0)
+    below = F.col(f"{second}_below").cast("double") + F.col(second) / F.lit(2.0)
     return [
-        F.sum(F.col("n1") * below).alias("u"),
-        ranks.tie_term(F.col("n1") + F.col("n2")).alias("ties"),
+        F.sum(F.col(first) * below).alias(u),
+        ranks.tie_term(F.col(first) + F.col(second)).alias(ties),
     ]
 
 
@@ -90,6 +98,43 @@ def _middle(count: str, below: str, total):
     return (values[0] + values[1]) / 2
 
 
+def _group_name(value) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _compare_few_groups(data: DataFrame, sizes: Sequence) -> list[tuple]:
+    """Mann-Whitney of all pairs of a few groups: (pair figures, p-value method) per pair.
+
+    One shuffle makes a count per group for every distinct value; U, ties and medians of
+    all pairs then come from one aggregate over the running counts. ``sizes`` lists
+    (group, rows).
+    """
+    cuts = ranks.boundaries(data, ["x"], sum(n for _, n in sizes))["x"]
+    counts = [f"c{i}" for i in range(len(sizes))]
+    freq = data.groupBy("x").agg(
+        *[F.count_if(F.col("g") == F.lit(g)).alias(c) for c, (g, _) in zip(counts, sizes, strict=True)]
+    )
+    pairs = list(combinations(range(len(sizes)), 2))
+    aggregates = [
+        _middle(c, f"{c}_below", F.lit(n)).alias(f"m{i}")
+        for i, (c, (_, n)) in enumerate(zip(counts, sizes, strict=True))
+    ]
+    for i, j in pairs:
+        aggregates += _rank_sum_aggregates(counts[i], counts[j], f"u{i}_{j}", f"t{i}_{j}")
+    row = ranks.running_counts(freq, "x", counts, cuts).agg(*aggregates).first()
+    lines = []
+    for i, j in pairs:
+        (g1, n1), (g2, n2) = sizes[i], sizes[j]
+        u = row[f"u{i}_{j}"]
+        p, method = special.mann_whitney_p(u, n1, n2, row[f"t{i}_{j}"])
+        figures = (
+            _group_name(g1), _group_name(g2), n1, n2, row[f"m{i}"], row[f"m{j}"], u, p,
+            2 * u / n1 / n2 - 1,
+        )
+        lines.append((figures, method))
+    return lines
+
+
 def mann_whitney_test(df: DataFrame, numeric_column: str, binary_column: str) -> DataFrame:
     """Two-sided Mann-Whitney U with the rank-biserial effect size. One row.
 
@@ -97,36 +142,13 @@ def mann_whitney_test(df: DataFrame, numeric_column: str, binary_column: str) ->
     exact distribution or the tie- and continuity-corrected normal one was used.
     """
     data = _numeric_and_group(df, numeric_column, binary_column)
-    groups = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").limit(3).collect()
-    if len(groups) != 2:
+    sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").limit(3).collect()
+    if len(sizes) != 2:
         raise ValueError("Mann-Whitney requires exactly two groups.")
-    (g1, n1), (g2, n2) = groups
-    cuts = ranks.boundaries(data, ["x"], n1 + n2)["x"]
-    freq = data.groupBy("x").agg(
-        F.count_if(F.col("g") == F.lit(g1)).alias("n1"),
-        F.count_if(F.col("g") == F.lit(g2)).alias("n2"),
-    )
-    row = (
-        ranks.running_counts(freq, "x", ["n1", "n2"], cuts)
-        .agg(
-            *_rank_sum_aggregates("n1", "n2"),
-            _middle("n1", "n1_below", F.lit(n1)).alias("m1"),
-            _middle("n2", "n2_below", F.lit(n2)).alias("m2"),
-        )
-        .first()
-    )
-    p, method = special.mann_whitney_p(row["u"], n1, n2, row["ties"])
-    labels = data.select("g").schema.fields[0].dataType.typeName()
-    names = [str(g).lower() if labels == "boolean" else str(g) for g in (g1, g2)]
+    ((figures, method),) = _compare_few_groups(data, sizes)
     return df.sparkSession.createDataFrame(
-        [
-            ("mann_whitney_u", numeric_column, binary_column, *names, n1, n2, row["m1"],
-             row["m2"], row["u"], p, method, 2 * row["u"] / n1 / n2 - 1)
-        ],
-        "method string, numeric_column string, group_column string, group_1 string, "
-        "group_2 string, group_1_n long, group_2_n long, group_1_median double, "
-        "group_2_median double, statistic double, p_value double, p_method string, "
-        "rank_biserial double",
+        [("mann_whitney_u", numeric_column, binary_column, *figures, method)],
+        f"method string, numeric_column string, group_column string, {PAIR_SCHEMA}, p_method string",
     )
 
 
@@ -192,11 +214,7 @@ def mann_whitney_posthoc(
     alpha: float = 0.05,
     correction: str = "holm",
 ) -> DataFrame:
-    """Mann-Whitney for every pair of groups with corrected p-values, one row per pair.
-
-    Values collapse to counts per (value, group) first; each count then joins the pairs
-    its group is in, so the data rows themselves are never repeated.
-    """
+    """Mann-Whitney for every pair of groups with corrected p-values, one row per pair."""
     data = _numeric_and_group(df, numeric_column, categorical_column)
     spark = df.sparkSession
     sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").limit(MAX_GROUPS + 1)
@@ -206,6 +224,23 @@ def mann_whitney_posthoc(
         raise ValueError("Post-hoc testing requires at least three groups.")
     if k > MAX_GROUPS:
         raise ValueError(f"Post-hoc testing compares all pairs; more than {MAX_GROUPS} groups found.")
+    if k <= FEW_GROUPS:
+        lines = _compare_few_groups(data, listed)
+        compared = spark.createDataFrame([figures for figures, _ in lines], PAIR_SCHEMA)
+    else:
+        compared = _compare_many_groups(data, listed)
+    return adjust(compared, "p_value", k * (k - 1) // 2, correction).withColumn(
+        "significant", F.col("adjusted_p_value") <= F.lit(alpha)
+    )
+
+
+def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
+    """Mann-Whitney of all pairs when one column per group would be too wide.
+
+    Values collapse to counts per (value, group) first; each count then joins the pairs
+    its group is in, so the data rows themselves are never repeated.
+    """
+    spark, k = data.sparkSession, len(listed)
     total = sum(r["n"] for r in listed)
     cuts = ranks.boundaries(data, ["x"], total)["x"]
     schema = data.schema["g"].dataType.simpleString()
@@ -227,7 +262,7 @@ def mann_whitney_posthoc(
     tests = (
         ranks.running_counts(paired, "x", ["n1", "n2"], cuts, ["a", "b"])
         .groupBy("a", "b")
-        .agg(*_rank_sum_aggregates("n1", "n2"))
+        .agg(*_rank_sum_aggregates("n1", "n2", "u", "ties"))
     )
     medians = _group_medians(data, index.select("g", "n"), cuts)
     named = index.join(medians.select("g", "median"), "g").select(
@@ -246,7 +281,7 @@ def mann_whitney_posthoc(
             [special.mann_whitney_p(*args)[0] for args in zip(u, n1, n2, ties, strict=True)], dtype="float64"
         )
 
-    compared = (
+    return (
         tests.join(side("a", "group_1"), "a")
         .join(side("b", "group_2"), "b")
         .select(
@@ -256,9 +291,6 @@ def mann_whitney_posthoc(
             (2 * F.col("u") / F.col("group_1_n") / F.col("group_2_n") - 1).alias("rank_biserial"),
         )
     )
-    return adjust(compared, "p_value", k * (k - 1) // 2, correction).withColumn(
-        "significant", F.col("adjusted_p_value") <= F.lit(alpha)
-    )
 
 
 @dataclass(frozen=True)

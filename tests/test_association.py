@@ -124,7 +124,9 @@ def test_posthoc_skipped_when_not_significant(spark):
     assert result.posthoc is None
 
 
-def test_posthoc_pairs_are_ranked_apart_in_buckets(spark, small_buckets):
+@pytest.mark.parametrize("few", [0, 12])
+def test_posthoc_pairs_are_ranked_apart_in_buckets(spark, small_buckets, monkeypatch, few):
+    monkeypatch.setattr(association, "FEW_GROUPS", few)
     rng = random.Random(4)
     rows = [(float(rng.randint(0, 50)), rng.choice("ABC")) for _ in range(200)]
     df = spark.createDataFrame(rows, "x double, g string")
