@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import special
@@ -102,6 +103,13 @@ def _group_name(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
+def _counts_per_value(data: DataFrame, sizes: Sequence) -> tuple[list[str], DataFrame]:
+    """One row per distinct value with a count column per group, from one shuffle."""
+    counts = [f"c{i}" for i in range(len(sizes))]
+    in_group = [F.count_if(F.col("g") == F.lit(g)) for g, _ in sizes]
+    return counts, data.groupBy("x").agg(*[e.alias(c) for e, c in zip(in_group, counts, strict=True)])
+
+
 def _compare_few_groups(data: DataFrame, sizes: Sequence) -> list[tuple]:
     """Mann-Whitney of all pairs of a few groups: (pair figures, p-value method) per pair.
 
@@ -110,10 +118,7 @@ def _compare_few_groups(data: DataFrame, sizes: Sequence) -> list[tuple]:
     (group, rows).
     """
     cuts = ranks.boundaries(data, ["x"], sum(n for _, n in sizes))["x"]
-    counts = [f"c{i}" for i in range(len(sizes))]
-    freq = data.groupBy("x").agg(
-        *[F.count_if(F.col("g") == F.lit(g)).alias(c) for c, (g, _) in zip(counts, sizes, strict=True)]
-    )
+    counts, freq = _counts_per_value(data, sizes)
     pairs = list(combinations(range(len(sizes)), 2))
     aggregates = [
         _middle(c, f"{c}_below", F.lit(n)).alias(f"m{i}")
@@ -178,35 +183,80 @@ def kruskal_wallis_test(
     """Tie-corrected Kruskal-Wallis H over three or more groups."""
     data = _numeric_and_group(df, numeric_column, categorical_column)
     sizes = data.groupBy("g").agg(F.count("*").alias("n"))
-    k, n = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if k < 3:
+    listed = sizes.orderBy("g").limit(FEW_GROUPS + 1).collect()
+    if len(listed) < 3:
         raise ValueError("Kruskal-Wallis requires at least three groups.")
-    cuts = ranks.boundaries(data, ["x"], n)["x"]
-    ranked = ranks.centred_ranks(data.select("x"), "x", n, cuts)
-    per_group = (
-        data.groupBy("x", "g").agg(F.count("*").alias("c"))
-        .join(ranked, "x")
-        .groupBy("g")
-        .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    )
-    between = per_group.agg(F.sum(F.col("r") * F.col("r") / F.col("n"))).first()[0]
-    ties = ranked.agg(ranks.tie_term(F.col("ties"))).first()[0]
+    spark = df.sparkSession
+    if len(listed) <= FEW_GROUPS:
+        k, n = len(listed), sum(r["n"] for r in listed)
+        between, ties, medians = _rank_few_groups(data, listed)
+        groups = spark.createDataFrame(
+            [(_group_name(r["g"]), r["n"], m) for r, m in zip(listed, medians, strict=True)],
+            "group_name string, n long, median double",
+        )
+    else:
+        k, n = sizes.agg(F.count("*"), F.sum("n")).first()
+        cuts = ranks.boundaries(data, ["x"], n)["x"]
+        between, ties = _rank_many_groups(data, n, cuts)
+        groups = _group_medians(data, sizes, cuts).select(
+            F.col("g").cast("string").alias("group_name"), "n", "median"
+        )
     correction = 1.0 - ties / (float(n) ** 3 - n)
     if correction == 0:
         raise ValueError("All numbers are identical in kruskal.")
     h = 12.0 / (n * (n + 1.0)) * between / correction
     p = special.chi_square_tail(h, k - 1)
-    test = df.sparkSession.createDataFrame(
+    test = spark.createDataFrame(
         [("kruskal_wallis", numeric_column, categorical_column, n, k, h, p)],
         "method string, numeric_column string, group_column string, n long, "
         "number_of_groups long, statistic double, p_value double",
     )
-    groups = _group_medians(data, sizes, cuts).select(
-        F.col("g").cast("string").alias("group_name"), "n", "median"
-    )
     return KruskalResult(test, groups, p)
 
 
+def _rank_few_groups(data: DataFrame, sizes: Sequence) -> tuple[float, float, list[float]]:
+    """Sum of squared centred rank sums over group sizes, tie term and group medians."""
+    n = sum(r["n"] for r in sizes)
+    cuts = ranks.boundaries(data, ["x"], n)["x"]
+    counts, freq = _counts_per_value(data, sizes)
+    freq = freq.withColumn("ties", reduce(Column.__add__, [F.col(c) for c in counts]))
+    rank = F.col("ties_below") + (F.col("ties") + 1) / F.lit(2.0) - F.lit((n + 1) / 2.0)
+    row = (
+        ranks.running_counts(freq, "x", [*counts, "ties"], cuts)
+        .withColumn("rank", rank)
+        .agg(
+            ranks.tie_term(F.col("ties")).alias("ties"),
+            *[F.sum(F.col(c) * F.col("rank")).alias(f"r_{c}") for c in counts],
+            *[
+                _middle(c, f"{c}_below", F.lit(r["n"])).alias(f"m_{c}")
+                for c, r in zip(counts, sizes, strict=True)
+            ],
+        )
+        .first()
+    )
+    between = sum(row[f"r_{c}"] ** 2 / r["n"] for c, r in zip(counts, sizes, strict=True))
+    return between, row["ties"], [row[f"m_{c}"] for c in counts]
+
+
+def _rank_many_groups(data: DataFrame, n: int, cuts: Sequence[float]) -> tuple[float, float]:
+    """The same two sums when a column per group would be too wide: ranks are joined on."""
+    ranked = ranks.centred_ranks(data.select("x"), "x", n, cuts)
+    c, t = F.col("c"), F.col("ties").cast("double")
+    per_group = (
+        data.groupBy("x", "g").agg(F.count("*").alias("c"))
+        .join(ranked, "x")
+        .groupBy("g")
+        .agg(
+            F.sum("c").alias("n"), F.sum(c * F.col("rank")).alias("r"),
+            # the rows of a value add up to ties * (ties^2 - 1)
+            F.sum(c * (t - 1.0) * (t + 1.0)).alias("ties"),
+        )
+    )
+    return tuple(
+        per_group.agg(F.sum(F.col("r") * F.col("r") / F.col("n")), F.sum("ties")).first()
+    )
+
+
 def mann_whitney_posthoc(
     df: DataFrame,
     numeric_column: str,

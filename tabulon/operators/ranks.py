@@ -19,7 +19,7 @@ MAX_BUCKETS = 4_096
 def boundaries(
     df: DataFrame, columns: Sequence[str], rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> dict[str, list[float]]:
-    """Cut values per column: 2^m - 1 of them, or none when one bucket will do.
+    """Ascending cut values per column, or none when one bucket will do.
 
     They come from a sketch and only balance the work; any cut gives the same ranks.
     """
@@ -31,29 +31,25 @@ def boundaries(
     shares = [i / buckets for i in range(1, buckets)]
     accuracy = max(1_000, 4 * buckets)
     row = df.agg(*[F.percentile_approx(c, shares, accuracy).alias(c) for c in columns]).first()
-    return {c: list(row[c]) for c in columns}
+    return {c: sorted(set(row[c])) for c in columns}
 
 
 def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
-    """How many cut values are <= x, by binary search over a literal array.
+    """How many of the ascending cut values are <= x, as a balanced tree of comparisons.
 
-    The outer coalesce only tells the optimizer that it is never NULL; otherwise the joins
-    on it would check that on every row, below the aggregation.
+    Plain conditions compile to bytecode; a search over an array needs a lambda, which
+    Spark interprets per row and carries wrongly into filters inferred from joins.
     """
-    if not cuts:
-        return F.lit(0)
-    size, steps = (len(cuts) + 1) // 2, []
-    while size:
-        steps.append(size)
-        size //= 2
-    bounds = F.array(*[F.lit(float(v)) for v in cuts])
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: low
-        + F.when(F.get(bounds, low + step - F.lit(1)) <= x, step).otherwise(F.lit(0)),
-    )
-    return F.coalesce(found, F.lit(0))
+
+    def between(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(x < F.lit(float(cuts[middle])), between(first, middle)).otherwise(
+            between(middle + 1, last)
+        )
+
+    return between(0, len(cuts))
 
 
 def running_counts(
