@@ -344,6 +344,33 @@ def posthoc_holm(spark, folder):
     )
 
 
+def _many_groups(spark, folder):
+    return load(spark, folder, "lineitem").select(
+        "l_extendedprice", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("slot")
+    )
+
+
+@query
+def kruskal_many_groups(spark, folder):
+    """More groups than get a column each: ranks are joined on instead."""
+    test = association.kruskal_wallis_test(_many_groups(spark, folder), "l_extendedprice", "slot").test
+    return rounded(test, 6, "statistic", "p_value")
+
+
+@query
+def kruskal_many_medians(spark, folder):
+    groups = association.kruskal_wallis_test(_many_groups(spark, folder), "l_extendedprice", "slot").groups
+    return rounded(groups, 6, "median")
+
+
+@query
+def posthoc_many_groups(spark, folder):
+    pairs = association.mann_whitney_posthoc(_many_groups(spark, folder), "l_extendedprice", "slot")
+    return rounded(
+        pairs, 6, "p_value", "adjusted_p_value", "rank_biserial", "group_1_median", "group_2_median"
+    )
+
+
 @query
 def posthoc_corrections(spark, folder):
     """Every correction over the same comparisons."""

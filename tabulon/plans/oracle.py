@@ -54,6 +54,7 @@ def _profile(source: str, columns: dict[str, str], text: str | None = None, extr
 
 GAPPY_LINEITEM = """(SELECT * REPLACE (nullif(l_quantity, 50) AS l_quantity,
     nullif(l_discount, 0) AS l_discount, nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem)"""
+MANY_GROUPS = """(SELECT l_extendedprice, l_returnflag || CAST(l_linenumber AS VARCHAR) AS slot FROM lineitem)"""
 GAPPY_CUSTOMER = """(SELECT c_custkey, c_nationkey,
     CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal,
     nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer)"""
@@ -145,6 +146,15 @@ PAIR_TESTS = """
 """
 
 
+def _posthoc(source):
+    return f"""WITH base AS ({source}), {PAIR_TESTS},
+    ordered AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM tested),
+    adjusted AS (SELECT *, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY i)) AS q FROM ordered)
+    SELECT a AS group_1, b AS group_2, CAST(n1 AS BIGINT) AS group_1_n, CAST(n2 AS BIGINT) AS group_2_n,
+      round(m1, 6) AS group_1_median, round(m2, 6) AS group_2_median, u AS statistic, round(p, 6) AS p_value,
+      round(2 * u / n1 / n2 - 1, 6) AS rank_biserial, round(q, 6) AS adjusted_p_value, q <= 0.05 AS significant FROM adjusted"""
+
+
 def _kruskal(numeric, group, table, p):
     return f"""WITH base AS (SELECT {group} AS g, CAST({numeric} AS DOUBLE) AS x FROM {table}),
     ranked AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r,
@@ -403,12 +413,14 @@ def oracle_sql() -> dict[str, str]:
         "kruskal": _kruskal("l_extendedprice", "l_returnflag", "lineitem", "exp(-h / 2)") + " FROM stat",
         "kruskal_groups": """SELECT l_returnflag AS group_name, count(*) AS n, round(median(l_extendedprice), 6) AS median
             FROM lineitem GROUP BY 1""",
-        "posthoc_holm": f"""WITH base AS (SELECT lang AS g, CAST(n_chars AS DOUBLE) AS x FROM documents), {PAIR_TESTS},
-            ordered AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM tested),
-            adjusted AS (SELECT *, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY i)) AS q FROM ordered)
-            SELECT a AS group_1, b AS group_2, CAST(n1 AS BIGINT) AS group_1_n, CAST(n2 AS BIGINT) AS group_2_n,
-              round(m1, 6) AS group_1_median, round(m2, 6) AS group_2_median, u AS statistic, round(p, 6) AS p_value,
-              round(2 * u / n1 / n2 - 1, 6) AS rank_biserial, round(q, 6) AS adjusted_p_value, q <= 0.05 AS significant FROM adjusted""",
+        "posthoc_holm": _posthoc("SELECT lang AS g, CAST(n_chars AS DOUBLE) AS x FROM documents"),
+        "kruskal_many_groups": _kruskal(
+            "l_extendedprice", "slot", MANY_GROUPS,
+            "exp(-h / 2) * (SELECT sum(power(h / 2, i) / gamma(i + 1)) FROM range(0, 10) AS t(i))",
+        ) + " FROM stat",
+        "kruskal_many_medians": f"""SELECT slot AS group_name, count(*) AS n, round(median(l_extendedprice), 6) AS median
+            FROM {MANY_GROUPS} GROUP BY 1""",
+        "posthoc_many_groups": _posthoc(f"SELECT slot AS g, l_extendedprice AS x FROM {MANY_GROUPS}"),
         "posthoc_corrections": _corrections(),
         "kruskal_gated": _kruskal("value", "event_type", "events", "exp(-h / 2) * (1 + h / 2)")
         + ", CAST(CASE WHEN exp(-h / 2) * (1 + h / 2) < 0.05 THEN k * (k - 1) / 2 ELSE 0 END AS BIGINT) AS comparisons FROM stat",
