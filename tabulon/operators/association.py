@@ -16,6 +16,7 @@ from tabulon.functions import special
 from tabulon.functions import values as vx
 from tabulon.operators import ranks
 from tabulon.operators.corrections import adjust
+from tabulon.session import ship_package
 
 MAX_GROUPS = 1_000
 FEW_GROUPS = 12
@@ -291,6 +292,7 @@ def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
     its group is in, so the data rows themselves are never repeated.
     """
     spark, k = data.sparkSession, len(listed)
+    ship_package(spark)
     total = sum(r["n"] for r in listed)
     cuts = ranks.boundaries(data, ["x"], total)["x"]
     schema = data.schema["g"].dataType.simpleString()

@@ -15,6 +15,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.session import ship_package
+
 MAX_CLUSTERS = 10_000
 # The all-pairs silhouette shares the whole matrix with every task, hence these bounds.
 EXACT_SILHOUETTE_ROWS = 50_000
@@ -85,6 +87,7 @@ def cluster_indices(
     table is small enough to share with the tasks and otherwise gives the squared
     Euclidean one, which needs cluster sums only; ``silhouette_kind`` says which.
     """
+    ship_package(data.sparkSession)
     labels, sizes, centres = _centres(data, features, cluster)
     k, n = len(labels), int(sizes.sum())
     if k < 2:

@@ -41,6 +41,7 @@ from tabulon.operators.supervised import (
     Prepared,
     prepare_supervised_data,
 )
+from tabulon.session import ship_package
 
 ROWS_PER_TASK = 50_000
 MAX_STATE_NUMBERS = 8_000_000  # of all folds together, moments included
@@ -340,6 +341,7 @@ def _training_table(table: DataFrame, rows: int, keep: Sequence[str]) -> tuple[D
     most = max(context.defaultParallelism, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tasks = max(1, min(most, math.ceil(rows / ROWS_PER_TASK)))
     narrow = table.select(ROW_ID, "_num", "_cat", "_role", LABEL, *keep)
+    ship_package(table.sparkSession)
     spread = narrow.repartition(tasks, ROW_ID).sortWithinPartitions(ROW_ID)
     return spread.persist(StorageLevel.MEMORY_AND_DISK), tasks
 
@@ -531,6 +533,7 @@ def predict_feed_forward_network(network: FittedNetwork, new_data: DataFrame) ->
     missing = [c for c in network.selection.feature_columns if c not in new_data.columns]
     if missing:
         raise ValueError(f"New data is missing columns: {missing}.")
+    ship_package(new_data.sparkSession)
     classes = len(network.class_names) if network.class_names else None
     ready = _arrays(new_data, network.selection, network.labels)
     score = _scorer([network.model], network.task_type, classes)("_num", "_cat", F.lit(0))

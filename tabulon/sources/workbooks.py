@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.session import ship_package
+
 MAX_REPEAT = 16_384  # columns a sheet can have; longer empty repeats pad the row's end
 
 
@@ -108,6 +110,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     The header of the first file by path names the columns; other files are matched to
     it by name.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     first = files.orderBy("path").limit(1).collect()  # one workbook
     names = _header(bytes(first[0]["content"])) if first else []
