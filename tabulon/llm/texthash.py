@@ -74,6 +74,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def span_hasher(data: np.ndarray):
+    """A function from byte ranges (starts, ends) of ``data`` to their 64-bit hashes."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n)[:n], out=sums[1:])
+    down = _powers("down", _INVERSE, n + 1)
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Word bounds and hashes of a block of texts.
 
@@ -91,10 +100,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n)[:n], out=sums[1:])
-        self._sums = sums
-        self._down = _powers("down", _INVERSE, n + 1)
+        self._span = span_hasher(self.data)
 
     def hashes(self) -> np.ndarray:
         return self._span(self.start, self.end)
@@ -104,9 +110,6 @@ class Words:
         out = self._span(self.start, np.minimum(self.start + size, self.end)) ^ np.uint64(size)
         return np.where(self.end - self.start > size, out, np.uint64(0))
 
-    def _span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
-
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
