@@ -1,17 +1,45 @@
-"""The corpus pipeline: STAGES applied in order to documents."""
+"""The corpus pipeline: STAGES applied in order to documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its
+result is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm import bpe, digest_index, mixing, queries, toxicity
 from tabulon.llm.ngram_join import ngram_jaccard_join
+from tabulon.session import shared_folder
 
 #: Near-duplicate stage: words in a shingle and the least Jaccard similarity in percent.
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from the labelled ones."""
+    model = queries.toxicity_model(docs, _labels(spark, sf_dir))
+    scored = toxicity.score_toxicity(docs, model, name="__toxic")
+    return scored.where(F.col("__toxic") < queries.TOXIC_FROM).drop("__toxic")
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts, by a digest index made for this run."""
+    index = digest_index.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    try:
+        return digest_index.drop_copies(docs, index)
+    finally:
+        index.drop()
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     found = ngram_jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
@@ -19,14 +47,38 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("ngram_jaccard_join", near_dedup_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix with the target shares of quality domains that no document must repeat for."""
+    labels = queries.mixing_labels(_labels(spark, sf_dir))
+    model, _ = mixing.fit_mixing(docs, labels, queries.MIX_WEIGHTS, repeat=False)
+    return mixing.mix(docs, model)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its ids and their number; its text is what the ids decode to."""
+    codec = bpe.build_codec(docs, queries.VOCABULARY)
+    coded = bpe.decode_documents(bpe.encode_documents(docs, codec, name="ids"), codec, "ids", "decoded")
+    columns = [F.col("decoded").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return coded.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard_join", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
 
-#: No SQL engine expresses the classifier, the fit or the byte-pair merges.
+#: SQL has no classifier, fit or byte-pair merges; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the stages' results lie in the shared folder."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
     return docs

@@ -157,7 +157,7 @@ def _search(index, threshold: float):
             totals = np.zeros(len(listed), np.int64)
             for a in range(0, len(asking), _CHUNK):
                 part = asking.iloc[a : a + _CHUNK]
-                own, own_copies, own_raw = part["vec_id"].to_numpy(), part["copies"].to_numpy(), _matrix(part["vector"], ix.width)
+                own, own_copies, own_raw = part["q_vec_id"].to_numpy(), part["q_copies"].to_numpy(), _matrix(part["q_vector"], ix.width)
                 unit, own_length = _units(own_raw), np.sqrt((own_raw * own_raw).sum(1))
                 close = np.repeat((unit @ ix.centres[cell])[:, None], len(ids), 1)
                 for m, table in enumerate(ix.tables(unit)):
@@ -170,7 +170,7 @@ def _search(index, threshold: float):
                 for i, n in zip(own, np.bincount(q, copies[x], len(own)).astype(np.int64)):
                     counts[i] = counts.get(i, 0) + int(n)
                 # An entry that does not visit the query's list learns of the link here.
-                cells = part["cell"].to_numpy()
+                cells = part["q_home"].to_numpy()
                 blind = np.array([int(c) not in probed[k] for c, k in zip(cells[q], x)])
                 totals += np.bincount(x[blind], own_copies[q[blind]], len(ids)).astype(np.int64)
                 linked = np.zeros((len(own), len(ids)), bool)
@@ -208,14 +208,14 @@ def _found(entries: DataFrame, threshold: float) -> DataFrame:
         .select("label", "size", "cell", "list_block", "query_block", "vec_id", "copies", "vector", "code", "error", "probes")
     )
     queries = (
-        asked.select("label", "size", F.col("visit"), "vec_id", "copies", "vector", "cell")
-        .join(blocks.withColumnRenamed("cell", "visit"), ["label", "size", "visit"])
+        asked.select("label", "size", F.col("visit").alias("cell"), "vec_id", "copies", "vector", F.col("cell").alias("home"))
+        .join(blocks, ["label", "size", "cell"])
         .withColumn("query_block", place("query_blocks", "query")).withColumn("list_block", every("list_blocks"))
-        .select("label", "size", "visit", "list_block", "query_block", "vec_id", "copies", "vector", "cell")
     )
+    keys = ["label", "size", "cell", "list_block", "query_block"]
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in keys], *[F.col(c).alias(f"q_{c}") for c in ("vec_id", "copies", "vector", "home")])
     return materialise(
-        listed.groupBy("label", "size", "cell", "list_block", "query_block")
-        .cogroup(queries.groupBy("label", "size", "visit", "list_block", "query_block"))
+        listed.groupBy(*keys).cogroup(queries.groupBy(*[f"q_{c}" for c in keys]))
         .applyInPandas(_search(index, threshold), "a long, b long, n long")
     )
 

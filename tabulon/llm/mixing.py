@@ -40,19 +40,19 @@ def _log(size: Column) -> Column:
 def with_features(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with __tokens and one bin per feature, from the whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumn("__words", F.split(text, " "))
-    words = F.size("__words")
+    docs = docs.withColumn("__split", F.split(text, " "))
+    words = F.size("__split")
     doubled = F.regexp_count(text, F.lit("(\\S+)\\x20\\1(?=\\s)"))
     lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     bins = {
         "words": _log(words), "word_length": F.least(F.floor(F.char_length(text) / words), F.lit(BINS - 1)).cast("int"),
         "capitals": _share(F.regexp_count(text, F.lit("[A-Z]")), F.char_length(text)),
         "marks": _share(F.regexp_count(text, F.lit("[!-/:-@\\[-`{-~]")), F.char_length(text)),
-        "distinct": _share(F.size(F.array_distinct("__words")), words), "lines": _share(lines, words),
+        "distinct": _share(F.size(F.array_distinct("__split")), words), "lines": _share(lines, words),
         "beyond_ascii": _share(F.octet_length(text) - F.char_length(text), F.char_length(text)), "doubled": _share(doubled, words),
     }
     docs = docs.withColumns({"__tokens": token_count(text), **{f"__{name}": bins[name] for name in FEATURES}})
-    return docs.drop("__words")
+    return docs.drop("__split")
 
 
 @dataclass(frozen=True)

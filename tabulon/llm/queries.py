@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, digest_index, embedding_dedup, language, license_rules, mixing, ngram_join, quality, toxicity
+from tabulon.llm import bpe, digest_index, embedding_dedup, language, license_rules, mixing, ngram_join, quality, quotation, toxicity
 from tabulon.llm.training import fold_of
 
 #: The vocabulary file of op6; a folder that every driver has.
@@ -59,6 +59,10 @@ def op4_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs, bpe.build_codec(docs, VOCABULARY))
@@ -95,6 +99,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_fm": op3_quality_fm,
     "op4_embedding_pq": op4_embedding_pq,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_soft_mixing": op8_soft_mixing,

@@ -69,18 +69,20 @@ def train_rounds(rows: DataFrame, state: np.ndarray, step: Callable, rounds: int
     context, width = rows.sparkSession.sparkContext, state.shape[1]
     names = [f"d{k}" for k in range(width)]
     schema = "place long, " + ", ".join(f"{n} double" for n in names)
-    for _ in range(rounds):
-        shared = context.broadcast(state)
 
-        def run(part: pd.DataFrame, shared=shared) -> pd.DataFrame:
+    def learns(shared):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("rank", kind="stable")
             local = shared.value.copy()
             step(local, part["index"].tolist(), part["value"].tolist(), part["target"].to_numpy())
             delta = local - shared.value
             changed = np.flatnonzero(delta.any(axis=1))
             return pd.DataFrame({"place": changed, **{n: delta[changed, k] for k, n in enumerate(names)}})
+        return run
 
-        mean = rows.groupBy("shard").applyInPandas(run, schema).groupBy("place").agg(*[F.avg(n).alias(n) for n in names])
+    for _ in range(rounds):
+        shared = context.broadcast(state)
+        mean = rows.groupBy("shard").applyInPandas(learns(shared), schema).groupBy("place").agg(*[F.avg(n).alias(n) for n in names])
         table = mean.toArrow()  # at most one row per parameter
         state = state.copy()
         places = table.column("place").to_numpy()
