@@ -81,11 +81,17 @@ class MixingModel:
 
     def rate(self, start: Column | None = None, steps=None) -> Column:
         """The rate after the fitted steps, from 1; each step is followed by the projection to >= 0."""
-        rate = F.lit(1.0) if start is None else start
-        for step in self.steps if steps is None else steps:
-            move = sum((F.col(f"__p{k}") * F.lit(e) for k, e in enumerate(step)), F.lit(0.0))
-            rate = F.greatest(rate - move, F.lit(0.0))
-        return rate
+        start = F.lit(1.0) if start is None else start
+        steps = self.steps if steps is None else steps
+        if not steps:
+            return start
+        table = F.array(*[F.array(*[F.lit(e) for e in step]) for step in steps])
+
+        def move(rate, step):
+            along = sum((F.col(f"__p{k}") * step[k] for k in range(1, len(self.domains))), F.col("__p0") * step[0])
+            return F.greatest(rate - along, F.lit(0.0))
+
+        return F.aggregate(table, start, move)
 
 
 def learn_domains(features: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id") -> MixingModel:
@@ -132,7 +138,7 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
         if max(abs(m) for m in miss) < TOLERANCE:
             break
         steps.append(tuple(miss))
-        if len(steps) - done == 12:  # keep the expression short
+        if len(steps) - done == 12:
             table, done = materialise(table.withColumn("__rate", model.rate(F.col("__rate"), steps[done:]))), len(steps)
     return MixingModel(model.domains, model.priors, model.tables, tuple(steps))
 
