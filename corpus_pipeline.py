@@ -18,6 +18,8 @@ from tabulon.session import shared_folder
 #: Near-duplicate stage: words in a shingle and the least Jaccard similarity in percent.
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+#: Mixing stage: documents of low quality should keep half their share of the tokens.
+MIX_RELATIVE = {"high": 1.0, "low": 0.5}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +50,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix with the target shares of quality domains that no document must repeat for."""
+    """The mix in which the low-quality domain has half its share, and no document repeats."""
     labels = queries.mixing_labels(_labels(spark, sf_dir))
-    model, _ = mixing.fit_mixing(docs, labels, queries.MIX_WEIGHTS, repeat=False)
+    model, _ = mixing.fit_mixing(docs, labels, MIX_RELATIVE, repeat=False, relative=True)
     return mixing.mix(docs, model)
 
 

@@ -19,7 +19,7 @@ from tabulon.session import materialise
 BINS = 16
 #: Steps of the fit at most, and the largest relative miss of a domain's total to stop at.
 STEPS = 60
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 FEATURES = ("words", "word_length", "capitals", "marks", "distinct", "lines", "beyond_ascii", "doubled")
 
 
@@ -114,7 +114,7 @@ def learn_domains(features: DataFrame, labelled: DataFrame, domains: list[str],
     return MixingModel(domains, priors, logs)
 
 
-def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repeat: bool) -> MixingModel:
+def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repeat: bool, relative: bool) -> MixingModel:
     """Steps of projected gradient descent on the weighted least squares of the domain totals.
 
     ``members`` holds __tokens and __p0, ...; the targets are ``weights`` of a budget: all
@@ -122,12 +122,14 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
     step is measured per token, so its largest curvature is 1 and a step of 1 is safe.
     """
     count = range(len(weights))
-    weights = [w / sum(weights) for w in weights]
     sums = lambda df, rate: [x or 0.0 for x in df.agg(*[F.sum(F.col("__tokens") * F.col(f"__p{k}") * rate) for k in count]).first()]
     natural = sums(members, F.lit(1.0))
     held = [k for k in count if natural[k] > 0]
     if not held:
         return model
+    if relative:
+        weights = [w * n for w, n in zip(weights, natural)]
+    weights = [w / sum(weights) for w in weights]
     budget = sum(natural) if repeat else min(natural[k] / weights[k] for k in held if weights[k] > 0)
     targets = [w * budget for w in weights]
     steps: list[tuple[float, ...]] = []
@@ -144,11 +146,13 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
 
 
 def fit_mixing(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", repeat: bool = True
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
+    repeat: bool = True, relative: bool = False,
 ) -> tuple[MixingModel, DataFrame]:
     """(model, members): the classifier with its rates, and one checkpointed row per document.
 
-    ``weights`` are the domains and their shares of the expected tokens, all above 0. Null
+    ``weights`` are the domains and their shares of the expected tokens, all above 0; with
+    ``relative`` they multiply the shares that the domains have. Null
     and empty texts have no tokens; they get a rate but move nothing. Without labelled rows
     every domain is equally likely; without documents all rates are 1.
     """
@@ -156,7 +160,7 @@ def fit_mixing(
     features = materialise(with_features(docs.select(id_col, text_col), text_col).drop(text_col))
     model = learn_domains(features, labelled, domains, id_col)
     members = materialise(model.posteriors(features).select(id_col, "__tokens", *[f"__p{k}" for k in range(len(domains))]))
-    return fit_rates(members, model, [weights[d] for d in domains], repeat), members
+    return fit_rates(members, model, [weights[d] for d in domains], repeat, relative), members
 
 
 def mixing_rates(
@@ -179,6 +183,8 @@ def mix(docs: DataFrame, model: MixingModel, id_col: str = "doc_id", text_col: s
     """
     rows = model.posteriors(with_features(docs, text_col)).withColumn("__rate", model.rate())
     draw = F.pmod(F.xxhash64(id_col, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    # The row number adds nothing; it keeps the filter below from being computed out of the texts anew.
+    draw = draw + F.monotonically_increasing_id() * 0.0
     rows = rows.withColumn("__copies", F.floor(F.col("__rate") + draw).cast("int")).where("__copies > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
