@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import cache
 
-EXACT_TABLE_LIMIT = 200_000
+# The smaller group of an exact test, at most; 840 is the least common multiple of 1..8.
+EXACT_GROUP = 8
+PERIOD = 840
 
 
 def normal_two_sided(z: float) -> float:
@@ -85,27 +89,56 @@ def t_two_sided(t: float, dof: float) -> float:
     return regularised_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-def rank_sum_counts(m: int, n: int) -> list[int]:
-    """How many orderings of m and n distinct values give U = 0, 1, ..., m*n."""
+@cache
+def _partitions_up_to(parts: int) -> list[int]:
+    """How many ways sums of 1..parts (each any number of times) give at most k, for small k."""
+    counts = [1] * (PERIOD * (parts + 2))  # one free part makes the counts running ones
+    for part in range(1, parts + 1):
+        for k in range(part, len(counts)):
+            counts[k] += counts[k - part]
+    return counts
+
+
+def _running_partitions(parts: int, k: int) -> int:
+    """The same for any k: for k = PERIOD * a + r it is a polynomial in a of degree ``parts``."""
+    if k < 0:
+        return 0
+    known = _partitions_up_to(parts)
+    if k < len(known):
+        return known[k]
+    a, r = divmod(k, PERIOD)
+    total = Fraction(0)
+    for i in range(parts + 1):
+        term = Fraction(known[PERIOD * i + r])
+        for j in range(parts + 1):
+            if j != i:
+                term *= Fraction(a - j, i - j)
+        total += term
+    return int(total)
+
+
+def rank_sum_tail(m: int, n: int, u: int) -> int:
+    """Orderings of m and n distinct values whose U is at most u; m is at most 8, n any size.
+
+    The coefficients are those of the product of (1 - q^(n + i)) / (1 - q^i): at most 2^m
+    terms above, running partition counts below.
+    """
     m, n = min(m, n), max(m, n)
-    size = m * n + 1
-    counts = [1] + [0] * (size - 1)
-    # Coefficients of the Gaussian binomial, one factor (1-q^(n+i))/(1-q^i) at a time.
+    above = {0: 1}
     for i in range(1, m + 1):
-        for j in range(size - 1, n + i - 1, -1):
-            counts[j] -= counts[j - n - i]
-        for j in range(i, size):
-            counts[j] += counts[j - i]
-    return counts
+        grown = dict(above)
+        for shift, sign in above.items():
+            grown[shift + n + i] = grown.get(shift + n + i, 0) - sign
+        above = grown
+    return sum(sign * _running_partitions(m, u - shift) for shift, sign in above.items() if shift <= u)
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> tuple[float, str]:
     """Two-sided p-value and the way it was found ("exact" or "normal")."""
     top = max(u, n1 * n2 - u)
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= EXACT_TABLE_LIMIT:
-        counts = rank_sum_counts(n1, n2)
-        tail = sum(counts[int(math.ceil(top)):])
-        return min(1.0, 2.0 * tail / sum(counts)), "exact"
+    if min(n1, n2) <= EXACT_GROUP and ties == 0:
+        tail = rank_sum_tail(n1, n2, n1 * n2 - int(math.ceil(top)))
+        return min(1.0, 2 * tail / math.comb(n1 + n2, n1)), "exact"
     n = n1 + n2
     variance = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))
     if variance <= 0:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.ml.feature import NGram, StopWordsRemover
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as a Unicode string split sees it (as a list and as a pattern
@@ -39,23 +40,19 @@ def clean(text: Column) -> Column:
     return strip(F.regexp_replace(F.lower(text), f"(?U){SPACE}+", " "))
 
 
-def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
-    """Lower-case tokens without the stop words, in reading order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column) -> Column:
+    """Lower-case tokens in reading order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def without_stop_words(df: DataFrame, words: str, stop_words: Sequence[str]) -> DataFrame:
+    """Drop stop words from an array of tokens, in MLlib's compiled filter."""
     if not stop_words:
-        return found
-    # array_except would drop repeated words, so keep every occurrence with a filter on
-    # a hashed IN set.
-    listed = list(stop_words)
-    return F.filter(found, lambda word: ~word.isin(listed))
+        return df
+    remover = StopWordsRemover(inputCol=words, outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
+    return remover.transform(df).withColumn(words, F.col("_kept")).drop("_kept")
 
 
-def ngrams(words: Column, n: int) -> Column:
+def with_ngrams(df: DataFrame, words: str, n: int, name: str) -> DataFrame:
     """Every run of n neighbouring words joined by one space."""
-    if n == 1:
-        return words
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
-    return F.transform(
-        starts,
-        lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + F.lit(k)) for k in range(1, n)]),
-    )
+    return NGram(n=n, inputCol=words, outputCol=name).transform(df)

@@ -88,10 +88,15 @@ def semantic_type(kind: T.DataType, average_words: float | None, min_avg_words:
 
 
 def comparable(df: DataFrame, column: str) -> Column:
-    """A value that distinct counts can group on; maps are written out as JSON."""
+    """A value that distinct counts can group on.
+
+    Arrays, structs and maps are written out as JSON with their NULLs, since hash functions
+    skip NULLs inside them.
+    """
     kind = field_of(df, column).dataType
-    if isinstance(kind, T.MapType):
-        return F.to_json(ref(column))
+    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)):
+        written = F.to_json(F.struct(ref(column).alias("v")), {"ignoreNullFields": "false"})
+        return F.when(ref(column).isNotNull(), written)
     return present(df, column)
 
 

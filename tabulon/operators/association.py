@@ -16,11 +16,9 @@ from tabulon.functions import special
 from tabulon.functions import values as vx
 from tabulon.operators import ranks
 from tabulon.operators.corrections import adjust
-from tabulon.session import ship_package
+from tabulon.session import materialise, ship_package
 
-MAX_GROUPS = 1_000
 FEW_GROUPS = 12
-MAX_TABLE_COLUMNS = 10_000
 
 
 def _numeric_and_group(df: DataFrame, numeric: str, group: str) -> DataFrame:
@@ -268,19 +266,17 @@ def mann_whitney_posthoc(
     """Mann-Whitney for every pair of groups with corrected p-values, one row per pair."""
     data = _numeric_and_group(df, numeric_column, categorical_column)
     spark = df.sparkSession
-    sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").limit(MAX_GROUPS + 1)
+    sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g")
     listed = sizes.collect()
     k = len(listed)
     if k < 3:
         raise ValueError("Post-hoc testing requires at least three groups.")
-    if k > MAX_GROUPS:
-        raise ValueError(f"Post-hoc testing compares all pairs; more than {MAX_GROUPS} groups found.")
     if k <= FEW_GROUPS:
         lines = _compare_few_groups(data, listed)
-        compared = spark.createDataFrame([figures for figures, _ in lines], PAIR_SCHEMA)
+        compared = spark.createDataFrame([(*figures, method) for figures, method in lines], f"{PAIR_SCHEMA}, p_method string")
     else:
         compared = _compare_many_groups(data, listed)
-    return adjust(compared, "p_value", k * (k - 1) // 2, correction).withColumn(
+    return adjust(compared, "p_value", k * (k - 1) // 2, correction, alpha).withColumn(
         "significant", F.col("adjusted_p_value") <= F.lit(alpha)
     )
 
@@ -299,8 +295,7 @@ def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
     index = spark.createDataFrame(
         [(i, r["g"], r["n"]) for i, r in enumerate(listed)], f"i int, g {schema}, n long"
     )
-    small = F.broadcast(index)  # at most MAX_GROUPS rows
-    freq = data.groupBy("x", "g").agg(F.count("*").alias("c")).join(small, "g").select("x", "i", "c")
+    freq = data.groupBy("x", "g").agg(F.count("*").alias("c")).join(index, "g").select("x", "i", "c")
     others = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")
     paired = (
         freq.select("x", "i", "c", others)
@@ -341,6 +336,9 @@ def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
             F.col("u").alias("statistic"),
             p_value("u", "group_1_n", "group_2_n", "ties").alias("p_value"),
             (2 * F.col("u") / F.col("group_1_n") / F.col("group_2_n") - 1).alias("rank_biserial"),
+            F.when(
+                (F.least("group_1_n", "group_2_n") <= special.EXACT_GROUP) & (F.col("ties") == 0), "exact"
+            ).otherwise("normal").alias("p_method"),
         )
     )
 
@@ -367,7 +365,7 @@ def kruskal_wallis_with_posthoc(
 
 @dataclass(frozen=True)
 class ContingencyResult:
-    """``test``: one row. ``table``: (value_1, value_2, n), empty cells included."""
+    """``test``: one row. ``table``: (value_1, value_2, n) of the cells that occur."""
 
     test: DataFrame
     table: DataFrame
@@ -383,30 +381,34 @@ def _cells(df: DataFrame, column_1: str, column_2: str) -> DataFrame:
     )
 
 
-def contingency_table(df: DataFrame, column_1: str, column_2: str) -> DataFrame:
-    """Counts of every combination of the two columns' values, zero cells included."""
-    cells = _cells(df, column_1, column_2)
-    found = cells.select("b").distinct().limit(MAX_TABLE_COLUMNS + 1).collect()
-    if len(found) > MAX_TABLE_COLUMNS:
-        raise ValueError(f"Column '{column_2}' has more than {MAX_TABLE_COLUMNS} values.")
-    kind = cells.schema["b"].dataType
-    listed = F.array(*[F.lit(r["b"]).cast(kind) for r in found])
-    grid = cells.select("a").distinct().select("a", F.explode(listed).alias("b"))
-    return grid.join(cells, ["a", "b"], "left").select(
-        F.col("a").cast("string").alias("value_1"),
-        F.col("b").cast("string").alias("value_2"),
+def _written(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        F.col("a").cast("string").alias("value_1"), F.col("b").cast("string").alias("value_2"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def _chi_square(df: DataFrame, column_1: str, column_2: str) -> dict:
-    """Chi-square figures from the observed cells and their margins.
+def contingency_table(df: DataFrame, column_1: str, column_2: str) -> DataFrame:
+    """The dense grid: every combination of the two columns' values, zero cells included.
+
+    It has as many rows as the product of the distinct values; the tests need only the
+    cells that occur and do not build it.
+    """
+    cells = materialise(_cells(df, column_1, column_2))
+    grid = cells.select("a").distinct().join(cells.select("b").distinct())
+    return _written(grid.join(cells, ["a", "b"], "left"))
+
+
+def _chi_square(df: DataFrame, column_1: str, column_2: str) -> tuple[dict, DataFrame]:
+    """Chi-square figures from the observed cells and their margins, and the cells.
+
+    The source is aggregated once; margins and sums come from the cells.
 
     A cell that never occurs adds its expected count; those are what the observed cells
     leave of n. With one degree of freedom all four cells miss their expectation by the
     same amount, so the continuity-corrected sum needs the margins only.
     """
-    cells = _cells(df, column_1, column_2)
+    cells = materialise(_cells(df, column_1, column_2))
     rows = cells.groupBy("a").agg(F.sum("n").alias("r"))
     columns = cells.groupBy("b").agg(F.sum("n").alias("c"))
     row_side = rows.agg(
@@ -419,7 +421,7 @@ def _chi_square(df: DataFrame, column_1: str, column_2: str) -> dict:
     n, k1, k2 = row_side["n"] or 0, row_side["k"], column_side["k"]
     result = {"n": n, "rows": k1, "columns": k2, "dof": (k1 - 1) * (k2 - 1)}
     if k1 < 2 or k2 < 2:
-        return result
+        return result, cells
     expected = F.col("r") * (F.col("c") / F.lit(float(n)))
     miss = F.col("n") - expected
     seen = (
@@ -441,12 +443,12 @@ def _chi_square(df: DataFrame, column_1: str, column_2: str) -> dict:
         p_value=special.chi_square_tail(chi, result["dof"]),
         minimum_expected=row_side["low"] * column_side["low"] / n,
     )
-    return result
+    return result, cells
 
 
 def categorical_association(df: DataFrame, column_1: str, column_2: str) -> ContingencyResult:
     """Chi-square test of independence with Cramer's V (Yates-corrected when 2 x 2)."""
-    f = _chi_square(df, column_1, column_2)
+    f, cells = _chi_square(df, column_1, column_2)
     if f["rows"] < 2 or f["columns"] < 2:
         raise ValueError(
             "Both categorical variables must contain at least two observed categories."
@@ -460,12 +462,12 @@ def categorical_association(df: DataFrame, column_1: str, column_2: str) -> Cont
         "method string, column_1 string, column_2 string, n long, chi_square double, "
         "p_value double, degrees_of_freedom long, cramers_v double, minimum_expected_count double",
     )
-    return ContingencyResult(test, contingency_table(df, column_1, column_2))
+    return ContingencyResult(test, _written(cells))
 
 
 def binary_association(df: DataFrame, column_1: str, column_2: str) -> ContingencyResult:
     """Chi-square test and phi for two columns of two values each."""
-    f = _chi_square(df, column_1, column_2)
+    f, cells = _chi_square(df, column_1, column_2)
     for column, k in ((column_1, f["rows"]), (column_2, f["columns"])):
         if k != 2:
             raise ValueError(f"'{column}' must contain exactly two groups.")
@@ -481,4 +483,4 @@ def binary_association(df: DataFrame, column_1: str, column_2: str) -> Contingen
         "p_value double, degrees_of_freedom long, phi double, minimum_expected_count double, "
         "warning string",
     )
-    return ContingencyResult(test, contingency_table(df, column_1, column_2))
+    return ContingencyResult(test, _written(cells))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,12 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import ship_package
-
-MAX_CLUSTERS = 10_000
-# The all-pairs silhouette shares the whole matrix with every task, hence these bounds.
-EXACT_SILHOUETTE_ROWS = 50_000
-EXACT_SILHOUETTE_BYTES = 64 * 1024 * 1024
+from tabulon.session import materialise
 
 INDEX_SCHEMA = (
     "k int, silhouette_score double, silhouette_kind string, calinski_harabasz_score double, "
@@ -28,109 +23,48 @@ INDEX_SCHEMA = (
 )
 
 
-def _centres(data: DataFrame, features: str, cluster: str):
-    rows = (
-        data.groupBy(F.col(cluster).alias("c"))
-        .agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col(features))).alias("m"))
-        .orderBy("c")
-        .limit(MAX_CLUSTERS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"More than {MAX_CLUSTERS} clusters.")
-    return [r["c"] for r in rows], np.array([r["n"] for r in rows]), np.array([r["m"] for r in rows])
-
-
-def _exact_silhouette(data, features, labels, cluster, sizes):
-    """Mean Euclidean silhouette over all pairs; the matrix is small by the caller's check."""
-    place = {label: i for i, label in enumerate(labels)}
-    local = data.select(vector_to_array(features).alias("x"), F.col(cluster).alias("c")).toPandas()
-    points = np.vstack(local["x"].to_numpy())
-    points = points - points.mean(axis=0)
-    member = np.zeros((len(points), len(labels)))
-    member[np.arange(len(points)), [place[c] for c in local["c"]]] = 1.0
-    spark = data.sparkSession
-    shared = spark.sparkContext.broadcast((points, member, sizes))
-
-    @F.pandas_udf("double")
-    def width(position: pd.Series) -> pd.Series:
-        xs, groups, counts = shared.value
-        at = position.to_numpy()
-        out = np.zeros(len(at))
-        norms = (xs * xs).sum(axis=1)
-        for start in range(0, len(at), 512):
-            rows = at[start:start + 512]
-            squared = norms[rows, None] + norms[None, :] - 2.0 * xs[rows] @ xs.T
-            squared[np.arange(len(rows)), rows] = 0.0
-            sums = np.sqrt(np.maximum(squared, 0.0)) @ groups
-            own = groups[rows].argmax(axis=1)
-            line = np.arange(len(rows))
-            a = sums[line, own] / np.maximum(counts[own] - 1, 1)
-            means = sums / counts
-            means[line, own] = np.inf
-            b = means.min(axis=1)
-            top = np.maximum(a, b)
-            score = np.where((counts[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-            out[start:start + 512] = score
-        return pd.Series(out)
-
-    places = spark.range(len(points)).repartition(spark.sparkContext.defaultParallelism)
-    return places.agg(F.avg(width("id"))).first()[0]
-
-
-def cluster_indices(
-    data: DataFrame, cluster: str = "cluster", features: str = "features", silhouette: str = "auto"
-) -> DataFrame:
+def cluster_indices(data: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
     """Silhouette, Calinski-Harabasz, Davies-Bouldin and inertia of a labelling. One row.
 
-    The Euclidean silhouette needs every pair of rows. ``auto`` computes it while the
-    table is small enough to share with the tasks and otherwise gives the squared
-    Euclidean one, which needs cluster sums only; ``silhouette_kind`` says which.
+    The silhouette is the squared Euclidean one at every size: it follows from the sums of
+    each cluster, so its cost grows with the rows and not with their pairs. Only one centre
+    per cluster reaches the driver.
     """
-    ship_package(data.sparkSession)
-    labels, sizes, centres = _centres(data, features, cluster)
-    k, n = len(labels), int(sizes.sum())
+    named = data.select(F.col(cluster).alias("c"), F.col(features).alias("features"))
+    means = named.groupBy("c").agg(
+        F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("features"))).alias("m")
+    )
+    means = materialise(means)
+    squared = F.aggregate(
+        F.zip_with(vector_to_array("features"), "m", lambda x, m: (x - m) * (x - m)),
+        F.lit(0.0), lambda total, x: total + x,
+    )
+    rows = (
+        named.join(means, "c").select("c", "n", "m", squared.alias("d2")).groupBy("c")
+        .agg(F.first("n").alias("n"), F.first("m").alias("m"), F.avg(F.sqrt("d2")).alias("spread"), F.sum("d2").alias("w"))
+        .collect()
+    )
+    sizes, spread = np.array([r["n"] for r in rows]), np.array([r["spread"] for r in rows])
+    centres = np.array([r["m"] for r in rows])
+    k, n, within = len(rows), int(sizes.sum()), sum(r["w"] for r in rows)
     if k < 2:
-        raise ValueError("At least two clusters are required.")
+        raise ValueError("A score needs two clusters or more.")
     if k >= n:
-        raise ValueError("There must be fewer clusters than observations.")
-    place = {label: i for i, label in enumerate(labels)}
-
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, c: pd.Series) -> pd.Series:
-        points = np.vstack(x.to_numpy())
-        own = centres[[place[v] for v in c]]
-        return pd.Series(np.sqrt(((points - own) ** 2).sum(axis=1)))
-
-    gaps = data.select(
-        F.col(cluster).alias("c"), distance(vector_to_array(features), F.col(cluster)).alias("d")
-    )
-    rows = gaps.groupBy("c").agg(F.avg("d").alias("mean"), F.sum(F.col("d") * F.col("d")).alias("squares")).collect()
-    mean = {r["c"]: r["mean"] for r in rows}
-    within = sum(r["squares"] for r in rows)
-
+        raise ValueError("A score needs more observations than clusters.")
     overall = (sizes[:, None] * centres).sum(axis=0) / n
     between = float((sizes * ((centres - overall) ** 2).sum(axis=1)).sum())
     calinski = 1.0 if within == 0 else between * (n - k) / (within * (k - 1.0))
-
-    spread = np.array([mean[c] for c in labels])
-    apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(apart, np.inf)
-    apart[apart == 0] = np.inf
-    davies = float(((spread[:, None] + spread[None, :]) / apart).max(axis=1).mean())
-
-    width = centres.shape[1]
-    fits = n <= EXACT_SILHOUETTE_ROWS and n * (width + k) * 8 <= EXACT_SILHOUETTE_BYTES
-    if silhouette == "euclidean" and not fits:
-        raise ValueError("The table is too large for the all-pairs silhouette; use 'squared'.")
-    if silhouette == "euclidean" or (silhouette == "auto" and fits):
-        kind, score = "euclidean", _exact_silhouette(data, features, labels, cluster, sizes)
-    else:
-        kind = "squared_euclidean"
-        numbered = data.withColumn(cluster, F.col(cluster).cast("double"))
-        score = ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(numbered)
+    worst = []
+    for i in range(k):  # one row of the distances at a time
+        apart = np.sqrt(((centres - centres[i]) ** 2).sum(axis=1))
+        apart[apart == 0] = np.inf
+        worst.append(np.delete((spread + spread[i]) / apart, i).max())
+    score = ClusteringEvaluator(featuresCol="features", predictionCol="c").evaluate(
+        named.withColumn("c", F.col("c").cast("double"))
+    )
     return data.sparkSession.createDataFrame(
-        [(k, float(score), kind, float(calinski), davies, float(within))], INDEX_SCHEMA
+        [(k, float(score), "squared_euclidean", float(calinski), float(np.mean(worst)), float(within))],
+        INDEX_SCHEMA,
     )
 
 
@@ -146,9 +80,9 @@ class KMeansResult:
 
 def _check_k(n_clusters: int, rows: int) -> None:
     if n_clusters < 2:
-        raise ValueError("n_clusters must be at least 2.")
+        raise ValueError("K-Means needs two clusters or more.")
     if n_clusters >= rows:
-        raise ValueError("n_clusters must be smaller than the number of observations.")
+        raise ValueError("K-Means needs more observations than clusters.")
 
 
 def _fit(data, k, seed, features):
@@ -156,34 +90,32 @@ def _fit(data, k, seed, features):
     return estimator.fit(data)
 
 
-def _result(data, model, features, silhouette):
+def _result(data, model, features):
     labelled = model.transform(data)
     centers = data.sparkSession.createDataFrame(
         [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
         "cluster int, center array<double>",
     )
-    return KMeansResult(labelled, centers, cluster_indices(labelled, "cluster", features, silhouette), model)
+    return KMeansResult(labelled, centers, cluster_indices(labelled, "cluster", features), model)
 
 
 def run_kmeans(
-    data: DataFrame, n_clusters: int, random_state: int = 42, features: str = "features",
-    silhouette: str = "auto",
+    data: DataFrame, n_clusters: int, random_state: int = 42, features: str = "features"
 ) -> KMeansResult:
     """Fit K-Means and score the clusters it finds."""
     _check_k(n_clusters, data.count())
     held = data.persist()
     try:
-        return _result(data, _fit(held, n_clusters, random_state, features), features, silhouette)
+        return _result(data, _fit(held, n_clusters, random_state, features), features)
     finally:
         held.unpersist()
 
 
 def evaluate_kmeans(
-    data: DataFrame, n_clusters: int, random_state: int = 42, features: str = "features",
-    silhouette: str = "auto",
+    data: DataFrame, n_clusters: int, random_state: int = 42, features: str = "features"
 ) -> DataFrame:
     """The quality indices of K-Means for one K. One row."""
-    return run_kmeans(data, n_clusters, random_state, features, silhouette).metrics
+    return run_kmeans(data, n_clusters, random_state, features).metrics
 
 
 @dataclass(frozen=True)
@@ -198,31 +130,33 @@ class BestK:
 
 def find_best_k(
     data: DataFrame, min_k: int = 2, max_k: int = 10, random_state: int = 42,
-    features: str = "features", silhouette: str = "auto", parallelism: int = 4,
+    features: str = "features", parallelism: int = 4,
 ) -> BestK:
     """Try every K and keep the one with the highest silhouette, the smallest on ties.
 
     Up to ``parallelism`` values of K run at a time, so short jobs fill the cluster.
     """
     if min_k < 2:
-        raise ValueError("min_k must be at least 2.")
+        raise ValueError("The search over K starts at two clusters.")
     if max_k < min_k:
-        raise ValueError("max_k must be greater than or equal to min_k.")
+        raise ValueError("The search over K ends before it starts.")
     held = data.persist()
     try:
         rows = held.count()
         if rows < 3:
-            raise ValueError("At least three observations are required.")
+            raise ValueError("The search over K needs three observations.")
         candidates = range(min_k, min(max_k, rows - 1) + 1)
         if not candidates:
-            raise ValueError("No valid K values could be evaluated.")
+            raise ValueError("No K in the range is smaller than the number of observations.")
 
         def attempt(k):
-            result = _result(held, _fit(held, k, random_state, features), features, silhouette)
+            result = _result(held, _fit(held, k, random_state, features), features)
             return result.metrics.first(), result
 
         with ThreadPool(min(parallelism, len(candidates))) as pool:
-            tried = pool.map(inheritable_thread_target(data.sparkSession)(attempt), candidates)
+            # A wrapper per attempt: each copies the thread's properties for itself.
+            wrap = inheritable_thread_target(data.sparkSession)
+            tried = pool.map(lambda task: task(), [wrap(partial(attempt, k)) for k in candidates])
     finally:
         held.unpersist()
     best, fitted = max(tried, key=lambda pair: (pair[0]["silhouette_score"], -pair[0]["k"]))

@@ -55,8 +55,9 @@ def cleaned(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
 
 def _tokenised(df, column, stop_words, keep=()):
     # Cleaning changes letter case and whitespace only, which tokenising does anyway.
-    words = tx.tokens(F.col("text"), stop_word_list(stop_words))
-    return documents(df, column, keep).select(*[vx.ref(c) for c in keep], words.alias("words"))
+    words = tx.tokens(F.col("text"))
+    found = documents(df, column, keep).select(*[vx.ref(c) for c in keep], words.alias("words"))
+    return tx.without_stop_words(found, "words", stop_word_list(stop_words))
 
 
 def _exploded(df, array, name, *others):
@@ -125,7 +126,7 @@ def ngrams(
         raise ValueError("n must be at least 1.")
     _require_text(df, column)
     return (
-        _exploded(_tokenised(df, column, stop_words), tx.ngrams(F.col("words"), n), "ngram")
+        _exploded(tx.with_ngrams(_tokenised(df, column, stop_words), "words", n, "runs"), F.col("runs"), "ngram")
         .groupBy("ngram")
         .agg(F.count("*").alias("frequency"))
         .orderBy(F.desc("frequency"), "ngram")
@@ -174,10 +175,10 @@ def vocabulary(
     return terms.orderBy(F.desc("term_count"), "term").limit(max_features), total
 
 
-def _vectors(df, column, stop_words, terms, keep=()):
-    """Sparse counts over a fixed vocabulary, row by row and without a shuffle."""
+def _vectors(df, column, terms, keep=()):
+    """Sparse counts over a fixed vocabulary (without stop words), row by row and unshuffled."""
     model = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="counts")
-    return model.transform(_tokenised(df, column, stop_words, keep))
+    return model.transform(_tokenised(df, column, None, keep))
 
 
 def tfidf_keywords(
@@ -204,7 +205,7 @@ def tfidf_keywords(
             Normalizer(p=2.0, inputCol="weights", outputCol="unit"),
         ]
     )
-    unit = weigh.transform(_vectors(df, column, stop_words, [t["term"] for t in terms]))
+    unit = weigh.transform(_vectors(df, column, [t["term"] for t in terms]))
     # Two steps, so that no single task merges one vector per input partition.
     partial = unit.groupBy((F.spark_partition_id() % 64).alias("part")).agg(
         Summarizer.sum(F.col("unit")).alias("unit")
@@ -257,7 +258,7 @@ def topic_modeling(
     terms = [t["term"] for t in table.collect()]
     if not terms:
         raise ValueError("No usable terms remain for topic modelling.")
-    counts = spread(_vectors(df, column, stop_words, terms, keep).drop("words"))
+    counts = spread(_vectors(df, column, terms, keep).drop("words"))
     estimator = LDA(
         k=n_topics,
         maxIter=max_iter,

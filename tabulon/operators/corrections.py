@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-METHODS = ("holm", "bonferroni", "sidak", "holm-sidak", "fdr_bh", "fdr_by")
+from tabulon.session import materialise
 
+METHODS = (
+    "holm", "bonferroni", "sidak", "holm-sidak", "simes-hochberg", "hommel", "fdr_bh", "fdr_by",
+    "fdr_tsbh", "fdr_tsbky",
+)
 
-def adjust(tests: DataFrame, p: str, m: int, method: str = "holm") -> DataFrame:
+
+def _hommel(p: np.ndarray) -> np.ndarray:
+    """Hommel's closed procedure on ascending p-values."""
+    m = len(p)
+    best = np.full(m, (m * p / np.arange(1, m + 1)).min()) if m else p
+    current = best.copy()
+    for size in range(m - 1, 1, -1):
+        first, last = p[: m - size + 1], p[m - size + 1 :]
+        bound = (size * last / np.arange(2, size + 1)).min()
+        current[: m - size + 1] = np.minimum(size * first, bound)
+        current[m - size + 1 :] = current[m - size]
+        best = np.maximum(best, current)
+    return np.maximum(best, p)
+
+
+def adjust(
+    tests: DataFrame, p: str, m: int, method: str = "holm", alpha: float = 0.05
+) -> DataFrame:
     """Add ``adjusted_p_value`` for the m tests in the table (one row per test).
 
+    ``alpha`` matters to the two-stage methods only, which estimate the true hypotheses by
+    a first step at that level.
+
     The window spans all tests, whose number is that of the group pairs, not of the data.
     """
     if method not in METHODS:
@@ -20,12 +45,29 @@ def adjust(tests: DataFrame, p: str, m: int, method: str = "holm") -> DataFrame:
         adjusted = value * count
     elif method == "sidak":
         adjusted = -F.expm1(count * F.log1p(-value))
+    elif method == "hommel":
+        tests = materialise(tests)
+        values = np.array([r[0] for r in tests.select(value.cast("double")).collect()])
+        order = values.argsort(kind="stable")
+        found = tests.sparkSession.createDataFrame(
+            list({float(v): float(a) for v, a in zip(values[order], _hommel(values[order]))}.items()),
+            f"`{p}` double, adjusted_p_value double",
+        )
+        return tests.join(found, p).withColumn("adjusted_p_value", F.least("adjusted_p_value", F.lit(1.0)))
+    elif method.startswith("fdr_ts"):
+        factor = 1 + alpha if method == "fdr_tsbky" else 1.0
+        tests = adjust(tests, p, m, "fdr_bh")
+        false = tests.where(F.col("adjusted_p_value") <= alpha / factor).count()
+        left = (m - false) / m if 0 < false < m else 1.0
+        adjusted = F.col("adjusted_p_value") * F.lit(left * factor)
     else:
         order = Window.partitionBy(F.lit(0)).orderBy(value)
         place = F.row_number().over(order)
         tests = tests.withColumn("_place", place)
         if method == "holm":
             step = value * (count - F.col("_place") + 1)
+        elif method == "simes-hochberg":
+            step = value * (count - F.col("_place") + 1)
         elif method == "holm-sidak":
             step = -F.expm1((count - F.col("_place") + 1) * F.log1p(-value))
         else:

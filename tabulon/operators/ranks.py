@@ -1,7 +1,7 @@
 """Running counts and average ranks over value frequencies.
 
 Ties collapse first (one row per distinct value); values are then cut into buckets at
-fixed literal boundaries, each bucket is summed on its own, and the bucket totals are
+fixed boundaries, each bucket is summed on its own, and the bucket totals are
 added back as offsets. No window ever spans the whole column.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
 
 
 def boundaries(
@@ -24,7 +24,7 @@ def boundaries(
     They come from a sketch and only balance the work; any cut gives the same ranks.
     """
     buckets = 1
-    while buckets < MAX_BUCKETS and buckets * rows_per_bucket < rows:
+    while buckets * rows_per_bucket < rows:
         buckets *= 2
     if buckets == 1:
         return {c: [] for c in columns}
@@ -34,22 +34,13 @@ def boundaries(
     return {c: sorted(set(row[c])) for c in columns}
 
 
-def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
-    """How many of the ascending cut values are <= x, as a balanced tree of comparisons.
-
-    Plain conditions compile to bytecode; a search over an array needs a lambda, which
-    Spark interprets per row and carries wrongly into filters inferred from joins.
-    """
-
-    def between(first: int, last: int) -> Column:
-        if first == last:
-            return F.lit(first)
-        middle = (first + last) // 2
-        return F.when(x < F.lit(float(cuts[middle])), between(first, middle)).otherwise(
-            between(middle + 1, last)
-        )
-
-    return between(0, len(cuts))
+def with_bucket(df: DataFrame, x: str, cuts: Sequence[float]) -> DataFrame:
+    """Add ``_bucket``: how many of the ascending cut values are <= x, by binary search."""
+    if not len(cuts):
+        return df.withColumn("_bucket", F.lit(0))
+    splits = [float("-inf"), *map(float, cuts), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=x, outputCol="_bucket", handleInvalid="keep")
+    return cut.transform(df).withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
 def running_counts(
@@ -64,7 +55,7 @@ def running_counts(
     ``freq`` has one row per part and value of ``x``.
     """
     keys = [*part, "_bucket"]
-    cut = freq.withColumn("_bucket", bucket_of(F.col(x), cuts))
+    cut = with_bucket(freq, x, cuts)
     earlier = (
         Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -169,7 +169,9 @@ def prepare_supervised_data(
         codes = df.sparkSession.createDataFrame(
             [(name, float(i)) for i, name in enumerate(names)], f"{TARGET} string, {LABEL} double"
         )
-        narrow = narrow.join(F.broadcast(codes), TARGET)
+        # The metadata tells MLlib the number of classes, which it else caps at 100.
+        nominal = {"ml_attr": {"type": "nominal", "name": LABEL, "vals": names}}
+        narrow = narrow.join(F.broadcast(codes), TARGET).withMetadata(LABEL, nominal)
     else:
         narrow = narrow.withColumn(LABEL, F.col(TARGET))
     return Prepared(

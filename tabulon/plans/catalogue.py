@@ -21,7 +21,7 @@ from tabulon.operators import (
     folds,
     forest,
     metrics,
-    network,
+    perceptron,
     profile,
     supervised,
 )
@@ -95,7 +95,9 @@ def pairwise_rows(spark, folder):
 
 @query
 def coerce_numeric(spark, folder):
-    t = load(spark, folder, "events").select(F.substring("props", 7, 2).alias("k"))
+    t = load(spark, folder, "events").select(
+        F.when(F.col("event_type") == "view", F.col("event_type")).otherwise(F.get_json_object("props", "$.k")).alias("k")
+    )
     return rounded(
         describe.numeric_statistics(t, ["k"]), 6, "mean", "standard_deviation"
     )
@@ -118,8 +120,9 @@ def text_lengths(spark, folder):
 
 @query
 def token_counts(spark, folder):
-    words = tx.tokens(F.col("text"), corpus.stop_word_list("english"))
-    return load(spark, folder, "documents").select("doc_id", F.size(words).alias("tokens"))
+    found = load(spark, folder, "documents").select("doc_id", tx.tokens(F.col("text")).alias("words"))
+    kept = tx.without_stop_words(found, "words", corpus.stop_word_list("english"))
+    return kept.select("doc_id", F.size("words").alias("tokens"))
 
 
 # --- profiles -------------------------------------------------------------------------
@@ -468,7 +471,7 @@ def cluster_indices(spark, folder):
 @query
 def cluster_indices_squared(spark, folder):
     return rounded(
-        clustering.cluster_indices(_vectors(spark, folder), "label", silhouette="squared"), 6,
+        clustering.cluster_indices(_vectors(spark, folder), "label"), 6,
         "silhouette_score", "calinski_harabasz_score", "davies_bouldin_score", "inertia",
     )
 
@@ -481,9 +484,7 @@ def label_sizes(spark, folder):
 @query
 def kmeans_best_k(spark, folder):
     t = load(spark, folder, "customer")
-    result = analyses.kmeans_analysis(
-        t, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "standard", 2, 5
-    )
+    result = analyses.kmeans_analysis(t, ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
     return result.best_k.results.withColumn("best_k", F.lit(result.best_k.best_k))
 
 
@@ -541,14 +542,14 @@ def vocab_df_limits(spark, folder):
 @query
 def lda_topics(spark, folder):
     t = load(spark, folder, "documents")
-    return corpus.topic_modeling(t, "text", 4, 8, max_iter=5).topics
+    return corpus.topic_modeling(t, "text", 4, 8).topics
 
 
 @query
 def lda_mixtures(spark, folder):
     """Every document has one mixture, and its shares sum to one."""
     t = load(spark, folder, "documents")
-    docs = corpus.topic_modeling(t, "text", 3, 5, max_iter=2, keep=["doc_id"]).documents
+    docs = corpus.topic_modeling(t, "text", 3, 5, keep=["doc_id"]).documents
     total = F.aggregate("topic_probabilities", F.lit(0.0), lambda a, b: a + b)
     return docs.select("doc_id", F.round(total, 6).alias("total"))
 
@@ -556,7 +557,7 @@ def lda_mixtures(spark, folder):
 @query
 def lda_documents(spark, folder):
     t = load(spark, folder, "documents")
-    return corpus.topic_modeling(t, "text", 4, 8, max_iter=5, keep=["doc_id"]).documents
+    return corpus.topic_modeling(t, "text", 4, 8, keep=["doc_id"]).documents
 
 
 # --- supervised -----------------------------------------------------------------------
@@ -642,8 +643,8 @@ def _document_features(spark, folder):
 def forest_cv(spark, folder):
     t = _document_features(spark, folder)
     result = forest.train_random_forest(
-        t, profile.profile_dataset(t, duplicates=False), "quality", cv_folds=3, n_estimators=20,
-        max_depth=5, key="doc_id", exclude_columns=["doc_id", "toxic"],
+        t, profile.profile_dataset(t, duplicates=False), "quality", key="doc_id",
+        exclude_columns=["doc_id", "toxic"],
     )
     return result.cross_validation.metrics
 
@@ -684,10 +685,7 @@ def network_cv(spark, folder):
         t, profile.profile_dataset(t, duplicates=False), "quality", key="doc_id",
         exclude_columns=["doc_id", "toxic"],
     )
-    options = network.TrainingOptions([8], "relu", learning_rate=0.01, dropout=0.1)
-    return network.cross_validate_feed_forward_network(
-        prepared, options, 3, max_epochs=5, patience=3
-    ).metrics
+    return perceptron.cross_validate_network(prepared, [8]).metrics
 
 
 def _linear_network(spark, folder):
@@ -696,30 +694,30 @@ def _linear_network(spark, folder):
         t, profile.profile_dataset(t, duplicates=False), "c_mktsegment", key="c_custkey",
         exclude_columns=["c_custkey"],
     )
-    return t, network.fit_final_feed_forward_network(
-        prepared, network.TrainingOptions(learning_rate=0.01), 3
-    )
+    return t, perceptron.fit_network(prepared)
 
 
 @query
 def network_weights(spark, folder):
     _, fitted = _linear_network(spark, folder)
-    return network.extract_network_weights(fitted, spark).direct
+    return perceptron.network_weights(fitted, spark)
 
 
 @query
 def network_predict(spark, folder):
     t, fitted = _linear_network(spark, folder)
-    return network.predict_feed_forward_network(fitted, t)
+    return perceptron.predict_network(fitted, t)
 
 
 @query
 def network_scores(spark, folder):
-    """Every customer gets probabilities that sum to one."""
+    """Every customer gets probabilities that sum to one, and the class of the largest."""
     t, fitted = _linear_network(spark, folder)
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
-    scored = network.predict_feed_forward_network(fitted, t)
+    best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+    names = F.array(*[F.lit(n) for n in fitted.class_names])
+    scored = perceptron.predict_network(fitted, t)
     return scored.select(
         "c_custkey", F.round(total, 6).alias("total"),
-        F.col("prediction").isin(*fitted.class_names).alias("known_class"),
+        (F.col("prediction") == F.element_at(names, best)).alias("known_class"),
     )

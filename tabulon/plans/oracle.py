@@ -152,7 +152,7 @@ def _posthoc(source):
     adjusted AS (SELECT *, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY i)) AS q FROM ordered)
     SELECT a AS group_1, b AS group_2, CAST(n1 AS BIGINT) AS group_1_n, CAST(n2 AS BIGINT) AS group_2_n,
       round(m1, 6) AS group_1_median, round(m2, 6) AS group_2_median, u AS statistic, round(p, 6) AS p_value,
-      round(2 * u / n1 / n2 - 1, 6) AS rank_biserial, round(q, 6) AS adjusted_p_value, q <= 0.05 AS significant FROM adjusted"""
+      round(2 * u / n1 / n2 - 1, 6) AS rank_biserial, 'normal' AS p_method, round(q, 6) AS adjusted_p_value, q <= 0.05 AS significant FROM adjusted"""
 
 
 def _kruskal(numeric, group, table, p):
@@ -267,6 +267,10 @@ def _corrections():
         "holm-sidak": "max(1 - power(1 - p, m - i + 1)) OVER (ORDER BY i)",
         "fdr_bh": "min(p * m / i) OVER (ORDER BY i DESC)",
         "fdr_by": "min(p * m / i * h) OVER (ORDER BY i DESC)",
+        "simes-hochberg": "min(p * (m - i + 1)) OVER (ORDER BY i DESC)",
+        "hommel": "hommel",
+        "fdr_tsbh": "bh * CASE WHEN r1 BETWEEN 1 AND m - 1 THEN (m - r1) / m ELSE 1.0 END",
+        "fdr_tsbky": "1.05 * bh * CASE WHEN r2 BETWEEN 1 AND m - 1 THEN (m - r2) / m ELSE 1.0 END",
     }
     parts = [
         f"SELECT group_1, group_2, round(p, 6) AS p_value, round(least(1.0, {step}), 6) AS adjusted_p_value, "
@@ -275,8 +279,18 @@ def _corrections():
     ]
     return (
         f"WITH base AS (SELECT event_type AS g, value AS x FROM events), {PAIR_TESTS}, "
-        "ordered AS (SELECT a AS group_1, b AS group_2, p, row_number() OVER (ORDER BY p) AS i, "
-        "count(*) OVER () AS m, (SELECT sum(1.0 / j) FROM range(1, 11) AS t(j)) AS h FROM tested) "
+        "placed AS (SELECT a AS group_1, b AS group_2, p, row_number() OVER (ORDER BY p) AS i, "
+        "count(*) OVER () AS m, (SELECT sum(1.0 / j) FROM range(1, 11) AS t(j)) AS h FROM tested), "
+        "step AS (SELECT *, least(1.0, min(p * m / i) OVER (ORDER BY i DESC)) AS bh FROM placed), "
+        # Hommel by its definition: p is adjusted to the least level at which every set of
+        # tests that holds it is rejected by Simes; sets with the largest others suffice.
+        "sizes AS (SELECT unnest(range(1, 11)) AS size), "
+        "subsets AS (SELECT a.i, size, min(least(1.0, size * b.p / CASE WHEN b.i = a.i AND a.i <= 10 - size + 1 THEN 1 "
+        "ELSE b.i - (10 - size) END)) AS simes FROM placed a, sizes, placed b WHERE size <= a.m AND "
+        "CASE WHEN a.i > 10 - size THEN b.i > 10 - size ELSE b.i > 10 - size + 1 OR b.i = a.i END GROUP BY a.i, size), "
+        "closed AS (SELECT i, max(simes) AS hommel FROM subsets GROUP BY i), "
+        "ordered AS (SELECT *, (SELECT count(*) FROM step WHERE bh <= 0.05) AS r1, "
+        "(SELECT count(*) FROM step WHERE bh <= 0.05 / 1.05) AS r2 FROM step JOIN closed USING (i)) "
         + " UNION ALL ".join(parts)
     )
 
@@ -305,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
             nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_acctbal < 0 AS owes FROM customer""",
         "pairwise_rows": """SELECT count(*) AS n, sum(l_quantity) AS total FROM lineitem
             WHERE l_quantity <> 50 AND l_tax > 0""",
-        "coerce_numeric": _numeric("(SELECT substring(props, 7, 2) AS k FROM events)", ["k"], 6, True),
+        "coerce_numeric": _numeric("(SELECT CASE WHEN event_type = 'view' THEN event_type ELSE json_extract_string(props, '$.k') END AS k FROM events)", ["k"], 6, True),
         "clean_texts": f"SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM (SELECT doc_id, {CLEAN} AS t FROM documents)",
         "text_lengths": f"SELECT doc_id, {WORDS} AS words, CAST(length(text) AS INTEGER) AS chars FROM documents",
         "token_counts": f"SELECT doc_id, CAST(len({_tokens()}) AS INTEGER) AS tokens FROM documents",
@@ -436,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
         "removed_columns": f"""SELECT 'constant' AS column_name, 'removed' AS kept_as
             UNION ALL SELECT 'c_acctbal', 'feature' UNION ALL
             SELECT DISTINCT 'c_mktsegment_' || c_mktsegment, 'feature' FROM {GAPPY_CUSTOMER} WHERE c_mktsegment IS NOT NULL""",
-        "cluster_indices": _cluster("sqrt(d2)", "euclidean"),
+        "cluster_indices": _cluster("d2", "squared_euclidean"),
         "cluster_indices_squared": _cluster("d2", "squared_euclidean"),
         "label_sizes": "SELECT label, count(*) AS size FROM embeddings GROUP BY label",
         "corpus_stats": " UNION ALL ".join(_corpus(t) for t in ("documents", "conversations")),

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.values import NUMBER, ref
-from tabulon.sources.workbooks import read_workbooks
 
-SUPPORTED = (".csv", ".ods", ".parquet", ".xlsx")
+SUPPORTED = (".csv", ".parquet")
 
 # The texts a CSV reader takes for a missing cell.
 MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
+# Digits that a double holds without loss.
+EXACT_DIGITS = r"^\s*[+-]?0*\d{1,15}\s*$"
 
 
 def get_file_extension(path: str) -> str:
@@ -69,8 +70,10 @@ def infer_types(df: DataFrame, datetimes: bool = False) -> DataFrame:
     def rules(c: Column) -> dict[str, Column]:
         found = {
             "boolean": F.lower(c).isin("true", "false"),
-            "bigint": F.regexp_like(c, F.lit(INTEGER)),
-            "double": F.regexp_like(c, F.lit(NUMBER)),
+            "bigint": F.when(c.isNotNull(), F.regexp_like(c, F.lit(INTEGER)) & F.trim(c).try_cast("bigint").isNotNull()),
+            # A long integer would lose digits as a double; such a column stays text.
+            "double": F.regexp_like(c, F.lit(NUMBER))
+            & (~F.regexp_like(c, F.lit(INTEGER)) | F.regexp_like(c, F.lit(EXACT_DIGITS))),
         }
         if datetimes:
             found["timestamp"] = F.when(c.isNotNull(), c.try_cast("timestamp").isNotNull())
@@ -97,12 +100,12 @@ def infer_types(df: DataFrame, datetimes: bool = False) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = True
+    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = False
 ) -> DataFrame:
     """CSV with a header row. A given ``schema`` spares the pass that infers types.
 
-    Quoted cells may hold line breaks, so a file is one task's work; set ``multiline`` to
-    False for large files known to have none, which Spark can then split.
+    Spark splits large files. Set ``multiline`` for files whose quoted cells hold line
+    breaks; each of them is then one task's work.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -113,17 +116,15 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = True
+    spark: SparkSession, path: str, datetimes: bool = False, schema=None, multiline: bool = False
 ) -> DataFrame:
     """Read a file, folder or glob by its suffix."""
     extension = validate_file_type(path)
     try:
         if extension == ".csv":
             df = read_csv(spark, path, datetimes, schema, multiline)
-        elif extension == ".parquet":
-            df = spark.read.parquet(path)
         else:
-            df = infer_types(missing_tokens_to_null(read_workbooks(spark, path)), datetimes)
+            df = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() and "UNABLE_TO_INFER_SCHEMA" in error.getCondition():
             raise ValueError("The dataset is empty.") from error

@@ -164,7 +164,10 @@ def test_categorical_association(spark):
 def test_empty_cells_count(spark):
     rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", "x")]
     result = association.categorical_association(spark.createDataFrame(rows, "p string, q string"), "p", "q")
-    table = {(r["value_1"], r["value_2"]): r["n"] for r in result.table.collect()}
+    seen = {(r["value_1"], r["value_2"]): r["n"] for r in result.table.collect()}
+    assert seen == {("a", "x"): 2, ("b", "y"): 1, ("c", "x"): 1}
+    grid = association.contingency_table(spark.createDataFrame(rows, "p string, q string"), "p", "q")
+    table = {(r["value_1"], r["value_2"]): r["n"] for r in grid.collect()}
     assert table == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 1, ("c", "x"): 1, ("c", "y"): 0}
     assert one(result.test)["chi_square"] == pytest.approx(4.0)
 
@@ -218,7 +221,7 @@ def test_buckets_count_the_cuts_below(spark):
     cuts = [0.0, 1.5, 3.0, 7.0, 9.0]
     values = [-1.0, 0.0, 0.1, 1.5, 2.9, 3.0, 6.9, 7.0, 8.0, 9.0, 50.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[0] for r in df.select(ranks.bucket_of(F.col("x"), cuts)).collect()]
+    got = [r["_bucket"] for r in ranks.with_bucket(df, "x", cuts).collect()]
     assert got == [sum(c <= v for c in cuts) for v in values]
 
 

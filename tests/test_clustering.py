@@ -118,20 +118,12 @@ def test_indices_against_brute_force(spark):
     davies = np.mean([max((s[i] + s[j]) / apart[i, j] for j in range(4) if j != i) for i in range(4)])
 
     r = clustering.cluster_indices(df, "c").first()
-    assert r["silhouette_score"] == pytest.approx(silhouette(d)) and r["silhouette_kind"] == "euclidean"
+    assert r["silhouette_score"] == pytest.approx(silhouette(d**2)) and r["silhouette_kind"] == "squared_euclidean"
     assert r["inertia"] == pytest.approx(w)
     assert r["calinski_harabasz_score"] == pytest.approx((b / 3) / (w / 56))
     assert r["davies_bouldin_score"] == pytest.approx(davies)
-    r = clustering.cluster_indices(df, "c", silhouette="squared").first()
-    assert r["silhouette_score"] == pytest.approx(silhouette(d**2))
-
-
-def test_large_tables_fall_back(spark, monkeypatch):
-    monkeypatch.setattr(clustering, "EXACT_SILHOUETTE_ROWS", 3)
-    data = points(spark, TWO)
-    assert clustering.evaluate_kmeans(data, 2).first()["silhouette_kind"] == "squared_euclidean"
-    with pytest.raises(ValueError, match="too large"):
-        clustering.evaluate_kmeans(data, 2, silhouette="euclidean")
+    again = clustering.cluster_indices(df.repartition(7), "c").first()
+    assert [again[c] for c in again.asDict() if c != "silhouette_kind"] == pytest.approx([r[c] for c in r.asDict() if c != "silhouette_kind"])
 
 
 def test_two_blobs(spark):

@@ -2,14 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.functions.layers import (
-    ACTIVATIONS,
-    NetworkSpec,
-    loss_and_slope,
-    optimizer_step,
-    resolve_activations,
-)
-from tabulon.operators import folds, forest, metrics, network, profile, supervised
+from tabulon.operators import folds, forest, metrics, perceptron, profile, supervised
 
 
 def people(n=120):
@@ -191,92 +184,38 @@ def test_forest_errors():
         forest.build_random_forest("ranking")
 
 
-# --- network ------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("activation", sorted(ACTIVATIONS))
-@pytest.mark.parametrize("normed", [False, True])
-def test_gradients_match_differences(activation, normed):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(9, 4))
-    for task, classes, outputs, weights in (
-        ("regression", None, 1, None), ("classification", 2, 1, 1.7), ("classification", 3, 3, [0.5, 1.0, 2.0]),
-    ):
-        spec = NetworkSpec.build(4, outputs, [5, 3], activation, 0.0, normed)
-        p = spec.initial(1)
-        y = rng.normal(size=9) if classes is None else rng.integers(0, classes, 9).astype(float)
-
-        def loss(flat):
-            return loss_and_slope(spec.outputs(flat.copy(), x, rng), y, task, classes, weights)[0]
-
-        trace = []
-        _, slope = loss_and_slope(spec.outputs(p.copy(), x, rng, trace), y, task, classes, weights)
-        step = 1e-6 * np.eye(spec.size)[: spec.trainable]
-        want = np.array([(loss(p + d) - loss(p - d)) / 2e-6 for d in step])
-        assert spec.gradient(p, trace, slope) == pytest.approx(want, abs=1e-5)
-
-
-def test_architecture_checks():
-    assert NetworkSpec.build(3, 1).size == 4
-    assert NetworkSpec.build(3, 2, [4], use_batch_norm=True).trainable == 16 + 10 + 8
-    assert resolve_activations([2, 2], ["relu", "TANH"]) == ["relu", "tanh"]
-    for bad in ((0, 1), (3, 1, [0]), (3, 1, [2], "relu", 1.0), (3, 1, [2], "magic"), (3, 1, [2, 2], ["relu"])):
-        with pytest.raises(ValueError):
-            NetworkSpec.build(*bad)
-
-
-@pytest.mark.parametrize("name", ["adam", "adamw", "rmsprop", "sgd"])
-def test_optimizers_go_downhill(name):
-    p, moments = np.array([3.0, -2.0]), np.zeros((2, 2))
-    for t in range(1, 400):
-        optimizer_step(name, p, 2 * p, moments, t, 0.02, 0.001)
-    assert np.abs(p).max() < 0.1
+# --- network -----------------------------------------------------------------------------
 
 
 def test_network_classification(spark, table, known):
-    r = network.train_feed_forward_network(
-        table, known, "churn", ["age", "income", "department"], cv_folds=3, max_epochs=12,
-        patience=4, learning_rate=0.05,
-    )
-    assert r.actual_cv_folds == 3 and r.primary_score > 0.8 and r.architecture["output_size"] == 1
-    assert r.feature_names == ["age", "income", "department_HR", "department_IT", "department_Sales"]
-    direct = r.weights.direct.collect()
-    assert [d["rank"] for d in direct] == [1, 2, 3, 4, 5] and direct[0]["output"] == "yes"
-    assert [d["absolute_weight"] for d in direct] == sorted((d["absolute_weight"] for d in direct), reverse=True)
-    history = r.cross_validation.history.collect()
-    assert {h["fold"] for h in history} == {0, 1, 2} and all(h["validation_loss"] is not None for h in history)
-    assert r.cross_validation.predictions.count() == 120
-    scored = network.predict_feed_forward_network(r.network, table.drop("churn"))
-    rows = scored.collect()
-    assert len(rows) == 120 and {x["prediction"] for x in rows} <= {"yes", "no"}
-    assert all(sum(x["probabilities"]) == pytest.approx(1) for x in rows)
-    assert all((x["probabilities"][1] >= 0.5) == (x["prediction"] == "yes") for x in rows)
-    with pytest.raises(ValueError, match="missing columns"):
-        network.predict_feed_forward_network(r.network, table.drop("age"))
-    summary, weights = network.network_summary(r)
-    assert "fold_scores" not in summary.columns and weights.count() == 5
-
-
-def test_network_regression_with_hidden_layers(table, known):
-    r = network.train_feed_forward_network(
-        table, known, "salary", ["age", "department"], hidden_layers=[8], activations="tanh",
-        dropout=0.1, use_batch_norm=True, optimizer_name="sgd", learning_rate=0.001,
-        cv_folds=2, max_epochs=3, patience=2,
-    )
-    assert r.weights.direct is None and {x["layer_index"] for x in r.weights.layers.collect()} == {0, 1}
-    assert {m["metric"] for m in r.cross_validation.metrics.collect()} == {"r2", "mae", "rmse"}
-    assert network.predict_feed_forward_network(r.network, table).where("prediction is null").count() == 0
+    prepared = supervised.prepare_supervised_data(table, known, "churn")
+    result = perceptron.cross_validate_network(prepared, [6], 3)
+    assert result.actual_folds == 3 and result.predictions.count() == prepared.rows_used
+    scores = {r["metric"]: r["mean"] for r in result.metrics.collect()}
+    assert 0 <= scores["accuracy"] <= 1
+    linear = perceptron.fit_network(prepared)
+    scored = perceptron.predict_network(linear, table.drop("churn"))
+    first = scored.first()
+    assert first["prediction"] in prepared.class_names and sum(first["probabilities"]) == pytest.approx(1)
+    weights = perceptron.network_weights(linear, spark)
+    assert weights.count() == 2 * len(linear.feature_names)
+    hidden = perceptron.fit_network(prepared, [4])
+    with pytest.raises(ValueError):
+        perceptron.network_weights(hidden, spark)
 
 
-def test_many_tasks_average_to_a_useful_model(table, known, monkeypatch):
-    monkeypatch.setattr(network, "ROWS_PER_TASK", 30)
-    prepared = supervised.prepare_supervised_data(table, known, "churn", ["age", "department"])
-    options = network.TrainingOptions(learning_rate=0.05, batch_size=8)
-    result = network.cross_validate_feed_forward_network(prepared, options, 3, max_epochs=15)
-    score = result.metrics.where("metric = 'accuracy'").first()["mean"]
-    assert score > 0.85
+def test_network_regression(spark, table, known):
+    prepared = supervised.prepare_supervised_data(table, known, "income")
+    assert perceptron.predict_network(perceptron.fit_network(prepared), table).where("prediction is null").count() == 0
+    for hidden in ([3], [0]):
+        with pytest.raises(ValueError):
+            perceptron.fit_network(prepared, hidden)
 
 
-def test_unknown_optimizer(table, known):
-    with pytest.raises(ValueError, match="optimizer"):
-        network.train_feed_forward_network(table, known, "churn", optimizer_name="magic")
+def test_forest_with_many_classes(spark):
+    rows = [(i, float(i % 120), f"c{i % 120:03d}") for i in range(480)]
+    t = spark.createDataFrame(rows, "id long, x double, y string")
+    prepared = supervised.prepare_supervised_data(t, profile.profile_dataset(t), "y", ["x"], "classification", "id")
+    estimator = forest.build_random_forest("classification", n_estimators=2, max_depth=6, max_bins=128)
+    result = forest.cross_validate_random_forest(prepared, estimator, 2)
+    assert result.predictions.count() == 480 and prepared.number_of_classes == 120
