@@ -43,9 +43,9 @@ def spearman_correlation(df: DataFrame, column_1: str, column_2: str) -> DataFra
     ).first()
     n = head["n"]
     if n < 2:
-        raise ValueError("At least two valid observations are required.")
+        raise ValueError("At least two rows must hold both numbers.")
     if head["xa"] == head["xz"] or head["ya"] == head["yz"]:
-        raise ValueError("Spearman correlation requires variation in both variables.")
+        raise ValueError("A constant column has no rank variation to correlate.")
     cuts = ranks.boundaries(data, ["x", "y"], n)
     rx = ranks.centred_ranks(data.select("x"), "x", n, cuts["x"])
     ry = ranks.centred_ranks(data.select("y"), "y", n, cuts["y"])
@@ -148,7 +148,7 @@ def mann_whitney_test(df: DataFrame, numeric_column: str, binary_column: str) ->
     data = _numeric_and_group(df, numeric_column, binary_column)
     sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").limit(3).collect()
     if len(sizes) != 2:
-        raise ValueError("Mann-Whitney requires exactly two groups.")
+        raise ValueError("The groups to compare must be exactly two.")
     ((figures, method),) = _compare_few_groups(data, sizes)
     return df.sparkSession.createDataFrame(
         [("mann_whitney_u", numeric_column, binary_column, *figures, method)],
@@ -184,7 +184,7 @@ def kruskal_wallis_test(
     sizes = data.groupBy("g").agg(F.count("*").alias("n"))
     listed = sizes.orderBy("g").limit(FEW_GROUPS + 1).collect()
     if len(listed) < 3:
-        raise ValueError("Kruskal-Wallis requires at least three groups.")
+        raise ValueError("Kruskal-Wallis compares at least three groups.")
     spark = df.sparkSession
     if len(listed) <= FEW_GROUPS:
         k, n = len(listed), sum(r["n"] for r in listed)
@@ -270,7 +270,7 @@ def mann_whitney_posthoc(
     listed = sizes.collect()
     k = len(listed)
     if k < 3:
-        raise ValueError("Post-hoc testing requires at least three groups.")
+        raise ValueError("Pairs are compared post hoc among at least three groups.")
     if k <= FEW_GROUPS:
         lines = _compare_few_groups(data, listed)
         compared = spark.createDataFrame([(*figures, method) for figures, method in lines], f"{PAIR_SCHEMA}, p_method string")
@@ -451,7 +451,7 @@ def categorical_association(df: DataFrame, column_1: str, column_2: str) -> Cont
     f, cells = _chi_square(df, column_1, column_2)
     if f["rows"] < 2 or f["columns"] < 2:
         raise ValueError(
-            "Both categorical variables must contain at least two observed categories."
+            "A test of independence needs two values or more in either column."
         )
     v = math.sqrt(f["chi_square"] / f["n"] / min(f["rows"] - 1, f["columns"] - 1))
     test = df.sparkSession.createDataFrame(
@@ -470,7 +470,7 @@ def binary_association(df: DataFrame, column_1: str, column_2: str) -> Contingen
     f, cells = _chi_square(df, column_1, column_2)
     for column, k in ((column_1, f["rows"]), (column_2, f["columns"])):
         if k != 2:
-            raise ValueError(f"'{column}' must contain exactly two groups.")
+            raise ValueError(f"'{column}' must contain exactly two values.")
     warning = None
     if f["minimum_expected"] < 5:
         warning = "Some expected cell counts are below 5; an exact test may fit better."

@@ -123,7 +123,7 @@ def ngrams(
 ) -> DataFrame:
     """The most frequent runs of n words, formed after stop words are removed."""
     if n < 1:
-        raise ValueError("n must be at least 1.")
+        raise ValueError("An n-gram holds one word or more.")
     _require_text(df, column)
     return (
         _exploded(tx.with_ngrams(_tokenised(df, column, stop_words), "words", n, "runs"), F.col("runs"), "ngram")
@@ -150,14 +150,14 @@ def vocabulary(
     shuffled and no (document, term) pair is.
     """
     if max_features < 1:
-        raise ValueError("max_features must be at least 1.")
+        raise ValueError("The vocabulary needs room for a term.")
     total = documents(df, column).count()
     if not total:
         raise ValueError(f"Column '{column}' holds no usable text.")
     low = min_df if isinstance(min_df, int) else min_df * total
     high = max_df if isinstance(max_df, int) else max_df * total
     if high < low:
-        raise ValueError("max_df corresponds to fewer documents than min_df.")
+        raise ValueError("The document-frequency limits exclude every term.")
     once = F.array(
         F.struct(F.col("words").alias("w"), F.lit(1).alias("t"), F.lit(0).alias("d")),
         F.struct(F.array_distinct("words").alias("w"), F.lit(0).alias("t"), F.lit(1).alias("d")),
@@ -197,7 +197,7 @@ def tfidf_keywords(
     table, total = vocabulary(df, column, stop_words, max_features)
     terms = table.collect()
     if not terms:
-        raise ValueError("No terms remain after tokenisation and stop-word removal.")
+        raise ValueError("The texts hold nothing but stop words.")
     idf = [math.log((1 + total) / (1 + t["document_frequency"])) + 1 for t in terms]
     weigh = PipelineModel(
         [
@@ -249,15 +249,15 @@ def topic_modeling(
     ``keep`` names columns (such as a key) to carry to the documents table.
     """
     if n_topics < 2:
-        raise ValueError("n_topics must be at least 2.")
+        raise ValueError("A topic model has two topics or more.")
     if words_per_topic < 1:
-        raise ValueError("words_per_topic must be at least 1.")
+        raise ValueError("A topic is shown by one word or more.")
     table, total = vocabulary(df, column, stop_words, max_features, min_df, max_df)
     if total < n_topics:
-        raise ValueError("The number of topics cannot exceed the number of documents.")
+        raise ValueError("There are fewer documents than topics.")
     terms = [t["term"] for t in table.collect()]
     if not terms:
-        raise ValueError("No usable terms remain for topic modelling.")
+        raise ValueError("The document-frequency limits and stop words leave no term.")
     counts = spread(_vectors(df, column, terms, keep).drop("words"))
     estimator = LDA(
         k=n_topics,

@@ -139,7 +139,7 @@ def fit_features(
         df, {c: F.expr(_category_sql(df, c)) for c in categorical}, max_categories
     )
     if not numbers and not categories:
-        raise ValueError("At least one usable feature is required.")
+        raise ValueError("Every feature is empty, so there is nothing to fit.")
 
     made, inputs, names = [], [], []
     for i, (c, (fill, centre, scale)) in enumerate(numbers.items()):
@@ -195,10 +195,10 @@ def prepare_clustering_data(
 ) -> ClusteringData:
     """Drop columns without variation, impute, scale and encode the rest."""
     if not isinstance(df, DataFrame):
-        raise TypeError("Input must be a Spark DataFrame.")
+        raise TypeError("A Spark DataFrame is needed.")
     numeric, categorical = list(numeric_columns), list(categorical_columns or [])
     if not numeric and not categorical:
-        raise ValueError("At least one clustering feature is required.")
+        raise ValueError("Name a column to cluster by.")
     missing = [c for c in [*numeric, *categorical] if c not in df.columns]
     if missing:
         raise ValueError(f"Columns do not exist: {missing}")
@@ -210,7 +210,7 @@ def prepare_clustering_data(
     numeric = [c for c in numeric if c not in removed]
     categorical = [c for c in categorical if c not in removed]
     if not numeric and not categorical:
-        raise ValueError("No usable clustering features remain.")
+        raise ValueError("Every clustering column is constant or empty.")
     fitted = fit_features(df, numeric, categorical, scaling)
     return ClusteringData(
         fitted.model.transform(df), fitted.feature_names, numeric, categorical, removed, scaling,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_CLASSES = 10_000
 
 
 def number_rows(
@@ -43,14 +42,9 @@ def number_rows(
     return numbered.select(*df.columns, "_number")
 
 
-def class_counts(df: DataFrame, target: str) -> dict:
-    rows = (
-        df.groupBy(F.col(target).alias("label")).agg(F.count("*").alias("n"))
-        .orderBy("label").limit(MAX_CLASSES + 1).collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"The target has more than {MAX_CLASSES} classes.")
-    return {r["label"]: r["n"] for r in rows}
+def class_sizes(df: DataFrame, target: str) -> DataFrame:
+    """(label, n) of every class."""
+    return df.groupBy(F.col(target).alias("label")).agg(F.count("*").alias("n"))
 
 
 def assign_folds(
@@ -70,31 +64,29 @@ def assign_folds(
     class (``_number``), where the class starts (``_start``) and its size (``_size``).
     """
     if requested_folds < 2:
-        raise ValueError("At least two folds are required.")
+        raise ValueError("Cross-validation takes two folds or more.")
     warning = None
     if task_type == "classification":
-        counts = class_counts(df, target)
-        smallest = min(counts.values())
+        sizes = class_sizes(df, target)
+        smallest, rows = sizes.agg(F.min("n"), F.sum("n")).first()
         if smallest < 2:
-            raise ValueError("Every class needs at least two observations.")
+            raise ValueError("A class of one row cannot be split into folds.")
         folds = min(requested_folds, smallest)
         if folds < requested_folds:
             warning = (
                 f"Folds reduced from {requested_folds} to {folds} because of the smallest class."
             )
-        rows = sum(counts.values())
-        start, starts = 0, []
-        for label, n in counts.items():
-            starts.append((label, start, n))
-            start += n
-        kind = df.schema[target].dataType.simpleString()
-        shift = df.sparkSession.createDataFrame(starts, f"`{target}` {kind}, _start long, _size long")
-        numbered = number_rows(df, key, seed, rows, [target]).join(F.broadcast(shift), target)
+        # One row per class goes through this window, never the data.
+        before = Window.partitionBy(F.lit(0)).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+        shift = sizes.select(
+            F.col("label").alias(target), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"), F.col("n").alias("_size")
+        )
+        numbered = number_rows(df, key, seed, rows, [target]).join(shift, target)
         fold = F.pmod(F.col("_number") + F.col("_start"), F.lit(folds))
     elif task_type == "regression":
         rows = df.count()
         if rows < minimum_rows:
-            raise ValueError(f"At least {minimum_rows} observations are required.")
+            raise ValueError(f"Folds need {minimum_rows} rows or more.")
         folds = min(requested_folds, rows)
         if folds < requested_folds:
             warning = f"Folds reduced from {requested_folds} to {folds}."
@@ -103,7 +95,7 @@ def assign_folds(
         )
         fold = F.pmod("_number", F.lit(folds))
     else:
-        raise ValueError("task_type must be 'classification' or 'regression'.")
+        raise ValueError("Unknown task_type; it is classification or regression.")
     kept = ["_number", "_start", "_size"] if positions else []
     return numbered.select(*df.columns, *kept, fold.cast("int").alias("fold")), folds, warning
 
@@ -116,7 +108,7 @@ def validation_share(fold: int, folds: int, fraction: float):
     the evenly spaced pick a random one, and no further sort or count is needed.
     """
     if not 0 < fraction < 0.5:
-        raise ValueError("validation_fraction must be between 0 and 0.5.")
+        raise ValueError("The validation share lies between 0 and 0.5.")
     first = F.pmod(F.lit(fold) - F.col("_start"), F.lit(folds))  # first held-out place
 
     def held_out_before(place):
@@ -130,10 +122,8 @@ def validation_share(fold: int, folds: int, fraction: float):
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(target, n, weight) with weight = rows / (classes * n)."""
-    counts = class_counts(df, target)
-    total = sum(counts.values())
-    kind = df.schema[target].dataType.simpleString()
-    return df.sparkSession.createDataFrame(
-        [(label, n, total / (len(counts) * n)) for label, n in counts.items()],
-        f"`{target}` {kind}, n long, weight double",
+    sizes = class_sizes(df, target)
+    classes, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    return sizes.select(
+        F.col("label").alias(target), "n", (F.lit(float(total or 0)) / (F.lit(classes) * F.col("n"))).alias("weight")
     )

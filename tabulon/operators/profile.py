@@ -62,9 +62,9 @@ def column_profiles(
 ) -> tuple[dict, list[dict]]:
     """The figures behind :func:`profile_dataset`, from one plain aggregate and one distinct count."""
     if not isinstance(df, DataFrame):
-        raise TypeError("Input must be a Spark DataFrame.")
+        raise TypeError("A Spark DataFrame is needed.")
     if not df.columns:
-        raise ValueError("The DataFrame does not contain any columns.")
+        raise ValueError("A table without columns has no profile.")
     fields = df.schema.fields
     total = F.count(F.lit(1)).alias("total")
 

@@ -34,19 +34,19 @@ def detect_task_type(
 ) -> TaskDetection:
     """Classification for text, boolean and few-valued numeric targets, else regression."""
     if not isinstance(df, DataFrame):
-        raise TypeError("Input must be a Spark DataFrame.")
+        raise TypeError("A Spark DataFrame is needed.")
     if not isinstance(target_column, str):
-        raise TypeError("target_column must be a string.")
+        raise TypeError("The target is named by a string.")
     if target_column not in df.columns:
         raise ValueError(f"Target column '{target_column}' does not exist.")
     rows, present = df.agg(F.count(F.lit(1)), F.count(vx.present(df, target_column))).first()
     if rows < 3:
-        raise ValueError("At least three observations are required.")
+        raise ValueError("A supervised task needs three rows or more.")
     if not present:
-        raise ValueError("The target column contains only missing values.")
+        raise ValueError("The target has only missing values.")
     unique = distinct_counts(df, {"t": vx.comparable(df, target_column)})["t"]
     if unique < 2:
-        raise ValueError("The target column must contain at least two distinct values.")
+        raise ValueError("The target needs two distinct values or more.")
     kind = vx.field_of(df, target_column).dataType
     warning = None
     if isinstance(kind, T.NumericType):
@@ -87,7 +87,7 @@ def select_feature_columns(
             profile.numeric_columns + profile.categorical_columns + profile.boolean_columns
         )
     if isinstance(feature_columns, str):
-        raise TypeError("feature_columns must be a list or None.")
+        raise TypeError("Give the features as a list of names.")
     left_out = {target_column, *(exclude_columns or [])}
     wanted = [c for c in dict.fromkeys(feature_columns) if c not in left_out]
     unknown = [c for c in wanted if c not in df.columns]
@@ -142,14 +142,14 @@ def prepare_supervised_data(
     detection = detect_task_type(df, target_column)
     task = detection.task_type if task_type is None else task_type.lower()
     if task not in {"classification", "regression"}:
-        raise ValueError("task_type must be 'classification' or 'regression'.")
+        raise ValueError("Unknown task_type; it is classification or regression.")
     selection = select_feature_columns(df, profile, target_column, feature_columns, exclude_columns)
 
     raw = vx.present(df, target_column)
     number = vx.to_number(df, target_column)
     rows, present, usable = df.agg(F.count(F.lit(1)), F.count(raw), F.count(number)).first()
     if present < 3:
-        raise ValueError("Too few observations remain after removing missing target values.")
+        raise ValueError("Fewer than three rows have a target.")
     if task == "regression" and usable < present:
         raise ValueError(
             f"Regression requires a numeric target; {present - usable} values are no numbers."
@@ -162,16 +162,13 @@ def prepare_supervised_data(
 
     names = None
     if task == "classification":
-        # At most as many names as classes; the fold assignment checks their number.
-        from tabulon.operators.folds import class_counts
-
-        names = list(class_counts(narrow, TARGET))
+        names = [r[0] for r in narrow.select(TARGET).distinct().orderBy(TARGET).collect()]  # one per class
         codes = df.sparkSession.createDataFrame(
             [(name, float(i)) for i, name in enumerate(names)], f"{TARGET} string, {LABEL} double"
         )
         # The metadata tells MLlib the number of classes, which it else caps at 100.
         nominal = {"ml_attr": {"type": "nominal", "name": LABEL, "vals": names}}
-        narrow = narrow.join(F.broadcast(codes), TARGET).withMetadata(LABEL, nominal)
+        narrow = narrow.join(codes, TARGET).withMetadata(LABEL, nominal)
     else:
         narrow = narrow.withColumn(LABEL, F.col(TARGET))
     return Prepared(
