@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.texthash import blocks, span_hasher
 from tabulon.llm.transducer import compile_words, ranks
-from tabulon.session import shared_folder, ship_package
+from tabulon.llm.workers import prepare
+from tabulon.session import shared_folder
 
 #: Words in the lexicon, and the most bytes of one.
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 32
 #: Words remembered in a task, and counted before they are handed on.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 _NEVER = 1 << 40
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: The endings that the pattern cuts off after an apostrophe.
@@ -328,7 +329,7 @@ class Codec:
 def build_codec(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> Codec:
     """Count the words of all texts and compile the most frequent (at most ``lexicon_words``)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     vocabulary = read_vocabulary(path)
     counted = docs.select(text_col).mapInArrow(_count_words(vocabulary.added), "word binary, times long")
     top = (

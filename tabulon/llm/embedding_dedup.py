@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.groups import attach_groups, components
-from tabulon.session import materialise, ship_package
+from tabulon.llm.workers import prepare
+from tabulon.session import materialise
 
 #: Vectors that fit centres and codes, at most about; entries that a list should hold.
 SAMPLE_VECTORS = 16_000
@@ -230,7 +231,7 @@ def embedding_near_dedup(
     an id share its component. Every link found has its exact cosine; links can only be
     missed if neither vector's nearest lists include the other's.
     """
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     vector = F.col(vector_col)
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import ftrl
 from tabulon.llm.texthash import blocks
 from tabulon.llm.training import feature_rows, sample_texts, scored
-from tabulon.session import ship_package
+from tabulon.llm.workers import prepare
 
 PLACES = 1 << 14
 ORDERS = (1, 2, 3)
@@ -150,7 +150,7 @@ def fit_language(
     Rows without id or language are left out. Languages are the distinct values, so they
     should be few. Without rows the model predicts ``und``.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     languages = sorted(counts)
@@ -176,5 +176,5 @@ def fit_language(
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "language") -> DataFrame:
     """``docs`` with a struct (lang_pred, score); ``und`` and 0 if a text is null or has no letter."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return scored(docs, model.scorer(docs.sparkSession), [text_col], name, "struct<lang_pred:string,score:double>")

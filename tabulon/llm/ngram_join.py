@@ -9,8 +9,9 @@ Points of unrelated texts all lie about equally far apart, so boxes over the who
 would prune nothing. The upper levels of the tree are therefore cut by the same groups: if
 two sets differ in at most d shingles, then of d + 1 groups one has the same content in
 both. Each set has one 64-bit key per group (within its band of sizes); sets that share
-a key fall into one subtree, and below it boxes, points and sets are compared. All steps
-are lossless. Equal sets are one point, whatever their number.
+a key fall into one subtree. Boxes and points split a subtree into parts that the bound
+connects, and only the sets of such parts are built and compared. All steps are lossless.
+Equal sets are one point, whatever their number.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.groups import attach_groups, components
 from tabulon.llm.texthash import NOT_SPACE, Words, blocks, mix
-from tabulon.session import materialise, ship_package
+from tabulon.llm.workers import prepare
+from tabulon.session import materialise
 
 #: Coordinates of a point.
 GROUPS = 32
@@ -127,16 +129,25 @@ def group_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _point(values: np.ndarray) -> np.ndarray:
+    """Shingles per group."""
+    return np.bincount((values & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
 def _prints(words: int):
     def run(batches):
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, point = [], [], [], []
             for _, values in shingle_sets(batch.column(1), words):
                 a, b = _print(values)
-                n.append(len(values)), one.append(a), two.append(b)
+                n.append(len(values)), one.append(a), two.append(b), point.append(_point(values))
+            flat = pa.array(np.concatenate(point) if point else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))],
-                ["doc_id", "n_shingles", "one", "two"],
+                [
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * GROUPS), flat),
+                ],
+                ["doc_id", "n_shingles", "one", "two", "point"],
             )
     return run
 
@@ -185,32 +196,31 @@ def _run_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def _points(words: int):
+def _sets(words: int):
+    """(node, its print, shingles) rows; few at a time, as they are as large as the texts."""
     def run(batches):
         for batch in batches:
-            rows, n, points, sets, held = [], [], [], [], 0
+            rows, sets, held = [], [], 0
             for row, values in shingle_sets(batch.column(1), words):
-                rows.append(row), n.append(len(values)), sets.append(_signed(values))
-                points.append(np.bincount((values & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS))
+                rows.append(row), sets.append(values)
                 held += len(values)
                 if held > 1_000_000:
-                    yield _point_rows(batch, rows, n, points, sets)
-                    rows, n, points, sets, held = [], [], [], [], 0
-            yield _point_rows(batch, rows, n, points, sets)
+                    yield _set_rows(batch, rows, sets)
+                    rows, sets, held = [], [], 0
+            yield _set_rows(batch, rows, sets)
     return run
 
 
-def _point_rows(batch, rows, n, points, sets):
+def _set_rows(batch, rows, sets):
     ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    point = np.concatenate(points).astype(np.int32) if points else np.zeros(0, np.int32)
+    flat = _signed(np.concatenate(sets) if sets else [])
+    prints = [_signed([p[k] for p in map(_print, sets)]) for k in (0, 1)]
     return pa.RecordBatch.from_arrays(
         [
-            batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * GROUPS), pa.array(point)),
+            batch.column(0).take(pa.array(rows, pa.int64())), pa.array(prints[0]), pa.array(prints[1]),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
         ],
-        ["node", "n", "point", "shingles"],
+        ["node", "print_a", "print_b", "shingles"],
     )
 
 
@@ -224,11 +234,12 @@ def tree_links(ids, sizes, points, sets, side, percent: int) -> list[tuple[int,
     """Links that connect what is connected at the threshold, from boxes down to sets.
 
     Pairs already connected by a found link are not compared. ``side`` is None for all
-    pairs, else only pairs across it count.
+    pairs, else only pairs across it count. Without ``sets`` the bound of the points decides.
     """
     order = np.lexsort((points[:, 0], sizes))
     sizes, points = sizes[order].astype(np.int64), points[order].astype(np.int64)
-    ids, sets = [ids[k] for k in order], [np.asarray(sets[k]).view(np.uint64) for k in order]
+    ids = [ids[k] for k in order]
+    sets = None if sets is None else [np.asarray(sets[k]).view(np.uint64) for k in order]
     side = None if side is None else np.asarray(side)[order]
     parent = list(range(len(ids)))
 
@@ -260,7 +271,7 @@ def tree_links(ids, sizes, points, sets, side, percent: int) -> list[tuple[int,
                 x, y = root(a), root(int(b))
                 if x == y:
                     continue
-                if _overlap(sets[a], sets[b]) * whole >= need * (sizes[a] + sizes[b]):
+                if sets is None or _overlap(sets[a], sets[b]) * whole >= need * (sizes[a] + sizes[b]):
                     parent[y] = x
                     out.append((ids[a], ids[b]))
     return out
@@ -271,7 +282,8 @@ def _search(percent: int):
         links = []
         for (_, one, other), rows in part.groupby(["subtree", "one", "other"], sort=False):
             links += tree_links(
-                rows["node"].tolist(), rows["n"].to_numpy(), np.stack(rows["point"].to_numpy()), rows["shingles"].tolist(),
+                rows["node"].tolist(), rows["n"].to_numpy(), np.stack(rows["point"].to_numpy()),
+                rows["shingles"].tolist() if "shingles" in rows else None,
                 None if one == other else rows["leaf"].to_numpy(), percent,
             )
         return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
@@ -296,30 +308,20 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) document ids that connect every pair at the threshold, over one row per set."""
-    subtrees = materialise(components(
-        docs.select("text").mapInArrow(_keys(words, percent), "key long, node long")
-        .repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(_run_links, "a long, b long").distinct()
-    ))
-    chosen = materialise(
-        classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")), "one")
-        .select(F.col("least_id").alias("node"), "subtree")
-    )
-    points = (
-        docs.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_points(words), "node long, n long, point array<int>, shingles array<long>")
-        .join(chosen, "node").where("n > 0")
-    )
-    points = materialise(points)
+def _search_tree(points: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links within each subtree of (subtree, node, n, point and perhaps shingles).
+
+    A subtree is cut into leaves, tiles of sizes and then hashes; a task gets two leaves
+    whose boxes may hold a link, or one.
+    """
+    columns = [c for c in ("node", "n", "point", "shingles") if c in points.columns]
+    weight = F.sum("n") / LEAF_SHINGLES if "shingles" in columns else F.lit(0.0)
     sizes = materialise(
         points.groupBy("subtree").agg(
-            F.ceil(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, F.sum("n") / LEAF_SHINGLES)).cast("long").alias("leaves"),
+            F.ceil(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, weight)).cast("long").alias("leaves"),
             F.percentile_approx("n", [k / 16 for k in range(1, 16)]).alias("cuts"),
         )
     )
-    # Tiles by size, then by hash; a leaf's number tells both.
     tile = F.size(F.filter("cuts", lambda c: c < F.col("n")))
     members = points.join(sizes, "subtree").withColumn(
         "leaf",
@@ -328,7 +330,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
         ),
     ).drop("leaves", "cuts")
     pairs = materialise(_leaf_pairs(members, percent))
-    columns = ["subtree", "one", "other", "leaf", "node", "n", "point", "shingles"]
+    columns = ["subtree", "one", "other", "leaf", *columns]
     placed = (
         members.join(pairs.withColumn("leaf", F.col("one")), ["subtree", "leaf"]).select(*columns)
         .unionByName(members.join(pairs.where("one <> other").withColumn("leaf", F.col("other")), ["subtree", "leaf"]).select(*columns))
@@ -338,6 +340,35 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     return placed.groupBy(place.alias("place")).applyInPandas(_search(percent), "a long, b long")
 
 
+def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) document ids that connect every pair at the threshold, over one row per set."""
+    key = ["n_shingles", "one", "two"]
+    subtrees = components(
+        docs.select("text").mapInArrow(_keys(words, percent), "key long, node long")
+        .repartition("key").sortWithinPartitions("key", "node")
+        .mapInArrow(_run_links, "a long, b long").distinct()
+    )
+    chosen = classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")), "one")
+    chosen = chosen.select(*key, F.col("least_id").alias("doc_id"), "subtree")
+    points = materialise(
+        prints.join(chosen, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+        .select("subtree", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "point",
+                F.col("one").alias("print_a"), F.col("two").alias("print_b"))
+    )
+    # What the bound connects; only its sets are needed.
+    parts = materialise(
+        components(_search_tree(points, percent)).select("node", F.col("component").alias("part"))
+    )
+    sets = (
+        docs.join(parts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        .mapInArrow(_sets(words), "node long, print_a long, print_b long, shingles array<long>")
+        .dropDuplicates(["node", "print_a", "print_b"])
+    )
+    placed = points.drop("subtree").join(parts, "node").withColumnRenamed("part", "subtree")
+    whole = sets.join(placed, ["node", "print_a", "print_b"])
+    return _search_tree(materialise(whole), percent)
+
+
 def ngram_jaccard_join(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -348,16 +379,16 @@ def ngram_jaccard_join(
     shingle and link with nothing. Rows with a null id link with nothing either; rows that
     share an id share its links. Other columns are ignored. An empty table gives no rows.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialise(
-        docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, one long, two long")
+        docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, one long, two long, point array<int>")
     )
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     key = ["n_shingles", "one", "two"]
-    rows = prints.where(usable)
+    rows = prints.where(usable).drop("point")
     classes = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
-    links = _links(docs.where("doc_id IS NOT NULL"), classes, words, percent)
+    links = _links(docs.where("doc_id IS NOT NULL"), prints.where(usable), classes, words, percent)
     # Rows that share an id but not a text connect their classes.
     again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     shared = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.texthash import NOT_SPACE, Words, blocks, byte_table
 from tabulon.llm.training import bounded_sample, feature_rows, sample_texts, scored, train_rounds
-from tabulon.session import ship_package
+from tabulon.llm.workers import prepare
 
 WORD_PLACES = 1 << 13
 FACTORS = 8
@@ -129,7 +129,7 @@ def fit_quality(
     Null ids and targets are left out; an id with several labels takes the least. Without
     labelled rows the model is the starting point, close to 0.5.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     labels = labelled.where(F.col(id_col).isNotNull() & F.col("target").isNotNull())
     labels = labels.groupBy(id_col).agg(F.min("target").cast("int").alias("target"))
     sample = bounded_sample(labels, id_col, sample_rows)
@@ -144,5 +144,5 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", length_col: str = "n_chars", name: str = "quality_score") -> DataFrame:
     """``docs`` with a probability of good quality; null texts count as empty, null lengths as 0."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return scored(docs, model.scorer(docs.sparkSession), [text_col, length_col], name, "double")

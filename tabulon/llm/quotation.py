@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import materialise, ship_package
+from tabulon.llm.workers import prepare
+from tabulon.session import materialise
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 _ATTRIBUTION = re.compile(r".*\b(?:wrote|writes|said)[ \t]*:[ \t]*", re.IGNORECASE)
@@ -116,7 +117,7 @@ def link_quotations(
     nothing; equal rows get equal results; of several parents for one (conversation, turn)
     the first counts.
     """
-    ship_package(messages.sparkSession)
+    prepare(messages.sparkSession)
     rows = messages.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"),

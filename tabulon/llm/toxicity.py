@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import ftrl
 from tabulon.llm.texthash import LETTERS, Words, blocks, mix, owners
 from tabulon.llm.training import bounded_sample, feature_rows, sample_texts, scored
-from tabulon.session import ship_package
+from tabulon.llm.workers import prepare
 
 PLACES = 1 << 18
 STEMS = (4, 5, 6, 8, 10)
@@ -94,7 +94,7 @@ def fit_toxicity(
     Null ids and targets are left out; an id with several labels takes the largest. Without
     labelled rows the model knows nothing and scores 0.5.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     labels = labelled.where(F.col(id_col).isNotNull() & F.col("target").isNotNull())
     labels = labels.groupBy(id_col).agg(F.max("target").cast("int").alias("target"))
     texts = sample_texts(docs, bounded_sample(labels, id_col, sample_rows), id_col, text_col)
@@ -106,5 +106,5 @@ def fit_toxicity(
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
     """``docs`` with a probability; null and empty texts get the score of no feature at all."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return scored(docs, model.scorer(docs.sparkSession), [text_col], name, "double")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabulon.session import materialise
 
 #: Shards are fixed so that a model does not depend on the cluster.
-SHARDS = 6
+SHARDS = 8
 
 
 def fold_of(id_col: str, folds: int) -> Column:
