@@ -34,6 +34,8 @@ LEAF_POINTS = 512
 LEAF_SHINGLES = 500_000
 #: Points in a box inside a task.
 BOX_POINTS = 16
+#: Bits of the filter that finds the texts of candidates without shuffling texts (1 MB).
+FILTER_BITS = 1 << 23
 #: Rows of one Python group.
 TASK_POINTS = 2_000
 
@@ -196,10 +198,32 @@ def _run_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def _sets(words: int):
-    """(node, its print, shingles) rows; few at a time, as they are as large as the texts."""
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over the hash of ``node``; the driver gets its words only."""
+    bits = ids.select(F.xxhash64("node").alias("h")).selectExpr(
+        f"explode(array(h & {FILTER_BITS - 1}, shiftrightunsigned(h, 32) & {FILTER_BITS - 1})) AS bit"
+    )
+    words = bits.selectExpr("bit div 64 AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS mask")
+    table = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _may_hold(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64)
+    found = np.ones(len(h), bool)
+    for bit in (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)):
+        found &= (held[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _sets(words: int, wanted):
+    """(node, its print, shingles) rows of wanted ids; few at a time, as they are as large as
+    the texts. The filter lets some others through; the join after it drops them."""
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(_may_hold(wanted.value, np.asarray(batch.column(2)))))
             rows, sets, held = [], [], 0
             for row, values in shingle_sets(batch.column(1), words):
                 rows.append(row), sets.append(values)
@@ -359,9 +383,10 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
     parts = materialise(
         components(_search_tree(points, percent)).select("node", F.col("component").alias("part"))
     )
+    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(parts))
     sets = (
-        docs.join(parts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_sets(words), "node long, print_a long, print_b long, shingles array<long>")
+        docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+        .mapInArrow(_sets(words, wanted), "node long, print_a long, print_b long, shingles array<long>")
         .dropDuplicates(["node", "print_a", "print_b"])
     )
     placed = points.drop("subtree").join(parts, "node").withColumnRenamed("part", "subtree")
