@@ -3,13 +3,14 @@
 A naive Bayes classifier learned from a labelled table gives each document a probability
 per domain, from a few statistics of its whole text. Projected gradient descent then fits
 a rate >= 0 per document so that the expected tokens per domain, sum of tokens * p * rate,
-match the targets; each step is one aggregation that returns one number per domain.
+match the targets; each step is one aggregation that returns one number per domain. If no
+document may repeat, every rate is kept at 1 or less, in the fit and in the mix.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ BINS = 16
 #: Steps of the fit at most, and the largest relative miss of a domain's total to stop at.
 STEPS = 60
 TOLERANCE = 1e-4
+#: Without repeats: if no domain's total moves more in a step, the targets are out of reach.
+STALLED = TOLERANCE / 10
 FEATURES = ("words", "word_length", "capitals", "marks", "distinct", "lines", "beyond_ascii", "doubled")
 
 
@@ -63,6 +66,7 @@ class MixingModel:
     priors: list[float]
     tables: dict[str, list[list[float]]]  # feature: per domain, per bin
     steps: tuple[tuple[float, ...], ...] = ()
+    most: float | None = None  # the largest rate; None: any
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """Adds __p0, __p1, ... to rows with features."""
@@ -80,7 +84,7 @@ class MixingModel:
         return docs.drop("__top", *scores, *[f"__e{k}" for k in range(len(scores))])
 
     def rate(self, start: Column | None = None, steps=None) -> Column:
-        """The rate after the fitted steps, from 1; each step is followed by the projection to >= 0."""
+        """The rate after the fitted steps, from 1; each step is followed by the projection to [0, ``most``]."""
         start = F.lit(1.0) if start is None else start
         steps = self.steps if steps is None else steps
         if not steps:
@@ -89,7 +93,8 @@ class MixingModel:
 
         def move(rate, step):
             along = sum((F.col(f"__p{k}") * step[k] for k in range(1, len(self.domains))), F.col("__p0") * step[0])
-            return F.greatest(rate - along, F.lit(0.0))
+            moved = F.greatest(rate - along, F.lit(0.0))
+            return moved if self.most is None else F.least(moved, F.lit(self.most))
 
         return F.aggregate(table, start, move)
 
@@ -118,10 +123,14 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
     """Steps of projected gradient descent on the weighted least squares of the domain totals.
 
     ``members`` holds __tokens and __p0, ...; the targets are ``weights`` of a budget: all
-    tokens if documents may repeat, else the most for which no domain needs repeats. The
+    tokens if documents may repeat. Else no rate exceeds 1, and the budget begins at the most
+    for which no domain needs repeats; documents with a share in several domains may keep
+    that out of reach, so it is lowered to what the shortest domain gets until all fit. The
     step is measured per token, so its largest curvature is 1 and a step of 1 is safe.
     """
     count = range(len(weights))
+    if not repeat:
+        model = replace(model, most=1.0)
     sums = lambda df, rate: [x or 0.0 for x in df.agg(*[F.sum(F.col("__tokens") * F.col(f"__p{k}") * rate) for k in count]).first()]
     natural = sums(members, F.lit(1.0))
     held = [k for k in count if natural[k] > 0]
@@ -134,15 +143,20 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
     targets = [w * budget for w in weights]
     steps: list[tuple[float, ...]] = []
     table, done = members.withColumn("__rate", F.lit(1.0)), 0
+    before: list[float] = []
     for _ in range(STEPS):
         totals = sums(table, model.rate(F.col("__rate"), steps[done:]))
+        if not repeat and before and max(abs(totals[k] - before[k]) / natural[k] for k in held) < STALLED:
+            reached = min(totals[k] / targets[k] for k in held if targets[k] > 0)
+            targets = [t * reached if 0 < reached < 1 else t for t in targets]
+        before = totals
         miss = [(totals[k] - targets[k]) / natural[k] if k in held else 0.0 for k in count]
         if max(abs(m) for m in miss) < TOLERANCE:
             break
         steps.append(tuple(miss))
         if len(steps) - done == 12:
             table, done = materialise(table.withColumn("__rate", model.rate(F.col("__rate"), steps[done:]))), len(steps)
-    return MixingModel(model.domains, model.priors, model.tables, tuple(steps))
+    return replace(model, steps=tuple(steps))
 
 
 def fit_mixing(

@@ -192,3 +192,22 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixing_rates(docs.limit(0), labels, {"high": 0.5, "low": 0.5}).collect() == []
     even = mixing.mixing_rates(docs, labels.limit(0), {"high": 0.5, "low": 0.5}).collect()
     assert {round(r.p_low, 6) for r in even} == {0.5}
+
+
+def test_mixing_without_repeats_of_soft_members(spark):
+    rng = random.Random(8)
+    words = ["sun", "tree", "walk", "house", "blue", "river"]
+    rows = []
+    for i in range(600):
+        text = [rng.choice(words) + rng.choice("abcdefgh") for _ in range(40)]
+        rows.append((i, " ".join(text) if i % 2 else " | ".join(text).upper(), None, None))
+    docs = spark.createDataFrame(rows, DOCS)
+    # One label in five contradicts the kind of text, so no document is of one domain alone.
+    labels = spark.createDataFrame([(i, "high" if (i % 2) ^ (i % 5 == 0) else "low") for i in range(600)], "doc_id long, domain string")
+    model, members = mixing.fit_mixing(docs, labels, {"high": 1.0, "low": 0.5}, repeat=False, relative=True)
+    got = members.withColumn("rate", model.rate()).collect()
+    assert all(0 <= r.rate <= 1 for r in got)
+    kept, whole = ([sum(r["__tokens"] * r[f"__p{k}"] * (r.rate if part else 1) for r in got) for k in range(2)] for part in (1, 0))
+    assert (kept[1] / kept[0]) / (whole[1] / whole[0]) == pytest.approx(0.5, rel=1e-2)
+    mixed = [r.doc_id for r in mixing.mix(docs, model).collect()]
+    assert len(set(mixed)) == len(mixed) > 300
