@@ -7,6 +7,7 @@ result is written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from the labelled ones."""
+    """Documents that the classifier does not call toxic; it learns from the labelled ones.
+
+    Without labels to learn from (none at all, all held out, or of no document here), or with
+    too few to give any feature a weight, all texts have the same score, which says nothing
+    about any of them: all documents stay, with a warning.
+    """
     model = queries.toxicity_model(docs, _labels(spark, sf_dir))
+    if model.blind:
+        warnings.warn("toxicity stage: nothing learned from the labels, all documents are kept", stacklevel=2)
+        return docs
     scored = toxicity.score_toxicity(docs, model, name="__toxic")
     return scored.where(F.col("__toxic") < queries.TOXIC_FROM).drop("__toxic")
 

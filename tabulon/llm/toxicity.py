@@ -62,6 +62,11 @@ class ToxicityModel:
     values: np.ndarray
     bias: float
 
+    @property
+    def blind(self) -> bool:
+        """No feature has a weight, so all texts get one score."""
+        return not len(self.places)
+
     def scorer(self, spark):
         """Arrow texts to probabilities; the weights go by broadcast."""
         shared = spark.sparkContext.broadcast((self.places, self.values, self.bias))

@@ -1,8 +1,10 @@
 """The pipeline's stages against a brute-force version of each on its own input."""
 
 import re
+import zlib
 
 import corpus_pipeline as pipeline
+import pytest
 from tokenizers import Tokenizer
 
 from tabulon.llm.queries import VOCABULARY
@@ -38,3 +40,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.text == before[i].text and r.ids == library.encode(r.text, add_special_tokens=False).ids for i, r in after.items())
     before, after = steps["toxicity"]
     assert len(after) > 0.8 * len(before)
+
+
+@pytest.mark.parametrize("labelled", ["none", "held out", "elsewhere"])
+def test_toxicity_stage_without_labels_keeps_documents(spark, tmp_path, labelled):
+    docs = spark.createDataFrame([(i, f"clean text number {i}") for i in range(20)], "doc_id long, text string")
+    ids = {"none": [], "held out": range(20), "elsewhere": range(1000, 1400)}[labelled]
+    rows = [(i, i % 2) for i in ids if labelled != "held out" or zlib.crc32(str(i).encode()) % 4 == 2]
+    assert rows or labelled == "none"
+    spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.warns(UserWarning, match="nothing learned"):
+        kept = pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert sorted(kept.collect()) == sorted(docs.collect())
