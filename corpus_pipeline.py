@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, digest_index, mixing, queries, toxicity
-from tabulon.llm.ngram_join import ngram_jaccard_join
+from tabulon.llm.ngram_join import drop_near_copies
 from tabulon.session import shared_folder
 
 #: Near-duplicate stage: words in a shingle and the least Jaccard similarity in percent.
@@ -52,10 +52,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = ngram_jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Texts that share an id are decided one by one.
+    """
+    return drop_near_copies(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -430,3 +430,43 @@ def ngram_jaccard_join(
     return attach_groups(rows, named, key, "copies", total).select(*out).unionByName(
         prints.where(~usable).withColumn("component_id", F.col("doc_id")).select(*out)
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of near copies, with all columns: the one with the smallest id.
+
+    Rows that share an id are told apart by their text, so each text is compared and kept or
+    dropped on its own; of rows equal in id and text one stays. Rows with a null id stay.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("shared_id")).where("shared_id IS NOT NULL")
+    several = materialise(ids.groupBy("shared_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shared_id"))
+    if not several.limit(1).count():
+        found = ngram_jaccard_join(docs, words, percent, id_col, text_col)
+        lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct()
+        return docs.join(lost, F.col(id_col).cast("long") == lost["lost_id"], "left_anti").select(*docs.columns)
+    own = F.col(id_col).cast("long")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    odd = docs.join(several, own == several["shared_id"], "left_semi").withColumn("__sha", sha)
+    # A node of its own, below all ids, for each text of a repeated id; the checkpoint fixes it.
+    texts = materialise(odd.select(own.alias("id"), "__sha").distinct().withColumn("below", F.monotonically_increasing_id()))
+    floor = F.lit(min(ids.agg(F.min("shared_id")).first()[0], 0) - 1)
+    texts = texts.select("id", "__sha", (floor - F.col("below")).alias("__node"))
+    odd = odd.join(texts.withColumnRenamed("__sha", "sha"), (own == F.col("id")) & (F.col("__sha") == F.col("sha")))
+    odd = odd.select(*[F.col(f"`{c}`") for c in docs.columns], "__node")
+    plain = docs.join(several, own == several["shared_id"], "left_anti")
+    both = plain.select(own.alias("__node"), F.col(text_col).alias("text")).unionByName(odd.select("__node", F.col(text_col).alias("text")))
+    found = materialise(ngram_jaccard_join(both, words, percent, "__node", "text").where("doc_id IS NOT NULL").distinct())
+    named = found.join(texts.select(F.col("__node").alias("doc_id"), "id", "__sha"), "doc_id", "left")
+    named = named.withColumn("place", F.struct(F.coalesce("id", "doc_id").alias("id"), F.coalesce("__sha", F.lit("")).alias("sha")))
+    groups = materialise(
+        named.groupBy("component_id").agg(F.min_by("doc_id", "place").alias("kept_node"), F.count(F.lit(1)).alias("size"))
+        .where("size > 1")
+    )
+    lost = attach_groups(found, groups, ["component_id"], "size", found.count()).where("doc_id <> kept_node")
+    lost = materialise(lost.select(F.col("doc_id").alias("lost_id")))
+    plain = plain.join(lost, own == lost["lost_id"], "left_anti").select(*docs.columns)
+    odd = odd.join(lost, odd["__node"] == lost["lost_id"], "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return plain.unionByName(odd.groupBy("__node").agg(F.first(whole).alias("__row")).select("__row.*"))

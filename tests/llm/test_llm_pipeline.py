@@ -52,3 +52,30 @@ def test_toxicity_stage_without_labels_keeps_documents(spark, tmp_path, labelled
     with pytest.warns(UserWarning, match="nothing learned"):
         kept = pipeline.toxicity_stage(spark, docs, str(tmp_path))
     assert sorted(kept.collect()) == sorted(docs.collect())
+
+
+def test_near_dedup_stage_with_repeated_ids(spark, tmp_path):
+    def text(name, end=""):
+        return " ".join(f"{name}{i}" for i in range(80)) + end
+
+    rows = [
+        (2, text("a")), (5, text("a", " x")), (5, text("b")),  # only one text of id 5 is a copy
+        (7, text("c")), (7, text("c", " y")),  # near copies under one id
+        (8, text("d")), (8, text("d")), (1, text("b", " z")), (9, text("e")),
+        (6, None), (6, ""), (None, text("e", " w")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(got))
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted((r for r in got if r[0] not in (6, 7)), key=str) == sorted(
+        [(2, text("a")), (8, text("d")), (1, text("b", " z")), (9, text("e")), (None, text("e", " w"))], key=str
+    )
+    assert [i for i, _ in got].count(6) == 1
+
+    rows = [(2, text("a")), (5, text("a", " x")), (5, text("b"))]
+    got = pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(2, text("a")), (5, text("b"))]
