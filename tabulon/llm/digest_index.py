@@ -45,6 +45,14 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def create(self, id_type: str) -> None:
+        """An empty index, unless there is one."""
+        if not self.exists():
+            self.spark.sql(
+                f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, points BIGINT) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
+            )
+
     def append(self, rows: DataFrame) -> None:
         """Add (digest, keep_id, points); their digests must be new."""
         placed = rows.select("digest", "keep_id", "points").repartition(self.buckets, "digest")  # a file per bucket
@@ -73,18 +81,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     rows = materialise(digest_rows(docs, id_col, text_col))
     best = materialise(_best(rows))
-    if index.exists():
-        held = index.read().select("digest", F.col("keep_id").alias("held_id"))
-        fresh = best.hint("merge").join(held, "digest", "left_anti")
-        groups = materialise(
-            best.join(held.hint("merge"), "digest", "left")
-            .select("digest", F.when(F.col("held_id").isNotNull(), F.col("held_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                    "group_size", F.col("held_id").isNull().alias("new"))
-        )
-        fresh = materialise(fresh)
-    else:
-        fresh, groups = best, best.select("digest", "keep_id", "group_size", F.lit(True).alias("new"))
+    index.create(best.schema["keep_id"].dataType.simpleString())
+    held = index.read().select("digest")
+    fresh = materialise(best.hint("merge").join(held, "digest", "left_anti"))
     index.append(fresh)
+    # The index now holds every digest of the batch; what it says is the result.
+    new = fresh.select("digest", F.lit(True).alias("new"))
+    groups = materialise(
+        best.select("digest", "group_size").hint("merge").join(index.read().select("digest", "keep_id"), "digest")
+        .join(new, "digest", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    )
     return attach_groups(rows, groups, ["digest"], "group_size", rows.count()).select(
         "doc_id", "keep_id", "group_size",
         (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),

@@ -140,3 +140,21 @@ def test_drop_copies_keeps_one_row_of_each_text(spark, index):
     kept = drop_copies(spark.createDataFrame(rows, DOCS), index)
     assert kept.columns == ["doc_id", "text", "lang", "one", "component"]
     assert sorted((r.text, r.doc_id) for r in kept.collect()) == [("a", 1), ("b ", 2), ("c", None), ("d", 3)]
+
+
+def test_first_batch_goes_through_the_index(spark, index, monkeypatch):
+    read, seen = DigestIndex.read, []
+    monkeypatch.setattr(DigestIndex, "read", lambda self: seen.append(read(self).count()) or read(self))
+    append = DigestIndex.append
+    # What the index holds, not what the batch says, must come out.
+    monkeypatch.setattr(DigestIndex, "append", lambda self, rows: append(self, rows.withColumn("keep_id", rows["keep_id"] + 100)))
+    rows = [(1, "a", None, None, 1), (2, "a", None, None, 1), (3, "b", None, None, 1)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in deduplicate(spark.createDataFrame(rows, DOCS), index).collect()}
+    assert got == {1: (101, 2), 2: (101, 2), 3: (103, 1)}
+    assert seen == [0, 2]
+
+
+def test_index_knows_texts_of_nameless_rows(spark, index):
+    deduplicate(spark.createDataFrame([(None, "z", None, None, 1)], DOCS), index)
+    got = deduplicate(spark.createDataFrame([(7, "z", None, None, 1)], DOCS), index).collect()
+    assert [(r.keep_id, r.kept) for r in got] == [(None, False)]
