@@ -658,7 +658,7 @@ def forest_held_out(spark, folder):
             t, profile.profile_dataset(t, duplicates=False), "quality", key="doc_id",
             exclude_columns=["doc_id", "toxic"],
         ),
-        forest.build_random_forest("classification", n_estimators=5, max_depth=3), 3,
+        forest.build_random_forest("classification"), 3,
     )
     predicted = result.predictions.where(F.col("prediction").isin(0.0, 1.0))
     return predicted.groupBy(F.col("truth").cast("int").alias("quality"), "fold").agg(
@@ -673,7 +673,7 @@ def forest_importance(spark, folder):
         t, profile.profile_dataset(t, duplicates=False), "o_totalprice", key="o_orderkey",
         exclude_columns=["o_orderkey"],
     )
-    estimator = forest.build_random_forest("regression", n_estimators=20, max_depth=5)
+    estimator = forest.build_random_forest("regression")
     pipeline, names = forest.fit_final_random_forest(prepared, estimator)
     return forest.feature_importance(pipeline, names, spark)
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import folds, forest, metrics, perceptron, profile, supervised
+from tabulon.plans import catalogue
 
 
 def people(n=120):
@@ -219,3 +220,18 @@ def test_forest_with_many_classes(spark):
     estimator = forest.build_random_forest("classification", n_estimators=2, max_depth=6, max_bins=128)
     result = forest.cross_validate_random_forest(prepared, estimator, 2)
     assert result.predictions.count() == 480 and prepared.number_of_classes == 120
+
+
+@pytest.mark.parametrize("name,want", [("forest_held_out", (3,)), ("forest_importance", ())])  # the SQL fixes three folds
+def test_registered_forests_have_the_operators_defaults(spark, monkeypatch, name, want):
+    class Reached(Exception):
+        pass
+
+    def stop(prepared, estimator, *folds, **options):
+        raise Reached(estimator.getNumTrees(), estimator.getMaxDepth(), folds, options)
+
+    monkeypatch.setattr(forest, "cross_validate_random_forest", stop)
+    monkeypatch.setattr(forest, "fit_final_random_forest", stop)
+    with pytest.raises(Reached) as reached:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert reached.value.args == (300, forest.MAX_DEPTH, want, {})
