@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, digest_index, embedding_dedup, language, license_rules, mixing, ngram_join, quality, quotation, toxicity
+from tabulon.llm import bpe, conversation_repair, digest_index, embedding_dedup, filter_audit, language, license_rules, mixing, ngram_join, order_minhash, quality, quotation, toxicity
 from tabulon.llm.training import fold_of
 
 #: The vocabulary file of op6; a folder that every driver has.
@@ -94,6 +94,28 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage by crc32 of ``conv_id:turn``, then repair; conversations that lost every row too."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digests(conversation_repair.damage(rows), rows.select("conv_id"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = filter_audit.flag_documents(_table(spark, sf_dir, "documents"))
+    return filter_audit.audit_filters(docs, _table(spark, sf_dir, "labels"))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.fingerprint_text(F.col("slots")).alias("fingerprint"),
+        order_minhash.fingerprint_text(F.col("edited_slots")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"),
+        order_minhash.likeness(F.col("slots"), F.col("next_slots")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_toxicity_ftrl": op1_toxicity_ftrl,
     "op2_language_id": op2_language_id,
@@ -105,6 +127,9 @@ QUERIES = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_digest_index": op9_digest_index,
     "op10_license_rules": op10_license_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_order_minhash": op13_order_minhash,
 }
 
 _DIGESTS = """
@@ -133,4 +158,5 @@ SQL = {
     "op4_embedding_pq": _NEAR_VECTORS,
     "op9_digest_index": _DIGESTS,
     "op10_license_rules": license_rules.oracle_sql(),
+    "op12_filter_audit": filter_audit.ORACLE,
 }
