@@ -33,7 +33,7 @@ _SLOT_SPAN = (1 << 33) // SLOTS
 _IN_SLOT = (_SLOT_SPAN << _PLACE_BITS) - 1
 
 #: Texts of one range of ids that are sorted together; no more than MAX_RANGES ranges.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 MAX_RANGES = 50_000
 
 
@@ -183,6 +183,7 @@ def with_next(
     same = F.col(key).eqNullSafe(F.col("__k")) & (F.col(tie) == F.col("__t"))
     closing = rows.join(F.broadcast(known), same).drop("__k", "__t")
     both = placed.withColumn("__closes", F.lit(0)).unionByName(closing.withColumn("__closes", F.lit(1)))
+    both = both.repartition(max(ranges, 2 * cores), "__range", "__part")  # tasks of one size at any size of the table
     order = Window.partitionBy("__range", "__part").orderBy("__closes", key, tie)
     following = both.withColumns(made).withColumns({new: F.lead(old).over(order) for new, old in columns.items()})
     return following.where("__closes = 0").drop("__range", "__part", "__closes")

@@ -90,7 +90,7 @@ def result(df):
     return {r["doc_id"]: tuple(r[c] for c in names) for r in df.collect()}
 
 
-@pytest.mark.parametrize("bytes_a_range", [1, 4_000, 16 << 20])
+@pytest.mark.parametrize("bytes_a_range", [1, 4_000, 8 << 20])
 def test_edits_and_next_documents(spark, monkeypatch, tmp_path, bytes_a_range):
     monkeypatch.setattr(om, "RANGE_BYTES", bytes_a_range)
     rows = [(7 * i - 20, t) for i, t in enumerate(texts())] + [(None, "no id here")]
