@@ -9,13 +9,14 @@ from functools import reduce
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import special
 from tabulon.functions import values as vx
 from tabulon.operators import ranks
 from tabulon.operators.corrections import adjust
+from tabulon.operators.pair_ranks import bucket_rows, pair_rank_sums
 from tabulon.session import materialise, ship_package
 
 FEW_GROUPS = 12
@@ -266,51 +267,32 @@ def mann_whitney_posthoc(
     """Mann-Whitney for every pair of groups with corrected p-values, one row per pair."""
     data = _numeric_and_group(df, numeric_column, categorical_column)
     spark = df.sparkSession
-    sizes = data.groupBy("g").agg(F.count("*").alias("n")).orderBy("g")
-    listed = sizes.collect()
-    k = len(listed)
-    if k < 3:
+    sizes = data.groupBy("g").agg(F.count("*").alias("n"))
+    listed = sizes.orderBy("g").limit(max(FEW_GROUPS, 2) + 1).collect()
+    if len(listed) < 3:
         raise ValueError("Pairs are compared post hoc among at least three groups.")
-    if k <= FEW_GROUPS:
-        lines = _compare_few_groups(data, listed)
+    if len(listed) <= FEW_GROUPS:
+        k, lines = len(listed), _compare_few_groups(data, listed)
         compared = spark.createDataFrame([(*figures, method) for figures, method in lines], f"{PAIR_SCHEMA}, p_method string")
     else:
-        compared = _compare_many_groups(data, listed)
+        compared, k = _compare_many_groups(data, sizes)
     return adjust(compared, "p_value", k * (k - 1) // 2, correction, alpha).withColumn(
         "significant", F.col("adjusted_p_value") <= F.lit(alpha)
     )
 
 
-def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
-    """Mann-Whitney of all pairs when one column per group would be too wide.
+def _compare_many_groups(data: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """Mann-Whitney of all pairs when one column per group would be too wide, and the number of groups.
 
-    Values collapse to counts per (value, group) first; each count then joins the pairs
-    its group is in, so the data rows themselves are never repeated.
+    Values collapse to counts per (value, group), which meet in buckets of values.
     """
-    spark, k = data.sparkSession, len(listed)
-    ship_package(spark)
-    total = sum(r["n"] for r in listed)
-    cuts = ranks.boundaries(data, ["x"], total)["x"]
-    schema = data.schema["g"].dataType.simpleString()
-    index = spark.createDataFrame(
-        [(i, r["g"], r["n"]) for i, r in enumerate(listed)], f"i int, g {schema}, n long"
-    )
+    ship_package(data.sparkSession)
+    # The pairs are the result, so their square root of rows fits one window.
+    index = materialise(sizes.select((F.row_number().over(Window.orderBy("g")) - 1).alias("i"), "g", "n"))
+    k, total = index.agg(F.count("*"), F.sum("n")).first()
+    cuts = ranks.boundaries(data, ["x"], total, bucket_rows(k))["x"]
     freq = data.groupBy("x", "g").agg(F.count("*").alias("c")).join(index, "g").select("x", "i", "c")
-    others = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")
-    paired = (
-        freq.select("x", "i", "c", others)
-        .where(F.col("i") != F.col("j"))
-        .groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "x")
-        .agg(
-            F.sum(F.when(F.col("i") < F.col("j"), F.col("c")).otherwise(0)).alias("n1"),
-            F.sum(F.when(F.col("i") > F.col("j"), F.col("c")).otherwise(0)).alias("n2"),
-        )
-    )
-    tests = (
-        ranks.running_counts(paired, "x", ["n1", "n2"], cuts, ["a", "b"])
-        .groupBy("a", "b")
-        .agg(*_rank_sum_aggregates("n1", "n2", "u", "ties"))
-    )
+    tests = pair_rank_sums(freq, k, cuts)
     medians = _group_medians(data, index.select("g", "n"), cuts)
     named = index.join(medians.select("g", "median"), "g").select(
         "i", F.col("g").cast("string").alias("name"), "n", "median"
@@ -328,7 +310,7 @@ def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
             [special.mann_whitney_p(*args)[0] for args in zip(u, n1, n2, ties, strict=True)], dtype="float64"
         )
 
-    return (
+    compared = (
         tests.join(side("a", "group_1"), "a")
         .join(side("b", "group_2"), "b")
         .select(
@@ -341,6 +323,7 @@ def _compare_many_groups(data: DataFrame, listed: Sequence) -> DataFrame:
             ).otherwise("normal").alias("p_method"),
         )
     )
+    return compared, k
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ added back as offsets. No window ever spans the whole column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -35,8 +36,9 @@ def boundaries(
 
 
 def with_bucket(df: DataFrame, x: str, cuts: Sequence[float]) -> DataFrame:
-    """Add ``_bucket``: how many of the ascending cut values are <= x, by binary search."""
-    if not len(cuts):
+    """Add ``_bucket``: how many of the ascending, finite cut values are <= x, by binary search."""
+    cuts = [c for c in cuts if math.isfinite(c)]
+    if not cuts:
         return df.withColumn("_bucket", F.lit(0))
     splits = [float("-inf"), *map(float, cuts), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=x, outputCol="_bucket", handleInvalid="keep")
@@ -97,3 +99,23 @@ def tie_term(ties: Column) -> Column:
     """Sum of t^3 - t over rows that hold one distinct value each."""
     t = ties.cast("double")
     return F.sum(t * (t - 1.0) * (t + 1.0))
+
+
+def running_extreme(
+    rows: DataFrame, x: str, order: Sequence[Column], value: str, cuts: Sequence[float] = (),
+    largest: bool = True, ascending: bool = True,
+) -> DataFrame:
+    """Add ``<value>_run``: the largest (or smallest) value of the rows up to this one.
+
+    ``order`` sorts the rows of a bucket and must go the way of ``x`` that ``ascending`` says.
+    """
+    name, extreme, pick = f"{value}_run", (F.max if largest else F.min), (F.greatest if largest else F.least)
+    cut = with_bucket(rows, x, cuts)
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.withColumn(name, extreme(value).over(inside))
+    if not cuts:
+        return within.drop("_bucket")
+    way = F.col("_bucket") if ascending else -F.col("_bucket")
+    buckets = Window.partitionBy(F.lit(0)).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy("_bucket").agg(extreme(value).alias("_t")).select("_bucket", extreme("_t").over(buckets).alias("_carried"))
+    return within.join(carried, "_bucket").select(*rows.columns, pick(name, "_carried").alias(name))

@@ -2,10 +2,12 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.operators import association, corrections, ranks
+from tabulon.functions import special
+from tabulon.operators import association, corrections, pair_ranks, ranks
 
 
 def average_ranks(values):
@@ -23,7 +25,7 @@ def small_buckets(monkeypatch):
     """Cut even small columns into many buckets, as a large table would be."""
     original = ranks.boundaries
     monkeypatch.setattr(
-        ranks, "boundaries", lambda df, columns, rows: original(df, columns, rows, 20)
+        ranks, "boundaries", lambda df, columns, rows, rows_per_bucket=20: original(df, columns, rows, min(rows_per_bucket, 20))
     )
 
 
@@ -139,6 +141,61 @@ def test_posthoc_pairs_are_ranked_apart_in_buckets(spark, small_buckets, monkeyp
             assert got[(a, b)][field] == pytest.approx(pair[field])
 
 
+def test_pairs_of_many_groups_by_products(spark, small_buckets, monkeypatch):
+    """Groups in several blocks, values in several buckets and several products of each."""
+    rng = random.Random(8)
+    rows = [(rng.choice([float(rng.randint(0, 12)), rng.random(), float("inf")]), f"g{rng.randint(0, 39):02}") for _ in range(900)]
+    rows += [(float(i), "tiny") for i in range(3)] + [(float("-inf"), "g00")] * 7
+    by_group = {}
+    for x, g in rows:
+        by_group.setdefault(g, []).append(x)
+    expected = {}
+    for a, b in itertools.combinations(sorted(by_group), 2):
+        u = sum((x > y) + 0.5 * (x == y) for x in by_group[a] for y in by_group[b])
+        counts = {}
+        for x in by_group[a] + by_group[b]:
+            counts[x] = counts.get(x, 0) + 1
+        ties = sum(t**3 - t for t in counts.values())
+        n1, n2 = len(by_group[a]), len(by_group[b])
+        expected[a, b] = (n1, n2, u, *special.mann_whitney_p(u, n1, n2, ties))
+
+    got = association.mann_whitney_posthoc(spark.createDataFrame(rows, "x double, g string").repartition(3), "x", "g", correction="bonferroni")
+    found = {(r["group_1"], r["group_2"]): (r["group_1_n"], r["group_2_n"], r["statistic"], r["p_value"], r["p_method"]) for r in got.collect()}
+    assert found.keys() == expected.keys()
+    for pair, (n1, n2, u, p, method) in expected.items():
+        assert found[pair] == (n1, n2, u, pytest.approx(p), method)
+
+
+def test_product_blocks(monkeypatch):
+    """One bucket by itself: blocks of groups and of values change nothing."""
+    rng = random.Random(9)
+    counts = {(float(rng.randint(0, 40)), rng.randint(0, 10)): rng.randint(1, 5) for _ in range(120)}
+    below = [rng.randint(0, 9) for _ in range(11)]
+
+    def figures():
+        out = {}
+        for block in range(-(-11 // pair_ranks.BLOCK_GROUPS)):
+            first = block * pair_ranks.BLOCK_GROUPS
+            rows = [(x, i, c) for (x, i), c in counts.items()]
+            rows += [(float("nan"), i, below[i]) for i in range(first, min(11, first + pair_ranks.BLOCK_GROUPS))]
+            rng.shuffle(rows)
+            made = pair_ranks._products((0, block, 11), pd.DataFrame(rows, columns=["x", "i", "c"]))
+            for r in made.itertuples():
+                u, t = out.get((r.a, r.b), (0, 0))
+                out[r.a, r.b] = (u + r.u, t + r.t)
+        return out
+
+    expected = {}
+    for a, b in itertools.combinations(range(11), 2):
+        of = {g: {x: c for (x, i), c in counts.items() if i == g} for g in (a, b)}
+        u = sum(c * (below[b] + sum(d for y, d in of[b].items() if y < x) + of[b].get(x, 0) / 2) for x, c in of[a].items())
+        expected[a, b] = (u, sum(c * of[b].get(x, 0) * (c + of[b].get(x, 0)) for x, c in of[a].items()))
+    assert figures() == expected
+    monkeypatch.setattr(pair_ranks, "BLOCK_GROUPS", 4)
+    monkeypatch.setattr(pair_ranks, "BLOCK_VALUES", 7)
+    assert figures() == expected
+
+
 def test_group_count_errors(spark):
     df = spark.createDataFrame([(1, "A"), (2, "B")], "x int, g string")
     with pytest.raises(ValueError, match="three groups"):
@@ -208,6 +265,51 @@ def test_corrections(spark):
         corrections.adjust(df, "p", 4, "guess")
 
 
+def plain_adjustment(p, method):
+    """By the definitions, place by place."""
+    m, order = len(p), sorted(range(len(p)), key=lambda i: p[i])
+    q = [p[i] for i in order]
+    if method in ("holm", "holm-sidak"):
+        steps = [v * (m - i) if method == "holm" else 1 - (1 - v) ** (m - i) for i, v in enumerate(q)]
+        out = [max(steps[: i + 1]) for i in range(m)]
+    elif method == "hommel":
+        out = []
+        for i in range(m):  # closed testing: Simes over the worst sets of every size that hold i
+            worst = q[i]
+            for size in range(2, m + 1):
+                held = sorted([q[i], *[v for j, v in enumerate(q) if j != i][-(size - 1):]])
+                worst = max(worst, min(size * v / (j + 1) for j, v in enumerate(held)))
+            out.append(worst)
+    else:
+        harmonic = sum(1 / i for i in range(1, m + 1)) if method == "fdr_by" else 1
+        steps = [v * (m - i) if method == "simes-hochberg" else v * m / (i + 1) * harmonic for i, v in enumerate(q)]
+        out = [min(steps[i:]) for i in range(m)]
+    return {v: min(1.0, a) for v, a in zip(q, out)}
+
+
+@pytest.mark.parametrize("method", ["holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "hommel"])
+@pytest.mark.parametrize("kind", ["uniform", "ties", "convex", "zeros"])
+def test_corrections_in_buckets(spark, small_buckets, monkeypatch, method, kind):
+    monkeypatch.setattr(corrections, "PLACES", 9)
+    rng = random.Random(len(method) + len(kind))
+    p = {
+        "uniform": [rng.random() for _ in range(47)], "ties": [rng.choice([0.001, 0.01, 0.02, 0.5, 1.0]) for _ in range(60)],
+        "convex": [((i + 1) / 50) ** 3 for i in range(50)], "zeros": [0.0] * 5 + [1e-5, 0.03] + [1.0] * 30,
+    }[kind]
+    rng.shuffle(p)
+    df = spark.createDataFrame([(v, 0) for v in p] + [(None, 1)], "p double, n int")
+    made = corrections.adjust(df, "p", len(p), method).collect()
+    assert sorted(r["p"] for r in made if r["n"] == 0) == sorted(p)
+    want = plain_adjustment(p, method)
+    for r in made:
+        assert r["adjusted_p_value"] == (None if r["p"] is None else pytest.approx(want[r["p"]], rel=1e-9))
+
+
+def test_harmonic_numbers_meet():
+    plain = sum(1 / i for i in range(1, 1_000_001))
+    assert corrections._harmonic(1_000_000) == pytest.approx(plain, rel=1e-14)
+
+
 def test_rank_sum_invariant(spark):
     data = spark.range(1000).selectExpr("cast(id % 37 as double) as x")
     cuts = ranks.boundaries(data, ["x"], 1000, 50)["x"]
