@@ -59,6 +59,11 @@ def _text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def feature_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What is fitted of each column: its number, or its text; null where missing."""
+    return {c: F.expr(_number_sql(c)) for c in numeric}, {c: F.expr(_category_sql(df, c)) for c in categorical}
+
+
 def numeric_parameters(
     df: DataFrame, numbers: dict[str, Column], scaling: str
 ) -> dict[str, tuple[float, float, float]]:
@@ -134,10 +139,16 @@ def fit_features(
     """
     scaling = check_scaling(scaling)
     vx.require_columns(df, [*numeric, *categorical])
-    numbers = numeric_parameters(df, {c: F.expr(_number_sql(c)) for c in numeric}, scaling)
-    categories = category_parameters(
-        df, {c: F.expr(_category_sql(df, c)) for c in categorical}, max_categories
-    )
+    numbers, texts = feature_values(df, numeric, categorical)
+    numbers = numeric_parameters(df, numbers, scaling)
+    categories = category_parameters(df, texts, max_categories)
+    return assemble(df, numbers, categories)
+
+
+def assemble(
+    df: DataFrame, numbers: dict[str, tuple[float, float, float]], categories: dict[str, tuple[str, list[str]]]
+) -> FittedFeatures:
+    """The pipeline of fitted figures: (fill, centre, scale) and (mode, values) per column."""
     if not numbers and not categories:
         raise ValueError("Every feature is empty, so there is nothing to fit.")
 

@@ -100,8 +100,8 @@ def assign_folds(
     return numbered.select(*df.columns, *kept, fold.cast("int").alias("fold")), folds, warning
 
 
-def validation_share(fold: int, folds: int, fraction: float):
-    """Is a row validation data when ``fold`` is held out? A column over ``positions``.
+def validation_share(fold: int | None, folds: int, fraction: float):
+    """Is a row validation data when ``fold`` (or none) is held out? A column over ``positions``.
 
     Rows of a class are evenly picked by their place among those left for training, so
     ceil(fraction * n) of every class with at least two rows are taken. Hash order makes
@@ -109,6 +109,9 @@ def validation_share(fold: int, folds: int, fraction: float):
     """
     if not 0 < fraction < 0.5:
         raise ValueError("The validation share lies between 0 and 0.5.")
+    if fold is None:
+        rank, left = F.col("_number"), F.col("_size")
+        return (left >= 2) & (F.ceil((rank + 1) * F.lit(fraction)) > F.ceil(rank * F.lit(fraction)))
     first = F.pmod(F.lit(fold) - F.col("_start"), F.lit(folds))  # first held-out place
 
     def held_out_before(place):

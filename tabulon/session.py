@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +68,61 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A table written to the shared folder; ``drop`` removes its files when nothing reads them any more."""
+
+    table: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        remove(self.table.sparkSession, self.path)
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> Stored:
+    """Cut lineage through a written table, for rounds whose results should not pile up."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """A written copy for the time of a block; an error of the block is not hidden by the removal."""
+    held = store(df)
+    try:
+        yield held.table
+    except BaseException:
+        with suppress(Exception):
+            held.drop()
+        raise
+    held.drop()
+
+
+@contextmanager
+def persisted(df: DataFrame) -> Iterator[DataFrame]:
+    """A cached table for the time of a block, which keeps an error of the block visible."""
+    held = df.persist()
+    try:
+        yield held
+    except BaseException:
+        with suppress(Exception):
+            held.unpersist()
+        raise
+    held.unpersist()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, wherever that lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for rows that are read many times over, when few files hold them."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabulon.operators import folds, forest, metrics, perceptron, profile, supervised
+from tabulon.operators import features, fold_features, folds, forest, metrics, perceptron, profile, supervised
 from tabulon.plans import catalogue
 
 
@@ -178,6 +181,50 @@ def test_forest_regression(table, known):
     assert r.task_type == "regression" and r.selection_metric == "r2" and r.primary_score > 0.8
 
 
+def test_forest_in_parts(spark, table, known):
+    """Written parts vote together: as many trees, importances of one, and predictions as good."""
+    for target, scores in (("churn", "accuracy"), ("salary", "r2")):
+        prepared = supervised.prepare_supervised_data(table, known, target, ["age", "department", "active"])
+        fitted = features.fit_features(prepared.data, prepared.selection.numeric_columns, prepared.selection.categorical_columns)
+        rows = fitted.model.transform(prepared.data).withColumn("_weight", F.lit(1.0))
+        estimator = forest.build_random_forest(prepared.task_type, n_estimators=7)
+        made = forest.fit_sub_forests(rows, estimator, max_leaves=3 * prepared.rows_used)
+        assert [trees for _, trees in made._parts] == [3, 3, 1] and all(isinstance(p, str) for p, _ in made._parts)
+        assert made.featureImportances.toArray().sum() == pytest.approx(1.0)
+        scored = made.transform(rows)
+        assert scored.count() == prepared.rows_used and set(scored.columns) >= {*rows.columns, "prediction"}
+        score = metrics.classification_metrics if target == "churn" else metrics.regression_metrics
+        assert score(scored, supervised.LABEL, "prediction").first()[scores] > 0.9
+        if target == "churn":
+            total = scored.select(F.aggregate(vector_to_array("rawPrediction"), F.lit(0.0), lambda a, b: a + b).alias("t")).distinct().collect()
+            assert [r["t"] for r in total] == [pytest.approx(7.0)] * len(total)
+        made.drop()
+        drawn = forest.fit_sub_forests(rows, estimator, max_leaves=100, rows_per_tree=50)
+        assert [trees for _, trees in drawn._parts] == [2, 2, 2, 1]
+
+
+def test_features_of_all_folds_at_once(spark):
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice([None, float(rng.randint(0, 9)), rng.random() * 100]), rng.choice([5, None]), rng.choice(["a", "b", None, "it's"]), i % 4)
+        for i in range(90)
+    ]
+    rows += [(100 + i, None, 7, "only here", 3) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, x double, y int, s string, fold int").withColumn("late", F.when(F.col("fold") == 2, F.col("x")))
+    for scaling in ("standard", "robust", "minmax", "none"):
+        fitted = fold_features.fit_features_by_fold(df, ["x", "y", "late"], ["s"], 4, scaling)
+        for fold, made in enumerate(fitted):
+            alone = features.fit_features(df.where(F.col("fold") != fold), ["x", "y", "late"], ["s"], scaling)
+            assert (made.feature_names, made.numeric_columns, made.categorical_columns) == (
+                alone.feature_names, alone.numeric_columns, alone.categorical_columns
+            )
+            got, want = (
+                {r["id"]: r["features"].toArray() for r in f.model.transform(df).select("id", "features").collect()} for f in (made, alone)
+            )
+            for key in want:
+                assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9)
+
+
 def test_forest_errors():
     with pytest.raises(ValueError):
         forest.build_random_forest("classification", n_estimators=0)
@@ -213,6 +260,50 @@ def test_network_regression(spark, table, known):
             perceptron.fit_network(prepared, hidden)
 
 
+def test_network_stops_early_and_keeps_the_best(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), *(rng.gauss(0, 1) for _ in range(6))) for i in range(160)]
+    noise = [f"n{k}" for k in range(6)]
+    df = spark.createDataFrame(
+        [(*r, "yes" if r[1] + r[2] + rng.gauss(0, 2) > 0 else "no") for r in rows], ["id", "a", "b", *noise, "y"]
+    )
+    prepared = supervised.prepare_supervised_data(df, profile.profile_dataset(df), "y", ["a", "b", *noise], key="id")
+    network = perceptron.fit_stopped_network(prepared, [12], max_iter=300, patience=20)
+    lines = perceptron.network_history(network, spark).orderBy("iteration").collect()
+    assert len(lines) >= 3 and lines[-1]["iteration"] < 300  # noise is learnt by heart, so it stops
+    least = min(r["validation_loss"] for r in lines)
+    assert [r["iteration"] for r in lines if r["best"]] == [network.iterations] and next(r for r in lines if r["best"])["validation_loss"] == least
+    assert lines[-1]["training_loss"] <= lines[0]["training_loss"]
+    # the kept weights are those of the best line: its loss comes out again from the stored split
+    rows = folds.assign_folds(prepared.data, "classification", supervised.ROW_ID, supervised.TARGET, 2, positions=True)[0]
+    scored = network.pipeline.transform(rows.where(folds.validation_share(None, 2, 0.15)))
+    chance = F.get(vector_to_array("probability"), F.col(supervised.LABEL).cast("int"))
+    assert scored.agg(F.avg(-F.log(chance))).first()[0] == pytest.approx(least)
+
+
+def test_network_in_one_call(spark, table, known):
+    r = perceptron.train_network(table, known, "churn", ["age", "department", "active"], cv_folds=3, max_iter=20)
+    assert r.selection_metric == "f1_macro" and 0 <= r.primary_score <= 1 and r.validation.validation.actual_folds == 3
+    history = r.validation.history.collect()
+    assert {h["fold"] for h in history} == {0, 1, 2} and all(h["validation_loss"] > 0 for h in history)
+    assert 1 <= r.validation.median_iterations <= 20 and r.final.iterations == r.validation.median_iterations
+    top = r.largest_weights.collect()
+    assert {t["output"] for t in top} == set(r.prepared.class_names)
+    layer = r.layers.first()
+    assert (layer["layer"], layer["inputs"], layer["outputs"]) == (0, len(r.final.feature_names), 2)
+    # the weights listed are those that predict: probabilities by hand
+    (table_, bias), row = perceptron._layers(r.final)[0], r.final.pipeline.transform(r.prepared.data).first()
+    z = row["features"].toArray() @ table_ + bias
+    assert row["probability"].toArray() == pytest.approx(np.exp(z) / np.exp(z).sum())
+
+
+def test_network_of_numbers_in_one_call(spark, table, known):
+    r = perceptron.train_network(table, known, "salary", ["age", "department"], cv_folds=3)
+    assert r.selection_metric == "r2" and r.primary_score > 0.5
+    ranks = [t["rank"] for t in r.largest_weights.orderBy("rank").collect()]
+    assert ranks == list(range(1, len(ranks) + 1)) and {t["output"] for t in r.largest_weights.collect()} == {"value"}
+
+
 def test_forest_with_many_classes(spark):
     rows = [(i, float(i % 120), f"c{i % 120:03d}") for i in range(480)]
     t = spark.createDataFrame(rows, "id long, x double, y string")
