@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import materialise
+from tabulon.operators import lloyd
+from tabulon.operators.silhouette import euclidean_silhouette
+from tabulon.session import materialise, persisted, spread
 
 INDEX_SCHEMA = (
     "k int, silhouette_score double, silhouette_kind string, calinski_harabasz_score double, "
@@ -23,13 +22,18 @@ INDEX_SCHEMA = (
 )
 
 
-def cluster_indices(data: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
+def cluster_indices(
+    data: DataFrame, cluster: str = "cluster", features: str = "features", silhouette: str = "squared_euclidean"
+) -> DataFrame:
     """Silhouette, Calinski-Harabasz, Davies-Bouldin and inertia of a labelling. One row.
 
-    The silhouette is the squared Euclidean one at every size: it follows from the sums of
-    each cluster, so its cost grows with the rows and not with their pairs. Only one centre
-    per cluster reaches the driver.
+    The ``squared_euclidean`` silhouette follows from the sums of each cluster, so its cost
+    grows with the rows and not with their pairs. The ``euclidean`` one is taken against
+    reference rows (see ``silhouette.euclidean_silhouette``, which also gives its error).
+    Only one centre per cluster and the reference rows reach the driver.
     """
+    if silhouette not in ("squared_euclidean", "euclidean"):
+        raise ValueError("The silhouette is squared_euclidean or euclidean.")
     named = data.select(F.col(cluster).alias("c"), F.col(features).alias("features"))
     means = named.groupBy("c").agg(
         F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("features"))).alias("m")
@@ -59,15 +63,32 @@ def cluster_indices(data: DataFrame, cluster: str = "cluster", features: str = "
         apart = np.sqrt(((centres - centres[i]) ** 2).sum(axis=1))
         apart[apart == 0] = np.inf
         worst.append(np.delete((spread + spread[i]) / apart, i).max())
-    score = ClusteringEvaluator(featuresCol="features", predictionCol="c").evaluate(
-        named.withColumn("c", F.col("c").cast("double"))
-    )
+    if silhouette == "euclidean":
+        score = euclidean_silhouette(named, "c").first()["silhouette_score"]
+    else:
+        score = ClusteringEvaluator(featuresCol="features", predictionCol="c").evaluate(
+            named.withColumn("c", F.col("c").cast("double"))
+        )
     return data.sparkSession.createDataFrame(
-        [(k, float(score), "squared_euclidean", float(calinski), float(np.mean(worst)), float(within))],
+        [(k, float(score), silhouette, float(calinski), float(np.mean(worst)), float(within))],
         INDEX_SCHEMA,
     )
 
 
+@dataclass(frozen=True)
+class Centers:
+    """Fitted centres: ``transform`` adds the nearest one's number as ``cluster``."""
+
+    centers: np.ndarray
+    features: str
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centers)
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        return data.withColumn("cluster", lloyd.assigned(vector_to_array(self.features), self.centers))
+
+
 @dataclass(frozen=True)
 class KMeansResult:
     """``labels``: the input with a ``cluster`` column; ``centers``: (cluster, feature array)."""
@@ -75,7 +96,7 @@ class KMeansResult:
     labels: DataFrame
     centers: DataFrame
     metrics: DataFrame
-    model: KMeansModel
+    model: KMeansModel | Centers
 
 
 def _check_k(n_clusters: int, rows: int) -> None:
@@ -104,11 +125,8 @@ def run_kmeans(
 ) -> KMeansResult:
     """Fit K-Means and score the clusters it finds."""
     _check_k(n_clusters, data.count())
-    held = data.persist()
-    try:
+    with persisted(data) as held:
         return _result(data, _fit(held, n_clusters, random_state, features), features)
-    finally:
-        held.unpersist()
 
 
 def evaluate_kmeans(
@@ -129,39 +147,33 @@ class BestK:
 
 
 def find_best_k(
-    data: DataFrame, min_k: int = 2, max_k: int = 10, random_state: int = 42,
-    features: str = "features", parallelism: int = 4,
+    data: DataFrame, min_k: int = 2, max_k: int = 10, random_state: int = 42, features: str = "features",
 ) -> BestK:
     """Try every K and keep the one with the highest silhouette, the smallest on ties.
 
-    Up to ``parallelism`` values of K run at a time, so short jobs fill the cluster.
+    All K are fitted and scored by the same passes over the vectors, which are kept narrow
+    in the cache; the number of passes is that of the K that moves longest.
     """
     if min_k < 2:
         raise ValueError("The search over K starts at two clusters.")
     if max_k < min_k:
         raise ValueError("The search over K ends before it starts.")
-    held = data.persist()
-    try:
-        rows = held.count()
+    with persisted(spread(data.select(vector_to_array(features).alias("v")))) as vectors:
+        rows = vectors.count()
         if rows < 3:
             raise ValueError("The search over K needs three observations.")
         candidates = range(min_k, min(max_k, rows - 1) + 1)
         if not candidates:
             raise ValueError("No K in the range is smaller than the number of observations.")
-
-        def attempt(k):
-            result = _result(held, _fit(held, k, random_state, features), features)
-            return result.metrics.first(), result
-
-        with ThreadPool(min(parallelism, len(candidates))) as pool:
-            # A wrapper per attempt: each copies the thread's properties for itself.
-            wrap = inheritable_thread_target(data.sparkSession)
-            tried = pool.map(lambda task: task(), [wrap(partial(attempt, k)) for k in candidates])
-    finally:
-        held.unpersist()
-    best, fitted = max(tried, key=lambda pair: (pair[0]["silhouette_score"], -pair[0]["k"]))
-    table = data.sparkSession.createDataFrame([tuple(m) for m, _ in tried], INDEX_SCHEMA)
-    return BestK(best["k"], best["silhouette_score"], table, fitted)
+        centers, _ = lloyd.fit_all(vectors, rows, candidates, random_state)
+        found = lloyd.indices(vectors, centers)
+    lines = [(k, found[k][1], "squared_euclidean", *found[k][2:]) for k in candidates]
+    table = data.sparkSession.createDataFrame(lines, INDEX_SCHEMA)
+    best = max(lines, key=lambda line: (line[1], -line[0]))
+    spark, model = data.sparkSession, Centers(centers[best[0]], features)
+    listed = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")
+    fitted = KMeansResult(model.transform(data), listed, spark.createDataFrame([best], INDEX_SCHEMA), model)
+    return BestK(best[0], best[1], table, fitted)
 
 
 def cluster_sizes(labelled: DataFrame, cluster: str = "cluster") -> DataFrame:

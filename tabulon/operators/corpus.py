@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import zipfile
 from collections.abc import Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
+import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import (
@@ -17,14 +20,14 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as tx
 from tabulon.functions import values as vx
 from tabulon.operators.distinct import distinct_counts
 from tabulon.operators.quantiles import exact_quantiles
-from tabulon.session import spread
+from tabulon.session import persisted, spread
 
 
 def stop_word_list(stop_words: str | Sequence[str] | None) -> list[str]:
@@ -32,7 +35,12 @@ def stop_word_list(stop_words: str | Sequence[str] | None) -> list[str]:
     if stop_words is None:
         return []
     if isinstance(stop_words, str):
-        return list(StopWordsRemover.loadDefaultStopWords(stop_words))
+        if SparkSession.getActiveSession() is not None:
+            return list(StopWordsRemover.loadDefaultStopWords(stop_words))
+        # Without a session to ask, from the file in the same library.
+        (jar,) = (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")
+        with zipfile.ZipFile(jar) as held:
+            return held.read(f"org/apache/spark/ml/feature/stopwords/{stop_words}.txt").decode().splitlines()
     return list(stop_words)
 
 
@@ -53,7 +61,8 @@ def cleaned(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     return documents(df, column, keep).withColumn("text", tx.clean(F.col("text")))
 
 
-def _tokenised(df, column, stop_words, keep=()):
+def tokenised(df: DataFrame, column: str, stop_words: str | Sequence[str] | None = "english", keep: Sequence[str] = ()) -> DataFrame:
+    """``words`` of each usable text, without stop words, next to the ``keep`` columns."""
     # Cleaning changes letter case and whitespace only, which tokenising does anyway.
     words = tx.tokens(F.col("text"))
     found = documents(df, column, keep).select(*[vx.ref(c) for c in keep], words.alias("words"))
@@ -104,7 +113,7 @@ def word_frequencies(
     """The most frequent words of the corpus; ties alphabetical."""
     _require_text(df, column)
     counts = (
-        _exploded(_tokenised(df, column, None), F.col("words"), "word")
+        _exploded(tokenised(df, column, None), F.col("words"), "word")
         .groupBy("word")
         .agg(F.count("*").alias("frequency"))
     )
@@ -126,7 +135,7 @@ def ngrams(
         raise ValueError("An n-gram holds one word or more.")
     _require_text(df, column)
     return (
-        _exploded(tx.with_ngrams(_tokenised(df, column, stop_words), "words", n, "runs"), F.col("runs"), "ngram")
+        _exploded(tx.with_ngrams(tokenised(df, column, stop_words), "words", n, "runs"), F.col("runs"), "ngram")
         .groupBy("ngram")
         .agg(F.count("*").alias("frequency"))
         .orderBy(F.desc("frequency"), "ngram")
@@ -162,7 +171,7 @@ def vocabulary(
         F.struct(F.col("words").alias("w"), F.lit(1).alias("t"), F.lit(0).alias("d")),
         F.struct(F.array_distinct("words").alias("w"), F.lit(0).alias("t"), F.lit(1).alias("d")),
     )
-    marked = _tokenised(df, column, None).select(F.inline(once))
+    marked = tokenised(df, column, None).select(F.inline(once))
     terms = (
         _exploded(marked, F.col("w"), "term", "t", "d")
         .groupBy("term")
@@ -178,7 +187,7 @@ def vocabulary(
 def _vectors(df, column, terms, keep=()):
     """Sparse counts over a fixed vocabulary (without stop words), row by row and unshuffled."""
     model = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="counts")
-    return model.transform(_tokenised(df, column, None, keep))
+    return model.transform(tokenised(df, column, None, keep))
 
 
 def tfidf_keywords(
@@ -270,11 +279,8 @@ def topic_modeling(
         topicConcentration=1.0 / n_topics,
         featuresCol="counts",
     )
-    counts.persist()
-    try:
+    with persisted(counts):
         model = estimator.fit(counts)
-    finally:
-        counts.unpersist()
 
     spark = df.sparkSession
     weights = model.topicsMatrix().toArray()

@@ -165,3 +165,13 @@ def _from_places(places: _Places, stats: dict, names: list[str], folds: int, sca
         {names[c]: (fills[c, f], pairs[c, f][0], pairs[c, f][1] or 1.0) for c in range(len(names)) if (c, f) in fills}
         for f in range(folds)
     ]
+
+
+def scaling_by_fold(
+    table: DataFrame, columns: Sequence[str], folds: int, scaling: str | None = "standard", fold: str = "fold"
+) -> DataFrame:
+    """(fold, column_name, fill, centre, scale) of the rows outside each fold; empty columns have no line."""
+    numbers, _ = feature_values(table, columns, [])
+    fitted = _numbers_by_fold(table, numbers, folds, check_scaling(scaling), fold)
+    lines = [(f, c, *figures) for f, found in enumerate(fitted) for c, figures in found.items()]
+    return table.sparkSession.createDataFrame(lines, "fold int, column_name string, fill double, centre double, scale double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from tabulon.operators import (
     corrections,
     describe,
     features,
+    fold_features,
     folds,
     forest,
+    lloyd,
     metrics,
     perceptron,
     profile,
@@ -442,6 +445,21 @@ def one_hot(spark, folder):
     )
 
 
+def _fold_scaling(scaling):
+    def run(spark, folder):
+        t = _gappy_customer(spark, folder).withColumn("fold", (F.col("c_custkey") % 4).cast("int"))
+        return rounded(
+            fold_features.scaling_by_fold(t, ["c_acctbal", "c_nationkey"], 4, scaling), 6, "fill", "centre", "scale"
+        )
+
+    run.__name__ = f"fold_scaling_{scaling}"
+    return query(run)
+
+
+for _name in ("standard", "robust", "minmax"):
+    _fold_scaling(_name)
+
+
 @query
 def removed_columns(spark, folder):
     p = features.prepare_clustering_data(
@@ -462,8 +480,9 @@ def _vectors(spark, folder):
 
 @query
 def cluster_indices(spark, folder):
+    """With the Euclidean silhouette, exact while the clusters fit the reference rows."""
     return rounded(
-        clustering.cluster_indices(_vectors(spark, folder), "label"), 6,
+        clustering.cluster_indices(_vectors(spark, folder), "label", silhouette="euclidean"), 6,
         "silhouette_score", "calinski_harabasz_score", "davies_bouldin_score", "inertia",
     )
 
@@ -488,6 +507,27 @@ def kmeans_best_k(spark, folder):
     return result.best_k.results.withColumn("best_k", F.lit(result.best_k.best_k))
 
 
+@query
+def kmeans_fixed_centers(spark, folder):
+    """The nearest of two and of three given centres for every customer."""
+    t = load(spark, folder, "customer")
+    point = F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"))
+    centers = {2: [[0.0, 5.0], [6000.0, 20.0]], 3: [[-500.0, 0.0], [4000.0, 12.0], [9000.0, 24.0]]}
+    return t.select("c_custkey", *[lloyd.assigned(point, np.array(c)).alias(f"cluster_of_{k}") for k, c in centers.items()])
+
+
+@query
+def kmeans_step(spark, folder):
+    """One step of several K at once: the rows and the mean of every cluster of the given centres."""
+    t = load(spark, folder, "customer")
+    vectors = t.select(F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double")).alias("v"))
+    centers = {2: [[0.0, 5.0], [6000.0, 20.0]], 3: [[-500.0, 0.0], [4000.0, 12.0], [9000.0, 24.0]]}
+    found = lloyd.sums_by_cluster(vectors, {k: np.array(c) for k, c in centers.items()})
+    rows = [(k, i, n, float(mean[0]), float(mean[1])) for k, held in found.items() for i, (n, mean, *_) in held.items()]
+    made = spark.createDataFrame(rows, "k int, cluster int, n long, balance double, nation double")
+    return rounded(made, 6, "balance", "nation")
+
+
 @query
 def kmeans_clusters(spark, folder):
     found = clustering.run_kmeans(_vectors(spark, folder), 4)
@@ -521,6 +561,12 @@ def bigrams(spark, folder):
     return corpus.ngrams(load(spark, folder, "documents"), "text", 2, 20)
 
 
+@query
+def text_report_terms(spark, folder):
+    """Words, bigrams and trigrams from one tokenised table."""
+    return analyses.text_report(load(spark, folder, "documents"), "text", (1, 2, 3)).terms.drop("place")
+
+
 @query
 def trigrams(spark, folder):
     return corpus.ngrams(load(spark, folder, "documents"), "text", 3, 20)
@@ -688,6 +734,17 @@ def network_cv(spark, folder):
     return perceptron.cross_validate_network(prepared, [8]).metrics
 
 
+@query
+def network_history(spark, folder):
+    """Losses of a network with a hidden layer until its validation loss stops falling."""
+    t = _document_features(spark, folder)
+    prepared = supervised.prepare_supervised_data(
+        t, profile.profile_dataset(t, duplicates=False), "quality", key="doc_id",
+        exclude_columns=["doc_id", "toxic"],
+    )
+    return perceptron.network_history(perceptron.fit_stopped_network(prepared, [8]), spark)
+
+
 def _linear_network(spark, folder):
     t = load(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     prepared = supervised.prepare_supervised_data(
@@ -703,6 +760,12 @@ def network_weights(spark, folder):
     return perceptron.network_weights(fitted, spark)
 
 
+@query
+def network_largest_weights(spark, folder):
+    _, fitted = _linear_network(spark, folder)
+    return perceptron.largest_weights(fitted, spark)
+
+
 @query
 def network_predict(spark, folder):
     t, fitted = _linear_network(spark, folder)

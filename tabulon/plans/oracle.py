@@ -187,6 +187,27 @@ def _scaled(centre, scale):
     FROM filled v CROSS JOIN figures f"""
 
 
+def _fold_scaled(centre, scale):
+    parts = [
+        f"""SELECT CAST({fold} AS INTEGER) AS fold, '{column}' AS column_name, any_value(m) AS fill, {centre} AS centre, {scale} AS scale
+        FROM (SELECT m, coalesce(CAST({column} AS DOUBLE), m) AS x FROM
+          (SELECT *, median({column}) OVER () AS m FROM {GAPPY_CUSTOMER} WHERE c_custkey % 4 <> {fold}))"""
+        for fold in range(4) for column in ("c_acctbal", "c_nationkey")
+    ]
+    return f"""SELECT fold, column_name, round(CAST(fill AS DOUBLE), 6) AS fill, round(CAST(centre AS DOUBLE), 6) AS centre,
+      round(CAST(CASE WHEN scale = 0 THEN 1 ELSE scale END AS DOUBLE), 6) AS scale FROM ({" UNION ALL ".join(parts)})"""
+
+
+TWO_CENTERS = ((0, 5), (6000, 20))
+THREE_CENTERS = ((-500, 0), (4000, 12), (9000, 24))
+
+
+def _nearest(centers):
+    """The number of the nearest centre of a customer, the first of equals."""
+    far = ", ".join(f"(c_acctbal - ({b})) * (c_acctbal - ({b})) + (c_nationkey - {n}) * (c_nationkey - {n})" for b, n in centers)
+    return f"CAST(list_position([{far}], least({far})) - 1 AS INTEGER)"
+
+
 def _ngrams(n, table="documents", stop=True, name="ngram"):
     slice_ = f"array_to_string(w[i:i + {n - 1}], ' ')" if n > 1 else "w[i]"
     return f"""SELECT {name}, count(*) AS frequency FROM (
@@ -450,7 +471,19 @@ def oracle_sql() -> dict[str, str]:
         "removed_columns": f"""SELECT 'constant' AS column_name, 'removed' AS kept_as
             UNION ALL SELECT 'c_acctbal', 'feature' UNION ALL
             SELECT DISTINCT 'c_mktsegment_' || c_mktsegment, 'feature' FROM {GAPPY_CUSTOMER} WHERE c_mktsegment IS NOT NULL""",
-        "cluster_indices": _cluster("d2", "squared_euclidean"),
+        "cluster_indices": _cluster("sqrt(d2)", "euclidean"),
+        "kmeans_fixed_centers": f"SELECT c_custkey, {_nearest(TWO_CENTERS)} AS cluster_of_2, {_nearest(THREE_CENTERS)} AS cluster_of_3 FROM customer",
+        "kmeans_step": " UNION ALL ".join(
+            f"""SELECT CAST({len(c)} AS INTEGER) AS k, {_nearest(c)} AS cluster, count(*) AS n,
+              round(avg(CAST(c_acctbal AS DOUBLE)), 6) AS balance, round(avg(c_nationkey), 6) AS nation FROM customer GROUP BY ALL"""
+            for c in (TWO_CENTERS, THREE_CENTERS)
+        ),
+        "fold_scaling_standard": _fold_scaled("avg(x)", "stddev_pop(x)"),
+        "fold_scaling_robust": _fold_scaled("median(x)", "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)"),
+        "fold_scaling_minmax": _fold_scaled("min(x)", "max(x) - min(x)"),
+        "text_report_terms": " UNION ALL ".join(
+            f"(SELECT CAST({n} AS INTEGER) AS size, ngram AS term, frequency FROM ({_ngrams(n)}))" for n in (1, 2, 3)
+        ),
         "cluster_indices_squared": _cluster("d2", "squared_euclidean"),
         "label_sizes": "SELECT label, count(*) AS size FROM embeddings GROUP BY label",
         "corpus_stats": " UNION ALL ".join(_corpus(t) for t in ("documents", "conversations")),

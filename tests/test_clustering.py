@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tabulon.operators import clustering, features
+from tabulon.operators import clustering, features, lloyd, silhouette
 from tabulon.plans.analyses import kmeans_analysis
 
 ROWS = [
@@ -126,6 +126,84 @@ def test_indices_against_brute_force(spark):
     assert [again[c] for c in again.asDict() if c != "silhouette_kind"] == pytest.approx([r[c] for c in r.asDict() if c != "silhouette_kind"])
 
 
+def plain_silhouette(x, c):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i in range(len(x)):
+        mates = (c == c[i]) & (np.arange(len(x)) != i)
+        if not mates.any():
+            out.append(0.0)
+            continue
+        a, b = d[i][mates].mean(), min(d[i][c == k].mean() for k in set(c) if k != c[i])
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return np.mean(out)
+
+
+def labelled(spark, x, c):
+    rows = [(v.tolist(), int(k)) for v, k in zip(x, c)]
+    return spark.createDataFrame(rows, "x array<double>, c int").select("c", array_to_vector("x").alias("features"))
+
+
+def test_euclidean_silhouette_is_exact_on_few_rows(spark):
+    for rows, c in ((TWO, [0, 0, 0, 1, 1, 1]), (THREE, [0] * 4 + [1] * 4 + [2] * 4), (THREE, [0] * 5 + [1] * 6 + [2])):
+        x, c = np.array(rows, dtype=float), np.array(c)
+        r = silhouette.euclidean_silhouette(labelled(spark, x, c), "c").first()
+        assert r["silhouette_score"] == pytest.approx(plain_silhouette(x, c)) and r["exact"] and r["standard_error"] == 0
+    assert clustering.cluster_indices(labelled(spark, x, c), "c", silhouette="euclidean").first()["silhouette_kind"] == "euclidean"
+    with pytest.raises(ValueError):
+        silhouette.euclidean_silhouette(labelled(spark, x, np.zeros(12)), "c")
+
+
+def test_euclidean_silhouette_by_references(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 1.5, size=(n, 3)) for m, n in ((0, 900), (3, 500), (6, 60))])
+    c = np.repeat([7, 8, 9], [900, 500, 60])
+    want, inside = plain_silhouette(x, c), 0
+    data = labelled(spark, x, c)
+    for seed in range(6):
+        r = silhouette.euclidean_silhouette(data, "c", references=300, seed=seed).first()
+        assert not r["exact"] and 150 < r["reference_rows"] < 450 and 0 < r["standard_error"] < 0.05
+        assert r["silhouette_score"] == pytest.approx(want, abs=4 * r["standard_error"])
+        inside += abs(r["silhouette_score"] - want) <= 2 * r["standard_error"]
+    assert inside >= 4
+
+
+def test_fused_steps_equal_plain_steps(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(200, 3)), 2)
+    vectors = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3)
+    first = lloyd.seeds(vectors, 200, 5, 42)
+    centers, steps = lloyd.fit_all(vectors, 200, range(2, 6), 42)
+    longest = 0
+    for k in range(2, 6):
+        now, moved = first[:k].copy(), 0
+        while True:
+            c = ((x[:, None] - now[None]) ** 2).sum(-1).argmin(axis=1)
+            then = np.array([x[c == i].mean(axis=0) if (c == i).any() else now[i] for i in range(k)])
+            moved += 1
+            done = ((then - now) ** 2).sum(axis=1).max() <= lloyd.TOLERANCE**2
+            now = then
+            if done:
+                break
+        longest = max(longest, moved)
+        assert centers[k] == pytest.approx(now)
+    assert steps == longest  # the passes of the slowest K, not of all together
+    found = lloyd.indices(vectors, centers)
+    for k in range(2, 6):
+        c = lloyd.nearest(x, centers[k])[0]
+        r = clustering.cluster_indices(labelled(spark, x, c), "c").first()
+        want = (r["k"], r["silhouette_score"], r["calinski_harabasz_score"], r["davies_bouldin_score"], r["inertia"])
+        assert found[k] == pytest.approx(want)
+        marked = vectors.select("v", lloyd.assigned(F.col("v"), centers[k]).alias("c")).collect()
+        assert [r["c"] for r in marked] == lloyd.nearest(np.array([r["v"] for r in marked]), centers[k])[0].tolist()
+
+
+def test_equal_rows_and_lost_clusters(spark):
+    data = points(spark, [(1, 1)] * 5 + [(2, 2)])
+    best = clustering.find_best_k(data, 2, 4)
+    assert best.best_k == 2 and best.fitted.labels.count() == 6
+
+
 def test_two_blobs(spark):
     result = clustering.run_kmeans(points(spark, TWO), 2)
     assert [r["size"] for r in clustering.cluster_sizes(result.labels).collect()] == [3, 3]

@@ -1,13 +1,16 @@
 import math
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as tx
 from tabulon.operators import corpus
-from tabulon.plans.analyses import analyze_text_column
+from tabulon.plans.analyses import text_report
 
 REVIEWS = [
     "Python is a great language for data analysis", "I love Python and data science",
@@ -144,8 +147,18 @@ def test_blank_column_is_refused(spark):
             f(df, "t")
 
 
-def test_dispatch(reviews):
-    assert analyze_text_column(reviews, "review").first()["document_count"] == 10
-    assert analyze_text_column(reviews, "review", "NGRAMS", top_n=3).count() == 3
-    with pytest.raises(ValueError, match="analysis must be"):
-        analyze_text_column(reviews, "review", "magic")
+def test_text_report(reviews):
+    r = text_report(reviews, "review", (1, 2, 40), top_n=4, keywords=3)
+    assert r.statistics.first()["document_count"] == 10 and r.topics is None
+    found = {n: [(t["term"], t["frequency"]) for t in r.terms.where(F.col("size") == n).orderBy("place").collect()] for n in (1, 2, 40)}
+    assert found[1] == [(t["word"], t["frequency"]) for t in corpus.word_frequencies(reviews, "review", 4).collect()]
+    assert found[2] == [(t["ngram"], t["frequency"]) for t in corpus.ngrams(reviews, "review", 2, 4).collect()] and found[40] == []
+    assert r.keywords.collect() == corpus.tfidf_keywords(reviews, "review", 3).collect()
+
+
+def test_stop_words_without_a_session(spark):
+    """In a process of its own, which never starts a session."""
+    code = "from tabulon.operators.corpus import stop_word_list as s; print(*s('english'))"
+    root = Path(corpus.__file__).parents[2]
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True)
+    assert made.stdout.split() == corpus.stop_word_list("english")
