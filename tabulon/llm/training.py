@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tabulon.session import materialise
 
-#: Shards are fixed so that a model does not depend on the cluster.
+#: Shards follow from the labelled rows, so a model does not depend on the cluster. A shard of
+#: fewer rows would learn rare features by heart, as no other shard tempers its change.
 SHARDS = 8
+SHARD_ROWS = 500
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -35,10 +37,11 @@ def bounded_sample(labelled: DataFrame, id_col: str, limit: int) -> DataFrame:
 
 def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(text, target, shard, rank) of a bounded sample of (id, target); its ids are broadcast."""
+    shards = min(SHARDS, max(1, sample.count() // SHARD_ROWS))
     chosen = sample.select(F.col(id_col).alias("sample_id"), "target")
     joined = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "sample_id")
     rank = F.xxhash64(F.col("sample_id"), F.lit("rank"))
-    return joined.select("text", "target", F.pmod(rank, F.lit(SHARDS)).cast("int").alias("shard"), rank.alias("rank"))
+    return joined.select("text", "target", F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("rank"))
 
 
 def feature_rows(texts: DataFrame, featurise: Callable, extra: tuple[str, ...] = ()) -> DataFrame:
