@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import materialise
+from tabulon.session import Stored, store
+
+
+class Scratch:
+    """Written intermediate tables; ``clear`` removes those that no result reads any more."""
+
+    def __init__(self):
+        self._held: list[Stored] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows from a written table of their own."""
+        self._held.append(store(df))
+        return self._held[-1].table
+
+    def clear(self) -> None:
+        for held in self._held:
+            held.drop()
+        self._held.clear()
 
 #: A key that holds at least 1 / HOT_SHARE of all rows is joined by broadcast; there can be
 #: no more than HOT_SHARE such keys, whatever the data.
@@ -43,14 +60,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with a link; the component is its smallest node.
 
     ``edges`` has two long columns a and b. Alternates large-star and small-star steps until
-    nothing changes; each round is checkpointed, so a lost executor costs one round.
+    nothing changes; each round is written, so a lost executor costs one round, and removed
+    once the next one is there.
     """
-    edges = materialise(
+    held = store(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct()
     )
-    seen = _stamp(edges)
+    seen = _stamp(held.table)
     while seen[0]:
+        edges = held.table
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Larger neighbours move to the least neighbour (or the node itself).
         large = (
@@ -64,11 +83,14 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(joined.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        edges = materialise(small)
-        now = _stamp(edges)
+        after = store(small)
+        held.drop()
+        held = after
+        now = _stamp(held.table)
         if now == seen:
             break
         seen = now
+    edges = held.table
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -19,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.groups import attach_groups, components
+from tabulon.llm.groups import Scratch, attach_groups, components
 from tabulon.llm.texthash import NOT_SPACE, Words, blocks, mix
 from tabulon.llm.workers import prepare
 from tabulon.session import materialise
@@ -36,6 +36,8 @@ LEAF_SHINGLES = 500_000
 BOX_POINTS = 16
 #: Bits of the filter that finds the texts of candidates without shuffling texts (1 MB).
 FILTER_BITS = 1 << 23
+#: Heads that a set is checked against before the search; more only save comparisons later.
+HEADS = 3
 #: Rows of one Python group.
 TASK_POINTS = 2_000
 
@@ -254,11 +256,12 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def tree_links(ids, sizes, points, sets, side, percent: int) -> list[tuple[int, int]]:
+def tree_links(ids, sizes, points, sets, side, percent: int, known=None) -> list[tuple[int, int]]:
     """Links that connect what is connected at the threshold, from boxes down to sets.
 
-    Pairs already connected by a found link are not compared. ``side`` is None for all
-    pairs, else only pairs across it count. Without ``sets`` the bound of the points decides.
+    Pairs already connected, by a found link or because they are ``known`` to be in one
+    component, are not compared. ``side`` is None for all pairs, else only pairs across it
+    count. Without ``sets`` the bound of the points decides.
     """
     order = np.lexsort((points[:, 0], sizes))
     sizes, points = sizes[order].astype(np.int64), points[order].astype(np.int64)
@@ -266,6 +269,10 @@ def tree_links(ids, sizes, points, sets, side, percent: int) -> list[tuple[int,
     sets = None if sets is None else [np.asarray(sets[k]).view(np.uint64) for k in order]
     side = None if side is None else np.asarray(side)[order]
     parent = list(range(len(ids)))
+    if known is not None:
+        first: dict = {}
+        for k, group in enumerate(np.asarray(known)[order].tolist()):
+            parent[k] = first.setdefault(group, k)
 
     def root(x):
         while parent[x] != x:
@@ -308,52 +315,96 @@ def _search(percent: int):
             links += tree_links(
                 rows["node"].tolist(), rows["n"].to_numpy(), np.stack(rows["point"].to_numpy()),
                 rows["shingles"].tolist() if "shingles" in rows else None,
-                None if one == other else rows["leaf"].to_numpy(), percent,
+                None if one == other else rows["leaf"].to_numpy(), percent, rows["known"].to_numpy(),
             )
         return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
     return run
 
 
-def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves whose boxes may hold a linked pair."""
-    boxes = members.groupBy("subtree", "leaf").agg(
+def _bound(minima: Column, one: Column, other: Column, percent: int) -> Column:
+    """May sets of these sizes link, if they share at most ``minima`` shingles?"""
+    return (minima * (100 + percent) >= percent * (one + other)) & (one * 100 >= other * percent) & (other * 100 >= one * percent)
+
+
+def _minima(one: str, other: str) -> Column:
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+
+
+def _boxes(members: DataFrame, keys: list[str]) -> DataFrame:
+    return members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.array(*[F.max(F.col("point")[g]) for g in range(GROUPS)]).alias("corner"),
     )
-    boxes = materialise(boxes)
-    left = boxes.select("subtree", F.col("leaf").alias("one"), *[F.col(c).alias(f"{c}_1") for c in ("held", "least", "most", "corner")])
-    right = boxes.select("subtree", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}_2") for c in ("held", "least", "most", "corner")])
-    minima = F.aggregate(F.zip_with("corner_1", "corner_2", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return (
-        left.join(right, "subtree").where("one <= other AND (one < other OR held_1 > 1)")
-        .where(f"most_1 * 100 >= least_2 * {percent} AND most_2 * 100 >= least_1 * {percent}")
-        .where(minima * (100 + percent) >= percent * (F.col("least_1") + F.col("least_2")))
-        .select("subtree", "one", "other", (F.col("held_1") + F.col("held_2")).alias("held"))
+
+
+def _near_boxes(one: DataFrame, other: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs of boxes with equal ``keys`` whose bound allows a link; columns end in _1 and _2."""
+    left = one.select(*keys, *[F.col(c).alias(f"{c}_1") for c in one.columns if c not in keys])
+    right = other.select(*keys, *[F.col(c).alias(f"{c}_2") for c in other.columns if c not in keys])
+    return left.join(right, keys).where(
+        f"most_1 * 100 >= least_2 * {percent} AND most_2 * 100 >= least_1 * {percent}"
+    ).where(_minima("corner_1", "corner_2") * (100 + percent) >= percent * (F.col("least_1") + F.col("least_2")))
+
+
+def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaves whose boxes may hold a linked pair of different components.
+
+    A unit is a component with leaves of its own, or all small ones of a subtree (-1). Units
+    are paired first, so the leaves of a large component never meet each other.
+    """
+    units = leaves.groupBy("subtree", "unit").agg(
+        F.sum("held").alias("held"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.array(*[F.max(F.col("corner")[g]) for g in range(GROUPS)]).alias("corner"),
+    )
+    apart = _near_boxes(units, units, ["subtree"], percent).where("unit_1 < unit_2").select("subtree", "unit_1", "unit_2")
+    small = leaves.where("unit < 0")
+    inside = _near_boxes(small, small, ["subtree"], percent).where("leaf_1 < leaf_2 OR (leaf_1 = leaf_2 AND held_1 > 1)")
+    kept = ["subtree", "leaf_1", "leaf_2", "held_1", "held_2"]
+    left = apart.join(leaves.withColumnRenamed("unit", "unit_1"), ["subtree", "unit_1"])
+    left = left.select("subtree", F.col("unit_2").alias("unit"), *[F.col(c).alias(f"{c}_1") for c in ("leaf", "held", "least", "most", "corner")])
+    right = leaves.select("subtree", "unit", *[F.col(c).alias(f"{c}_2") for c in ("leaf", "held", "least", "most", "corner")])
+    across = left.join(right, ["subtree", "unit"]).where(
+        f"most_1 * 100 >= least_2 * {percent} AND most_2 * 100 >= least_1 * {percent}"
+    ).where(_minima("corner_1", "corner_2") * (100 + percent) >= percent * (F.col("least_1") + F.col("least_2")))
+    return inside.select(*kept).unionByName(across.select(*kept)).select(
+        "subtree", F.col("leaf_1").alias("one"), F.col("leaf_2").alias("other"), (F.col("held_1") + F.col("held_2")).alias("held")
     )
 
 
-def _search_tree(points: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links within each subtree of (subtree, node, n, point and perhaps shingles).
+def _search_tree(points: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links between components of a subtree, of (subtree, known, node, n, point and perhaps shingles).
 
-    A subtree is cut into leaves, tiles of sizes and then hashes; a task gets two leaves
-    whose boxes may hold a link, or one.
+    ``known`` is the component a node is already in. A large component is cut into leaves of
+    its own; small ones share leaves, cut by size. Leaves hold about LEAF_POINTS points or
+    LEAF_SHINGLES shingles; a task gets two leaves whose boxes may hold a link, or one.
     """
-    columns = [c for c in ("node", "n", "point", "shingles") if c in points.columns]
-    weight = F.sum("n") / LEAF_SHINGLES if "shingles" in columns else F.lit(0.0)
-    sizes = materialise(
-        points.groupBy("subtree").agg(
-            F.ceil(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, weight)).cast("long").alias("leaves"),
-            F.percentile_approx("n", [k / 16 for k in range(1, 16)]).alias("cuts"),
-        )
+    columns = [c for c in ("known", "node", "n", "point", "shingles") if c in points.columns]
+
+    def leaves_of(rows):
+        weight = F.sum("n") / LEAF_SHINGLES if "shingles" in columns else F.lit(0.0)
+        return F.ceil(F.greatest(rows / LEAF_POINTS, weight)).cast("long")
+
+    total = points.count()
+    known = scratch.keep(
+        points.groupBy("subtree", "known").agg(F.count(F.lit(1)).alias("rows"), leaves_of(F.count(F.lit(1))).alias("parts"))
+        .withColumn("unit", F.when(F.col("parts") > 1, F.col("known")).otherwise(F.lit(-1).cast("long")))
+    )
+    # Sizes are cut by bands of a fixed ratio, and a band by hashes into as many leaves as it needs.
+    band = F.floor(F.log(F.col("n").cast("double")) * 8).cast("long")
+    in_units = attach_groups(points, known.drop("parts"), ["subtree", "known"], "rows", total).drop("rows").withColumn(
+        "band", F.when(F.col("unit") < 0, band).otherwise(F.lit(0).cast("long"))
+    )
+    parts = scratch.keep(
+        in_units.groupBy("subtree", "unit", "band").agg(F.count(F.lit(1)).alias("rows"), leaves_of(F.count(F.lit(1))).alias("leaves"))
+        .withColumn("first", F.sum("leaves").over(
+            Window.partitionBy("subtree").orderBy("unit", "band").rowsBetween(Window.unboundedPreceding, -1)))
     )
-    tile = F.size(F.filter("cuts", lambda c: c < F.col("n")))
-    members = points.join(sizes, "subtree").withColumn(
-        "leaf",
-        F.when(F.col("leaves") <= 1, F.lit(0).cast("long")).otherwise(
-            tile * 1_000_000 + F.pmod(F.xxhash64("node"), F.ceil(F.col("leaves") / 16))
-        ),
-    ).drop("leaves", "cuts")
-    pairs = materialise(_leaf_pairs(members, percent))
+    # Known components stay together in a leaf of small ones, so that it needs no pair with itself for them.
+    members = attach_groups(in_units, parts, ["subtree", "unit", "band"], "rows", total).withColumn(
+        "leaf", F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64(F.when(F.col("unit") < 0, F.col("known")).otherwise(F.col("node"))), F.col("leaves"))
+    ).select("subtree", "unit", "leaf", *columns)
+    boxes = scratch.keep(_boxes(members, ["subtree", "unit", "leaf"]))
+    pairs = scratch.keep(_leaf_pairs(boxes, percent))
     columns = ["subtree", "one", "other", "leaf", *columns]
     placed = (
         members.join(pairs.withColumn("leaf", F.col("one")), ["subtree", "leaf"]).select(*columns)
@@ -364,34 +415,103 @@ def _search_tree(points: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy(place.alias("place")).applyInPandas(_search(percent), "a long, b long")
 
 
-def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) document ids that connect every pair at the threshold, over one row per set."""
+def _check_heads(percent: int):
+    """Links of a head with the other sets of its group that overlap enough."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for head, rows in part.groupby("head", sort=False):
+            mine = rows["node"].to_numpy() == head
+            if not mine.any():
+                continue
+            base = np.asarray(rows["shingles"].to_numpy()[mine][0]).view(np.uint64)
+            for node, values in zip(rows["node"].to_numpy()[~mine], rows["shingles"].to_numpy()[~mine]):
+                values = np.asarray(values).view(np.uint64)
+                if _overlap(base, values) * (100 + percent) >= percent * (len(base) + len(values)):
+                    out.append((head, node))
+        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
+    return run
+
+
+def _head_links(whole: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Exact links of each set with its head, (node, head); a head's set goes to each block of its sets."""
+    crowd = heads.groupBy("head").agg(F.count(F.lit(1)).alias("held"))
+    total = heads.count()
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LEAF_POINTS)).cast("long")
+    asked = attach_groups(heads, crowd, ["head"], "held", total).select("node", "head", block.alias("block"))
+    blocks = crowd.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / LEAF_POINTS) - 1)).alias("block"))
+    placed = whole.select("node", "shingles").join(asked.unionByName(blocks), "node")
+    return placed.groupBy("head", "block").applyInPandas(_check_heads(percent), "a long, b long")
+
+
+def _component_of(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of their node, which is the node itself without a link."""
+    return rows.join(found, "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
+
+
+def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) document ids that connect every pair at the threshold, over one row per set.
+
+    The bound of the points connects each set with the first of its runs of equal keys; the
+    components of that are then searched for pairs across them. With the sets in hand the
+    same is done exactly: each set is checked against its nearest heads, and what that connects is
+    compared only with what it does not connect. So a large group of near copies costs
+    about one comparison a member.
+    """
     key = ["n_shingles", "one", "two"]
-    subtrees = components(
+    runs = scratch.keep(
         docs.select("text").mapInArrow(_keys(words, percent), "key long, node long")
         .repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(_run_links, "a long, b long").distinct()
+        .mapInArrow(_run_links, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     )
+    subtrees = components(runs)
     chosen = classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")), "one")
     chosen = chosen.select(*key, F.col("least_id").alias("doc_id"), "subtree")
-    points = materialise(
+    points = scratch.keep(
         prints.join(chosen, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
         .select("subtree", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "point",
                 F.col("one").alias("print_a"), F.col("two").alias("print_b"))
     )
+    near = scratch.keep(_near_heads(runs, points, percent))
+    tried = _component_of(points, components(near.select(F.col("node").alias("a"), F.col("head").alias("b"))), "known")
     # What the bound connects; only its sets are needed.
-    parts = materialise(
-        components(_search_tree(points, percent)).select("node", F.col("component").alias("part"))
+    found = _search_tree(scratch.keep(tried), percent, scratch)
+    parts = scratch.keep(
+        components(found.unionByName(near.select(F.col("node").alias("a"), F.col("head").alias("b"))))
+        .select("node", F.col("component").alias("part"))
     )
     wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(parts))
     sets = (
         docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
         .mapInArrow(_sets(words, wanted), "node long, print_a long, print_b long, shingles array<long>")
-        .dropDuplicates(["node", "print_a", "print_b"])
     )
     placed = points.drop("subtree").join(parts, "node").withColumnRenamed("part", "subtree")
-    whole = sets.join(placed, ["node", "print_a", "print_b"])
-    return _search_tree(materialise(whole), percent)
+    # Copies of a row share all of these; the join drops what only the filter let through.
+    whole = scratch.keep(sets.join(placed, ["node", "print_a", "print_b"]).dropDuplicates(["node"]))
+    # A node has no more heads than keys.
+    best = F.slice(F.sort_array(F.collect_set(F.struct("share", "head")), asc=False), 1, HEADS)
+    heads = near.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.head").alias("head"))
+    checked = scratch.keep(_head_links(whole, heads, percent))
+    compared = _component_of(whole, components(checked), "known")
+    return _search_tree(scratch.keep(compared), percent, scratch).unionByName(checked)
+
+
+def _near_heads(runs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(node, head, share) for the runs' links that the bound of the points allows.
+
+    ``share`` is the bound of the similarity. Links are by print, of which a few ids may share
+    one; heads with many links are sent to them by broadcast.
+    """
+    sides = points.select("node", "n", "point", "print_a")
+    total = runs.count()
+    crowd = runs.groupBy("b").agg(F.sum(F.lit(1)).alias("held"))
+    heads = crowd.join(sides.withColumnRenamed("print_a", "b"), "b").select(
+        "b", "held", F.col("node").alias("head"), F.col("n").alias("n_2"), F.col("point").alias("point_2")
+    )
+    asked = runs.select("a", "b").join(sides.withColumnRenamed("print_a", "a"), "a")
+    met = attach_groups(asked, heads, ["b"], "held", total).where("node <> head")
+    shared = _minima("point", "point_2")
+    share = shared / (F.col("n") + F.col("n_2") - shared)
+    return met.where(_bound(shared, F.col("n"), F.col("n_2"), percent)).groupBy("node", "head").agg(F.max(share).alias("share"))
 
 
 def ngram_jaccard_join(
@@ -406,6 +526,7 @@ def ngram_jaccard_join(
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch()
     prints = materialise(
         docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, one long, two long, point array<int>")
     )
@@ -413,7 +534,7 @@ def ngram_jaccard_join(
     key = ["n_shingles", "one", "two"]
     rows = prints.where(usable).drop("point")
     classes = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
-    links = _links(docs.where("doc_id IS NOT NULL"), prints.where(usable), classes, words, percent)
+    links = _links(docs.where("doc_id IS NOT NULL"), prints.where(usable), classes, words, percent, scratch)
     # Rows that share an id but not a text connect their classes.
     again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     shared = (
@@ -425,6 +546,7 @@ def ngram_jaccard_join(
         classes.join(found.withColumnRenamed("node", "least_id"), "least_id", "left")
         .select(*key, "copies", F.coalesce("component", "least_id").alias("component_id"))
     )
+    scratch.clear()
     total = prints.count()
     out = ["doc_id", "n_shingles", "component_id"]
     return attach_groups(rows, named, key, "copies", total).select(*out).unionByName(

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tabulon.llm import ngram_join
 from tabulon.llm.digest_index import DigestIndex, deduplicate, drop_copies
 from tabulon.llm.embedding_dedup import embedding_near_dedup
 from tabulon.llm.groups import components
@@ -158,3 +159,27 @@ def test_index_knows_texts_of_nameless_rows(spark, index):
     deduplicate(spark.createDataFrame([(None, "z", None, None, 1)], DOCS), index)
     got = deduplicate(spark.createDataFrame([(7, "z", None, None, 1)], DOCS), index).collect()
     assert [(r.keep_id, r.kept) for r in got] == [(None, False)]
+
+
+def test_a_large_group_of_near_copies_costs_in_proportion(spark, monkeypatch):
+    """Leaves of one component never meet; only sets outside it are sent to them."""
+    monkeypatch.setattr(ngram_join, "LEAF_POINTS", 32)
+    placed, original = [], ngram_join._search_tree
+
+    def watched(points, percent, scratch):
+        out = original(points, percent, scratch)
+        placed.append(scratch._held[-1].table.selectExpr("coalesce(sum(held), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "_search_tree", watched)
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    rows = []
+    for i in range(900):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(120)] = f"z{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(placed) < 4 * len(rows)  # all pairs of 28 leaves would send each row 28 times
