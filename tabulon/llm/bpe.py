@@ -10,6 +10,7 @@ the ids.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -21,11 +22,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.texthash import blocks, span_hasher
 from tabulon.llm.transducer import compile_words, ranks
 from tabulon.llm.workers import prepare
-from tabulon.session import shared_folder
+from tabulon.session import shared_folder, stored
 
 #: Words in the lexicon, and the most bytes of one.
 LEXICON_WORDS = 1 << 16
@@ -83,23 +85,30 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """Ids of one word: the earliest merge first, leftmost among equals, until none applies."""
+    """Ids of one word: the earliest merge first, leftmost among equals, until none applies.
+
+    Neighbours are linked and the possible merges lie in a heap, so a word of any length
+    takes n log n steps.
+    """
     ids, merges = [vocabulary.single[b] for b in word], vocabulary.merges
-    while len(ids) > 1:
-        found = [merges.get(a << 20 | b) for a, b in zip(ids, ids[1:])]
-        best = min((f for f in found if f), default=None)
-        if best is None:
-            break
-        out, k = [], 0
-        while k < len(ids):
-            if k < len(found) and found[k] == best:
-                out.append(best[1])
-                k += 2
-            else:
-                out.append(ids[k])
-                k += 1
-        ids = out
-    return ids
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(*found, k, ids[k], ids[k + 1]) for k in range(n - 1) if (found := merges.get(ids[k] << 20 | ids[k + 1]))]
+    heap = [(rank, k, new, a, b) for rank, new, k, a, b in heap]
+    heapq.heapify(heap)
+    while heap:
+        _, k, new, a, b = heapq.heappop(heap)
+        right = after[k] if ids[k] == a else n
+        if right >= n or ids[right] != b:
+            continue  # one of the two has been merged since
+        ids[k], ids[right] = new, -1
+        after[k] = after[right]
+        if after[k] < n:
+            before[after[k]] = k
+        for left, other in ((before[k], k), (k, after[k])):
+            if left >= 0 and other < n and (found := merges.get(ids[left] << 20 | ids[other])):
+                heapq.heappush(heap, (found[0], left, found[1], ids[left], ids[other]))
+    return [i for i in ids if i >= 0]
 
 
 def _rank_pairs(left: np.ndarray, right: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -332,10 +341,17 @@ def build_codec(docs: DataFrame, path: str, text_col: str = "text", lexicon_word
     prepare(spark)
     vocabulary = read_vocabulary(path)
     counted = docs.select(text_col).mapInArrow(_count_words(vocabulary.added), "word binary, times long")
-    top = (
-        counted.groupBy("word").agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "word").limit(lexicon_words).select("word").toArrow()
-    )
+    # Words are many, counts are few: the least count that still fits is found first, and only
+    # words that reach it leave their tasks.
+    with stored(counted.groupBy("word").agg(F.sum("times").alias("times"))) as totals:
+        sizes = totals.groupBy("times").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("times")).limit(lexicon_words).collect()
+        reached, least = 0, None
+        for r in sizes:
+            reached += r["words"]
+            if reached > lexicon_words:
+                break
+            least = r["times"]
+        top = totals.where(F.col("times") >= least if least else F.lit(False)).select("word").toArrow()
     words = sorted(bytes(w) for w in top.column("word").to_pylist())
     tables = compile_words(words)
     tables["ids"], counts = merge_words(words, vocabulary)
@@ -361,6 +377,16 @@ def _send_file(spark: SparkSession, content: bytes) -> str:
     return name
 
 
+def _with(docs: DataFrame, **more: T.DataType) -> T.StructType:
+    """The schema of ``docs`` with more columns, whatever its own ones are."""
+    return T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in more.items()]])
+
+
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)))
+
+
 def encode_documents(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text; a null text has none. ``name`` must be a new column."""
     at = docs.columns.index(text_col)
@@ -369,12 +395,23 @@ def encode_documents(docs: DataFrame, codec: Codec, text_col: str = "text", name
         encoder = codec.encoder()
         for batch in batches:
             ids = list(encoder.encode(batch.column(at)))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32))
-            flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(ids)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, _with(docs, **{name: T.ArrayType(T.IntegerType())}))
+
+
+def round_trip(docs: DataFrame, codec: Codec, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each text and what they decode to, by one task each; both names must be new."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        encoder, tokens = codec.encoder(), codec.vocabulary.value.tokens
+        for batch in batches:
+            found = list(encoder.encode(batch.column(at)))
+            texts = pa.array([decode_ids(i.tolist(), tokens) for i in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(found), texts], [*batch.schema.names, ids, decoded])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` array<int>")
+    return docs.mapInArrow(run, _with(docs, **{ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}))
 
 
 def decode_ids(ids, tokens: list[bytes]) -> str:
@@ -391,8 +428,7 @@ def decode_documents(docs: DataFrame, codec: Codec, ids_col: str = "ids", name:
             texts = [decode_ids(ids or [], vocabulary.value.tokens) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` string")
+    return docs.mapInArrow(run, _with(docs, **{name: T.StringType()}))
 
 
 def round_trip_digests(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

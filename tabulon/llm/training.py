@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.session import materialise
 
@@ -107,5 +108,5 @@ def scored(docs: DataFrame, score: Callable, inputs: list[str], name: str, kind:
             found = score(*[batch.column(p) for p in places])
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` {kind}")
+    more = T.StructField(name, T.DataType.fromDDL(f"x {kind}")["x"].dataType)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, more]))
