@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns a and b. Alternates large-star and small-star steps until
     nothing changes; each round is written, so a lost executor costs one round, and removed
-    once the next one is there.
+    once the next one is there. Its joins are by merge, so no links pass through the driver.
     """
     held = store(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -73,11 +73,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Larger neighbours move to the least neighbour (or the node itself).
         large = (
-            both.join(_least(both, F.least("u", "v")), "u").where("v > u")
+            both.join(_least(both, F.least("u", "v")).hint("merge"), "u").where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         # Smaller neighbours, and the node, move to the least of them.
-        joined = large.join(_least(large, F.col("v")), "u")
+        joined = large.join(_least(large, F.col("v")).hint("merge"), "u")
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(joined.select("u", F.col("m").alias("v")))

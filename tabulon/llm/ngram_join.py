@@ -445,17 +445,17 @@ def _head_links(whole: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 def _component_of(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """``rows`` with the component of their node, which is the node itself without a link."""
-    return rows.join(found, "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
+    return rows.join(found.hint("merge"), "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
 
 
 def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) document ids that connect every pair at the threshold, over one row per set.
 
-    The bound of the points connects each set with the first of its runs of equal keys; the
-    components of that are then searched for pairs across them. With the sets in hand the
-    same is done exactly: each set is checked against its nearest heads, and what that connects is
-    compared only with what it does not connect. So a large group of near copies costs
-    about one comparison a member.
+    The bound of the points connects each set with the heads of its runs of equal keys; sets
+    of one head are a crowd, and only pairs across crowds are searched. With the sets in
+    hand each set is checked exactly against its nearest heads, and what that connects is
+    compared only with what it does not connect. So a large group of near copies costs a few
+    comparisons a member.
     """
     key = ["n_shingles", "one", "two"]
     runs = scratch.keep(
@@ -464,7 +464,7 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
         .mapInArrow(_run_links, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     )
     subtrees = components(runs)
-    chosen = classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")), "one")
+    chosen = classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")).hint("merge"), "one")
     chosen = chosen.select(*key, F.col("least_id").alias("doc_id"), "subtree")
     points = scratch.keep(
         prints.join(chosen, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
@@ -472,7 +472,7 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
                 F.col("one").alias("print_a"), F.col("two").alias("print_b"))
     )
     near = scratch.keep(_near_heads(runs, points, percent))
-    tried = _component_of(points, components(near.select(F.col("node").alias("a"), F.col("head").alias("b"))), "known")
+    tried = _component_of(points, _crowds(near), "known")
     # What the bound connects; only its sets are needed.
     found = _search_tree(scratch.keep(tried), percent, scratch)
     parts = scratch.keep(
@@ -484,7 +484,7 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
         docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
         .mapInArrow(_sets(words, wanted), "node long, print_a long, print_b long, shingles array<long>")
     )
-    placed = points.drop("subtree").join(parts, "node").withColumnRenamed("part", "subtree")
+    placed = points.drop("subtree").join(parts.hint("merge"), "node").withColumnRenamed("part", "subtree")
     # Copies of a row share all of these; the join drops what only the filter let through.
     whole = scratch.keep(sets.join(placed, ["node", "print_a", "print_b"]).dropDuplicates(["node"]))
     # A node has no more heads than keys.
@@ -495,8 +495,21 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
     return _search_tree(scratch.keep(compared), percent, scratch).unionByName(checked)
 
 
+def _crowds(near: DataFrame) -> DataFrame:
+    """(node, component): of a node's heads the one of the least print, or that one's own such head.
+
+    All nodes of a crowd are connected by links of ``near``. The least prints begin nearly all
+    runs of a large group of near copies, so two steps bring such a group together.
+    """
+    crowd = near.groupBy("node").agg(F.min_by("head", "print").alias("component"))
+    sizes = crowd.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    onward = sizes.join(crowd.select(F.col("node").alias("component"), F.col("component").alias("next")).hint("merge"), "component", "left")
+    onward = onward.withColumn("next", F.coalesce("next", "component"))
+    return attach_groups(crowd, onward, ["component"], "held", crowd.count()).select("node", F.col("next").alias("component"))
+
+
 def _near_heads(runs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(node, head, share) for the runs' links that the bound of the points allows.
+    """(node, head, print of the head, share) for the runs' links that the bound of the points allows.
 
     ``share`` is the bound of the similarity. Links are by print, of which a few ids may share
     one; heads with many links are sent to them by broadcast.
@@ -504,14 +517,16 @@ def _near_heads(runs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     sides = points.select("node", "n", "point", "print_a")
     total = runs.count()
     crowd = runs.groupBy("b").agg(F.sum(F.lit(1)).alias("held"))
-    heads = crowd.join(sides.withColumnRenamed("print_a", "b"), "b").select(
+    heads = crowd.join(sides.withColumnRenamed("print_a", "b").hint("merge"), "b").select(
         "b", "held", F.col("node").alias("head"), F.col("n").alias("n_2"), F.col("point").alias("point_2")
     )
-    asked = runs.select("a", "b").join(sides.withColumnRenamed("print_a", "a"), "a")
+    asked = runs.select("a", "b").join(sides.withColumnRenamed("print_a", "a").hint("merge"), "a")
     met = attach_groups(asked, heads, ["b"], "held", total).where("node <> head")
     shared = _minima("point", "point_2")
     share = shared / (F.col("n") + F.col("n_2") - shared)
-    return met.where(_bound(shared, F.col("n"), F.col("n_2"), percent)).groupBy("node", "head").agg(F.max(share).alias("share"))
+    return met.where(_bound(shared, F.col("n"), F.col("n_2"), percent)).groupBy("node", "head").agg(
+        F.min("b").alias("print"), F.max(share).alias("share")
+    )
 
 
 def ngram_jaccard_join(

@@ -182,4 +182,4 @@ def test_a_large_group_of_near_copies_costs_in_proportion(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert {r.component_id for r in got} == {0}
-    assert sum(placed) < 4 * len(rows)  # all pairs of 28 leaves would send each row 28 times
+    assert sum(placed) < 4 * len(rows), placed  # all pairs of 28 leaves would send each row 28 times
