@@ -12,6 +12,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions import values as vx
 from tabulon.llm import bpe, digest_index, mixing, queries, toxicity
 from tabulon.llm.ngram_join import drop_near_copies
 from tabulon.session import shared_folder
@@ -67,11 +68,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its ids and their number; its text is what the ids decode to."""
+    """Each document with its ids and their number; its text is what the ids decode to.
+
+    Columns ``ids`` and ``n_tokens`` that the documents bring along are replaced.
+    """
     codec = bpe.build_codec(docs, queries.VOCABULARY)
-    coded = bpe.decode_documents(bpe.encode_documents(docs, codec, name="ids"), codec, "ids", "decoded")
-    columns = [F.col("decoded").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return coded.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = bpe.round_trip(docs, codec, ids="__ids", decoded="__decoded")
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    columns = [F.col("__decoded").alias("text") if c == "text" else vx.ref(c) for c in kept]
+    return coded.select(*columns, F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
 
 
 STAGES = [
