@@ -29,8 +29,12 @@ def fold_of(id_col: str, folds: int) -> Column:
 
 
 def bounded_sample(labelled: DataFrame, id_col: str, limit: int) -> DataFrame:
-    """About ``limit`` labelled rows at most, by a hash of the id: a fixed, unbiased choice."""
+    """About ``limit`` labelled rows at most, by a hash of the id: a fixed, unbiased choice.
+
+    ``shards`` says over how many shards they are dealt.
+    """
     count = labelled.count()
+    labelled = labelled.withColumn("shards", F.lit(min(SHARDS, max(1, min(count, limit) // SHARD_ROWS))))
     if count <= limit:
         return labelled
     return labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * limit / count))
@@ -38,11 +42,11 @@ def bounded_sample(labelled: DataFrame, id_col: str, limit: int) -> DataFrame:
 
 def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(text, target, shard, rank) of a bounded sample of (id, target); its ids are broadcast."""
-    shards = min(SHARDS, max(1, sample.count() // SHARD_ROWS))
-    chosen = sample.select(F.col(id_col).alias("sample_id"), "target")
+    shards = F.col("shards") if "shards" in sample.columns else F.lit(SHARDS)
+    chosen = sample.select(F.col(id_col).alias("sample_id"), "target", shards.alias("shards"))
     joined = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "sample_id")
     rank = F.xxhash64(F.col("sample_id"), F.lit("rank"))
-    return joined.select("text", "target", F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("rank"))
+    return joined.select("text", "target", F.pmod(rank, F.col("shards")).cast("int").alias("shard"), rank.alias("rank"))
 
 
 def feature_rows(texts: DataFrame, featurise: Callable, extra: tuple[str, ...] = ()) -> DataFrame:
