@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -20,14 +20,14 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as tx
 from tabulon.functions import values as vx
 from tabulon.operators.distinct import distinct_counts
 from tabulon.operators.quantiles import exact_quantiles
-from tabulon.session import persisted, spread
+from tabulon.session import materialise, persisted, spread
 
 
 def stop_word_list(stop_words: str | Sequence[str] | None) -> list[str]:
@@ -104,6 +104,51 @@ def corpus_statistics(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Counters of the first pass over the terms. A common term stands out from a counter's share of all
+#: terms whatever the size of the corpus, so the number need not grow with it.
+COUNTERS = 1 << 16
+
+
+def top_terms(
+    terms: DataFrame, name: str, top_n: int, frequency: Column | None = None,
+    others: Mapping[str, Column] | None = None, within: Column | None = None, counters: int = COUNTERS,
+) -> DataFrame:
+    """(name, frequency, others) of the most frequent values of a column of single terms; ties ascending.
+
+    The first pass counts by the term's hash, so a task sends at most ``counters`` numbers
+    instead of every rare term. No term is more frequent than its counter. Terms of the
+    fullest counters are counted exactly; the count in place ``top_n`` is a proven floor. If
+    counters below those reach the floor, their terms are counted exactly too, in one more pass.
+    ``frequency`` and ``others`` are aggregates, ``within`` says which terms may be listed.
+    """
+    frequency = F.count(F.lit(1)) if frequency is None else frequency
+    measures = [frequency.alias("frequency"), *[c.alias(n) for n, c in (others or {}).items()]]
+    counter = F.pmod(F.xxhash64(name), F.lit(counters)).cast("int")
+    totals = materialise(terms.groupBy(counter.alias("counter")).agg(frequency.alias("total")))
+
+    def counted(floor, below=None):
+        chosen = F.col("total") >= floor
+        if below is not None:
+            chosen &= F.col("total") < below
+        # At most as many numbers as there are counters.
+        kept = F.broadcast(totals.where(chosen).select("counter"))
+        found = terms.withColumn("counter", counter).join(kept, "counter", "left_semi").groupBy(name).agg(*measures)
+        return found if within is None else found.where(within)
+
+    best = [F.desc("frequency"), name]
+    # A few counters per wanted place, as some hold many rare terms.
+    fullest = [r["total"] for r in totals.orderBy(F.desc("total")).limit(4 * top_n).collect()]
+    if not fullest:
+        return counted(1).limit(0)
+    guess = fullest[-1]
+    found = materialise(counted(guess).orderBy(*best).limit(top_n))
+    reached, floor = found.agg(F.count(F.lit(1)), F.min("frequency")).first()
+    floor = floor if reached == top_n else 1
+    if floor < guess and not totals.where((F.col("total") >= floor) & (F.col("total") < guess)).isEmpty():
+        found = found.unionByName(counted(floor, guess))
+    return found.orderBy(*best).limit(top_n)
+
+
 def word_frequencies(
     df: DataFrame,
     column: str,
@@ -112,15 +157,11 @@ def word_frequencies(
 ) -> DataFrame:
     """The most frequent words of the corpus; ties alphabetical."""
     _require_text(df, column)
-    counts = (
-        _exploded(tokenised(df, column, None), F.col("words"), "word")
-        .groupBy("word")
-        .agg(F.count("*").alias("frequency"))
-    )
     listed = stop_word_list(stop_words)
-    if listed:  # cheaper on the distinct words than on every token
-        counts = counts.where(~F.col("word").isin(listed))
-    return counts.orderBy(F.desc("frequency"), "word").limit(top_n)
+    words = _exploded(tokenised(df, column, None), F.col("words"), "word")
+    # Room for every stop word, so that they need not be looked for in every text.
+    best = top_terms(words, "word", top_n + len(listed))
+    return best.where(~F.col("word").isin(listed)).orderBy(F.desc("frequency"), "word").limit(top_n)
 
 
 def ngrams(
@@ -134,13 +175,8 @@ def ngrams(
     if n < 1:
         raise ValueError("An n-gram holds one word or more.")
     _require_text(df, column)
-    return (
-        _exploded(tx.with_ngrams(tokenised(df, column, stop_words), "words", n, "runs"), F.col("runs"), "ngram")
-        .groupBy("ngram")
-        .agg(F.count("*").alias("frequency"))
-        .orderBy(F.desc("frequency"), "ngram")
-        .limit(top_n)
-    )
+    runs = tx.with_ngrams(tokenised(df, column, stop_words), "words", n, "runs")
+    return top_terms(_exploded(runs, F.col("runs"), "ngram"), "ngram", top_n)
 
 
 def vocabulary(
@@ -172,16 +208,15 @@ def vocabulary(
         F.struct(F.array_distinct("words").alias("w"), F.lit(0).alias("t"), F.lit(1).alias("d")),
     )
     marked = tokenised(df, column, None).select(F.inline(once))
-    terms = (
-        _exploded(marked, F.col("w"), "term", "t", "d")
-        .groupBy("term")
-        .agg(F.sum("t").alias("term_count"), F.sum("d").alias("document_frequency"))
-        .where(F.col("document_frequency").between(low, high))
-    )
+    within = F.col("document_frequency").between(low, high)
     listed = stop_word_list(stop_words)
     if listed:  # cheaper on the distinct terms than on every token
-        terms = terms.where(~F.col("term").isin(listed))
-    return terms.orderBy(F.desc("term_count"), "term").limit(max_features), total
+        within &= ~F.col("term").isin(listed)
+    terms = top_terms(
+        _exploded(marked, F.col("w"), "term", "t", "d"), "term", max_features, F.sum("t"),
+        {"document_frequency": F.sum("d")}, within, max(COUNTERS, 64 * max_features),
+    )
+    return terms.withColumnRenamed("frequency", "term_count"), total
 
 
 def _vectors(df, column, terms, keep=()):

@@ -162,3 +162,21 @@ def test_stop_words_without_a_session(spark):
     root = Path(corpus.__file__).parents[2]
     made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True)
     assert made.stdout.split() == corpus.stop_word_list("english")
+
+
+@pytest.mark.parametrize("counters", [1, 3, 64, 1 << 16])
+@pytest.mark.parametrize("top_n", [1, 5, 40, 500])
+def test_top_terms_equal_a_plain_count(spark, counters, top_n):
+    # Zipf-like counts, many ties, and counters shared by many terms.
+    words = [f"w{i}" for i in range(120) for _ in range(max(1, 60 // (i + 1)))]
+    want = sorted(Counter(words).items(), key=lambda p: (-p[1], p[0]))[:top_n]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    got = corpus.top_terms(rows, "word", top_n, counters=counters).collect()
+    assert [(r["word"], r["frequency"]) for r in got] == want
+
+
+def test_top_terms_within_limits_and_empty(spark):
+    rows = spark.createDataFrame([("a", 9, 1), ("b", 5, 3), ("c", 5, 2), ("d", 1, 1)], "term string, t int, d int")
+    got = corpus.top_terms(rows, "term", 2, F.sum("t"), {"df": F.sum("d")}, F.col("df") >= 2, 2).collect()
+    assert [tuple(r) for r in got] == [("b", 5, 3), ("c", 5, 2)]
+    assert corpus.top_terms(rows.limit(0), "term", 2, F.sum("t")).collect() == []

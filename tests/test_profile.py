@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import profile
+from tabulon.operators.distinct import distinct_counts
 
 
 def test_row_and_column_counts(spark):
@@ -90,3 +91,11 @@ def test_negative_zero_is_zero(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
     assert profile.profile_dataset(df).columns.first()["unique_count"] == 1
     assert not math.isnan(profile.profile_dataset(df).row_count)
+
+
+def test_distinct_whole_numbers_and_dates_by_words_of_bits(spark):
+    longs = [None, 0, -1, 1, 63, 64, -64, -65, 2**63 - 1, -(2**63), 2**63 - 2, 0, 64]
+    rows = [(v, None if v is None else v % 2**31 - 2**30, None if v is None else v % 100 - 50) for v in longs]
+    df = spark.createDataFrame(rows, "l long, i int, s short").withColumn("day", F.date_add(F.lit("1969-12-01").cast("date"), F.col("s")))
+    got = distinct_counts(df, {c: F.col(c) for c in df.columns})
+    assert got == {c: df.select(c).dropna().distinct().count() for c in df.columns}
