@@ -18,6 +18,7 @@ from tabulon.operators import (
     corpus,
     corrections,
     describe,
+    distinct,
     features,
     fold_features,
     folds,
@@ -26,10 +27,11 @@ from tabulon.operators import (
     metrics,
     perceptron,
     profile,
+    profile_states,
     supervised,
 )
 from tabulon.plans import analyses
-from tabulon.session import shared_folder
+from tabulon.session import new_path, remove, shared_folder
 from tabulon.sources import tables
 
 QUERIES = {}
@@ -151,6 +153,30 @@ def profile_documents(spark, folder):
     )
 
 
+@query
+def profile_incremental(spark, folder):
+    """Profiles of two tables from states per file; the sketches are held against exact counts."""
+    parts = []
+    for name in ("lineitem", "documents"):
+        states = new_path(spark, "states")
+        found = profile_states.incremental_profile(spark, f"{folder.rstrip('/')}/{name}.parquet", states)
+        t = load(spark, folder, name)
+        exact = distinct.distinct_counts(t, {c: vx.comparable(t, c) for c in t.columns})
+        schema = found.schema
+        found = spark.createDataFrame(found.collect(), schema)  # one row per column, so the states can go
+        remove(spark, states)
+        counts = spark.createDataFrame(list(exact.items()), "column_name string, exact long")
+        apart = F.abs(F.col("unique_estimate") - F.col("exact"))
+        parts.append(
+            found.join(counts, "column_name").select(
+                F.lit(name).alias("source_table"), "column_name", "column_type", "row_count", "missing_count",
+                "average_words", "max_words", "average_characters", "minimum", "maximum", "mean", "standard_deviation",
+                (apart <= 4 * F.col("unique_error") * F.col("exact")).alias("unique_fits"),
+            )
+        )
+    return rounded(union(parts), 4, "mean", "standard_deviation")
+
+
 @query
 def dataset_row(spark, folder):
     p = profile.profile_dataset(load(spark, folder, "documents").select("text", "lang"))

@@ -52,6 +52,25 @@ def _profile(source: str, columns: dict[str, str], text: str | None = None, extr
     return " UNION ALL ".join(parts)
 
 
+def _states(source: str, columns: dict[str, str]) -> str:
+    parts = []
+    for c, kind in columns.items():
+        text = kind == "text"
+        words = f"round(avg({_words_of(c)}), 2), max({_words_of(c)}), round(avg(length({c})), 2)" if text else (
+            "CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE)"
+        )
+        value = f"CAST({c} AS DOUBLE)" if kind == "numeric" else "CAST(NULL AS DOUBLE)"
+        parts.append(
+            f"SELECT '{source}', '{c}', '{kind}', count(*), count(*) - count({c}), {words}, min({value}), max({value}), "
+            f"round(avg({value}), 4), round(stddev_samp({value}), 4), TRUE FROM {source}"
+        )
+    names = (
+        "source_table, column_name, column_type, row_count, missing_count, average_words, max_words, "
+        "average_characters, minimum, maximum, mean, standard_deviation, unique_fits"
+    )
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS t({names})"
+
+
 GAPPY_LINEITEM = """(SELECT * REPLACE (nullif(l_quantity, 50) AS l_quantity,
     nullif(l_discount, 0) AS l_discount, nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem)"""
 MANY_GROUPS = """(SELECT l_extendedprice, l_returnflag || CAST(l_linenumber AS VARCHAR) AS slot FROM lineitem)"""
@@ -349,6 +368,9 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT * REPLACE (CASE WHEN value < 50 THEN value END AS value) FROM events)", events
         ),
         "profile_documents": _profile("documents", documents, "text", True),
+        "profile_incremental": _states("lineitem", dict.fromkeys(LINEITEM_COLUMNS[:8], "numeric") | dict.fromkeys(LINEITEM_COLUMNS[8:10], "categorical")
+            | {"l_shipdate": "datetime"}) + " UNION ALL "
+            + _states("documents", {"doc_id": "numeric", "text": "text", "lang": "categorical", "source": "categorical", "n_chars": "numeric"}),
         "dataset_row": """SELECT count(*) AS row_count, 2 AS column_count,
             count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows FROM documents""",
         "text_columns": f"""SELECT column_name FROM (
