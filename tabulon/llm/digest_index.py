@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from tabulon.llm.groups import attach_groups
 from tabulon.session import materialise
 
-#: Buckets of an index; at 100 TB of texts a bucket should still sort within one task.
-BUCKETS = 32
+#: Digests that a bucket should hold, so that it sorts within one task; an index is made for
+#: ROOM times the digests of its first batch, with at least LEAST_BUCKETS.
+BUCKET_ROWS = 2_000_000
+ROOM = 4
+LEAST_BUCKETS = 32
+#: The most buckets that Spark allows a table unless told otherwise.
+MOST_BUCKETS = 100_000
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -33,11 +38,20 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def buckets_for(digests: int) -> int:
+    """Buckets of an index whose first batch has this many digests."""
+    return min(max(-(-digests * ROOM // BUCKET_ROWS), LEAST_BUCKETS), MOST_BUCKETS)
+
+
 class DigestIndex:
-    """A bucketed table (digest, keep_id, points); one row per distinct text seen so far."""
+    """A bucketed table (digest, keep_id, points); one row per distinct text seen so far.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    The number of buckets is given or follows from the first batch (``buckets_for``); it is kept
+    in the table's properties, so that later sessions append to the same buckets.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+        self.spark, self.table, self.asked = spark, table, buckets
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -45,18 +59,27 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def create(self, id_type: str) -> None:
-        """An empty index, unless there is one."""
+    @property
+    def buckets(self) -> int:
+        """The buckets of the table as it was made."""
+        row = self.spark.sql(f"SHOW TBLPROPERTIES {self.table} ('digest.buckets')").first()
+        return int(row["value"])
+
+    def create(self, id_type: str, digests: int) -> None:
+        """An empty index, unless there is one, for a first batch of so many digests."""
         if not self.exists():
+            buckets = self.asked or buckets_for(digests)
             self.spark.sql(
                 f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, points BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
+                f"TBLPROPERTIES ('digest.buckets' = '{buckets}')"
             )
 
     def append(self, rows: DataFrame) -> None:
         """Add (digest, keep_id, points); their digests must be new."""
-        placed = rows.select("digest", "keep_id", "points").repartition(self.buckets, "digest")  # a file per bucket
-        writer = placed.write.bucketBy(self.buckets, "digest").sortBy("digest")
+        buckets = self.buckets
+        placed = rows.select("digest", "keep_id", "points").repartition(buckets, "digest")  # a file per bucket
+        writer = placed.write.bucketBy(buckets, "digest").sortBy("digest")
         writer.format("parquet").mode("append").saveAsTable(self.table)
 
     def drop(self) -> None:
@@ -81,7 +104,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     rows = materialise(digest_rows(docs, id_col, text_col))
     best = materialise(_best(rows))
-    index.create(best.schema["keep_id"].dataType.simpleString())
+    index.create(best.schema["keep_id"].dataType.simpleString(), best.count())
     held = index.read().select("digest")
     fresh = materialise(best.hint("merge").join(held, "digest", "left_anti"))
     index.append(fresh)

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.groups import attach_groups, components
 from tabulon.llm.workers import prepare
@@ -191,7 +192,8 @@ def _found(entries: DataFrame, threshold: float) -> DataFrame:
     stats = entries.agg(F.count(F.lit(1)), F.countDistinct("label"), F.max(F.size("vector"))).first()
     cells = min(max(CELLS[0], -(-stats[0] // (LIST_ENTRIES * stats[1]))), CELLS[1])
     index = spark.sparkContext.broadcast(fit_index(entries, stats[2], cells))
-    fields = "vec_id long, copies long, label int, vector array<float>, size int, probes array<int>, code binary, error double"
+    vector = entries.schema["vector"].dataType.simpleString()
+    fields = f"vec_id long, copies long, label string, vector {vector}, size int, probes array<int>, code binary, error double"
     coded = materialise(
         entries.withColumn("size", F.size("vector")).mapInArrow(_encoded(index), fields).withColumn("cell", F.col("probes")[0])
     )
@@ -229,13 +231,16 @@ def embedding_near_dedup(
     Rows whose id or label is null, and vectors that are null, empty, zero or hold null or
     non-finite parts, link with nothing; so do vectors of different lengths. Rows that share
     an id share its component. Every link found has its exact cosine; links can only be
-    missed if neither vector's nearest lists include the other's.
+    missed if neither vector's nearest lists include the other's. Labels may be of any type that
+    can be written as text; floats stay floats, other numbers are read as doubles.
     """
     prepare(vectors.sparkSession)
     vector = F.col(vector_col)
+    if vectors.schema[vector_col].dataType != T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull):
+        vector = vector.cast("array<double>")
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), vector.cast("array<float>").alias("vector"),
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"),
         F.coalesce(sound & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False)).alias("sound"),
     )
     rows = rows.withColumns({"one": F.xxhash64("vector"), "two": F.xxhash64(F.lit(1), "vector")})

@@ -13,7 +13,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of widely used licences and notices, by identifier.
+#: Sentences of widely used licences and notices, by identifier. A text is cut at
+#: ``;`` and ``:`` too, so each is what lies between two end marks.
 SENTENCES = {
     "apache-notice": ["Licensed under the Apache License, Version 2.0.", "This work is licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."],
     "apache-file": ['Licensed under the Apache License, Version 2.0 (the "License");'],
@@ -26,7 +27,28 @@ SENTENCES = {
     "mit-keep": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3."],
-    "gpl-grant-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "free-program": ["This program is free software"],
+    "free-library": ["This library is free software"],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "gpl-terms-3": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl-terms-3": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-terms-3": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "either-2": ["either version 2 of the License, or (at your option) any later version."],
+    "either-2-1": ["either version 2.1 of the License, or (at your option) any later version."],
+    "either-3": ["either version 3 of the License, or (at your option) any later version."],
+    "gpl2-notice": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License, version 2."],
+    "agpl3-notice": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License, version 3."],
+    "lgpl-see": ["See the GNU Lesser General Public License for more details."],
+    "agpl-see": ["See the GNU Affero General Public License for more details."],
+    "library-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "mpl-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "mpl-notice": ["Licensed under the Mozilla Public License 2.0.", "Released under the Mozilla Public License 2.0.", "This work is licensed under the Mozilla Public License 2.0."],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain."],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0."],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
     "gpl-fit": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-see": ["See the GNU General Public License for more details."],
@@ -45,9 +67,21 @@ SENTENCES = {
     "name-gpl3": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
     "name-bsd3": ["BSD-3-Clause"],
     "name-bsd2": ["BSD-2-Clause"],
+    "name-gpl2": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "name-lgpl21": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "name-lgpl3": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "name-agpl3": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "name-mpl2": ["MPL-2.0"],
+    "name-isc": ["ISC"],
+    "name-unlicense": ["Unlicense"],
+    "name-zlib": ["Zlib"],
+    "name-boost": ["BSL-1.0"],
 }
 #: Ordered rules: (licence, identifiers that must follow each other).
 RULES = [
+    ("AGPL-3.0", ["agpl3-notice"]),
+    ("AGPL-3.0", ["free-program", "agpl-terms-3"]),
+    ("AGPL-3.0", ["spdx", "name-agpl3"]),
     ("Apache-2.0", ["apache-notice"]),
     ("Apache-2.0", ["apache-file", "apache-comply"]),
     ("Apache-2.0", ["apache-copy", "apache-basis", "apache-see"]),
@@ -56,25 +90,45 @@ RULES = [
     ("BSD-2-Clause", ["spdx", "name-bsd2"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-3-Clause", ["spdx", "name-bsd3"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("BSL-1.0", ["spdx", "name-boost"]),
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC-BY-ND-4.0", ["cc-by-nd"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC0-1.0", ["cc0"]),
+    ("GPL-2.0", ["gpl2-notice"]),
+    ("GPL-2.0", ["free-program", "gpl-terms", "either-2"]),
+    ("GPL-2.0", ["spdx", "name-gpl2"]),
     ("GPL-3.0", ["gpl3-notice"]),
-    ("GPL-3.0", ["gpl-grant-3", "gpl-hope", "gpl-fit", "gpl-see"]),
+    ("GPL-3.0", ["free-program", "gpl-terms-3"]),
+    ("GPL-3.0", ["free-program", "gpl-terms", "either-3"]),
     ("GPL-3.0", ["spdx", "name-gpl3"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["spdx", "name-isc"]),
+    ("LGPL-2.1", ["free-library", "lgpl-terms", "either-2-1"]),
+    ("LGPL-2.1", ["spdx", "name-lgpl21"]),
+    ("LGPL-3.0", ["free-program", "lgpl-terms-3"]),
+    ("LGPL-3.0", ["free-library", "lgpl-terms-3"]),
+    ("LGPL-3.0", ["free-library", "lgpl-terms", "either-3"]),
+    ("LGPL-3.0", ["spdx", "name-lgpl3"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-grant", "mit-keep"]),
     ("MIT", ["spdx", "name-mit"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-notice"]),
+    ("MPL-2.0", ["spdx", "name-mpl2"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("Unlicense", ["spdx", "name-unlicense"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["spdx", "name-zlib"]),
 ]
 #: A longer rule that replaces what a shorter one found.
 REPLACES = {"BSD-3-Clause": "BSD-2-Clause"}
 #: Other sentences allowed between two identifiers of a rule.
 GAP = 6
 #: Each known sentence except bare names has one of these words; a text without any is done.
-ANCHORS = ("licens", "permission", "warrant", "redistribut", "copyright")
+ANCHORS = ("licens", "permission", "warrant", "redistribut", "copyright", "free software", "unencumbered", "of the mpl")
 #: An end mark before white space, or a blank line, ends a sentence.
 SENTENCE_END = "[.!?;:]+([\\x09-\\x0D\\x20]+|\\z)|\\n[\\x09-\\x0D\\x20]*\\n"
 MARK = "\x01"

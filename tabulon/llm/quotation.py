@@ -1,7 +1,7 @@
 """Quotation linking: replies found by what they quote, conversations without quotes.
 
 Lines that start with ``>`` marks are quotes; runs of one level are passages. Normalised
-passages, and their lines, are hashed and joined with the hashes of what earlier messages
+passages, their paragraphs, lines and sentences (however wrapped) are hashed and joined with the hashes of what earlier messages
 of the conversation say themselves; the first message that says it is the original. A
 message replies to the original of its shallowest, then longest passage.
 """
@@ -20,7 +20,8 @@ from tabulon.session import materialise
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 _ATTRIBUTION = re.compile(r".*\b(?:wrote|writes|said)[ \t]*:[ \t]*", re.IGNORECASE)
-#: Lines of fewer words do not stand for a message by themselves.
+_SENTENCE_END = re.compile("[.!?][\"')\\]\u201d\u2019]*$")
+#: Lines and sentences of fewer words do not stand for a message by themselves.
 LEAST_LINE_WORDS = 3
 
 
@@ -34,7 +35,11 @@ def _words(text: str) -> list[str]:
 
 
 def passages(lines: list[str]) -> list[tuple[int, int]]:
-    """(hash, words) of the whole, its paragraphs and its longer lines."""
+    """(hash, words) of the whole, its paragraphs, its longer lines and longer sentences.
+
+    A sentence ends with a word that ends in ``.``, ``!`` or ``?``, perhaps before a closing
+    mark, or with its paragraph; line breaks do not matter.
+    """
     found = {}
     whole = _words("\n".join(lines))
     if whole:
@@ -48,6 +53,12 @@ def passages(lines: list[str]) -> list[tuple[int, int]]:
             paragraph += words
         elif paragraph:
             found[_hash(paragraph)] = len(paragraph)
+            start = 0
+            for at, word in enumerate(paragraph, 1):
+                if at == len(paragraph) or _SENTENCE_END.search(word):
+                    if at - start >= LEAST_LINE_WORDS:
+                        found[_hash(paragraph[start:at])] = at - start
+                    start = at
             paragraph = []
     return list(found.items())
 
@@ -132,14 +143,15 @@ def link_quotations(
     wanted = asked.select("conv", "hash").distinct()
     said = placed.select("conv", "turn", F.explode("said").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
     originals = said.join(wanted, ["conv", "hash"], "left_semi")
+    message = ["conv", "turn", "row"]  # the hash only tells rows of one turn apart
     order = F.struct((-F.col("level")).alias("level"), "words", F.col("first").alias("turn"))
     best = materialise(
-        asked.join(originals, ["conv", "hash"]).where("first < turn").groupBy("row").agg(F.max(order).alias("best"))
-        .select("row", F.col("best.turn").alias("parent"))
+        asked.join(originals, ["conv", "hash"]).where("first < turn").groupBy(*message).agg(F.max(order).alias("best"))
+        .select(*message, F.col("best.turn").alias("parent"))
     )
-    linked = placed.select("row", "conv", "turn").distinct().join(best, "row")
+    linked = placed.select(*message).distinct().join(best, message)
     roots = _roots(linked.groupBy("conv", "turn").agg(F.min("parent").alias("parent")))
-    out = parsed.join(best, "row", "left").join(roots, ["conv", "turn"], "left")
+    out = parsed.join(best, message, "left").join(roots, ["conv", "turn"], "left")
     named = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("content"))
     return out.select(
         F.col("conv").alias("conv_id"), "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"),

@@ -1,12 +1,13 @@
 """Near-duplicate joins and exact dedup against brute force."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 
-from tabulon.llm import ngram_join
-from tabulon.llm.digest_index import DigestIndex, deduplicate, drop_copies
+from tabulon.llm import embedding_dedup, ngram_join
+from tabulon.llm.digest_index import DigestIndex, buckets_for, deduplicate, drop_copies
 from tabulon.llm.embedding_dedup import embedding_near_dedup
 from tabulon.llm.groups import components
 from tabulon.llm.ngram_join import Bands, group_keys, ngram_jaccard_join
@@ -115,6 +116,36 @@ def test_embedding_recall(spark):
     assert links * 0.99 <= found <= links
 
 
+@pytest.mark.parametrize("cells", [64, 512])
+def test_embedding_recall_of_planted_pairs(spark, monkeypatch, cells):
+    """At least 0.99 of pairs planted just above the threshold are found, whatever the number of lists."""
+    monkeypatch.setattr(embedding_dedup, "CELLS", (cells, 4096))
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, size=(1500, 1))
+    every = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * aside)) * rng.uniform(0.5, 2, size=(3000, 1))
+    units = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = int((units @ units.T >= 0.93).sum()) - len(every)
+    assert links >= 2990
+    # Doubles, and labels that are no numbers.
+    rows = spark.createDataFrame([(i, v.tolist(), "one label") for i, v in enumerate(every)], "vec_id long, embedding array<double>, label string")
+    found = sum(r.n_links for r in embedding_near_dedup(rows).collect())
+    assert links * 0.99 <= found <= links
+
+
+def test_embeddings_are_compared_in_double_precision(spark):
+    """Pairs nearer to the threshold than a float can tell."""
+    rows = []
+    for k, cosine in enumerate((0.93 + 1e-12, 0.93 - 1e-12)):
+        rows += [(2 * k, [1.0, 0.0], 2**40 + k), (2 * k + 1, [cosine, math.sqrt(1 - cosine * cosine)], 2**40 + k)]
+    got = embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 @pytest.fixture
 def index(spark):
     made = DigestIndex(spark, "digests_test", buckets=4)
@@ -183,3 +214,24 @@ def test_a_large_group_of_near_copies_costs_in_proportion(spark, monkeypatch):
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert {r.component_id for r in got} == {0}
     assert sum(placed) < 4 * len(rows)  # all pairs of 28 leaves would send each row 28 times
+
+
+def test_buckets_follow_the_first_batch_and_stay(spark, monkeypatch):
+    assert (buckets_for(0), buckets_for(10**6), buckets_for(5 * 10**9)) == (32, 32, 10_000)
+    assert buckets_for(10**12) == 100_000
+    monkeypatch.setattr("tabulon.llm.digest_index.BUCKET_ROWS", 2)
+    monkeypatch.setattr("tabulon.llm.digest_index.LEAST_BUCKETS", 1)
+    made = DigestIndex(spark, "digests_buckets")
+    made.drop()
+    try:
+        rows = [(i, f"text {i}", None, None, 1) for i in range(5)]
+        deduplicate(spark.createDataFrame(rows, DOCS), made)
+        assert made.buckets == 10
+        # Another session's handle appends to the same buckets.
+        later = DigestIndex(spark, "digests_buckets", buckets=3)
+        more = [(i, f"text {i}", None, None, 1) for i in range(3, 40)]
+        got = {r.doc_id: r.kept for r in deduplicate(spark.createDataFrame(more, DOCS), later).collect()}
+        assert got == {i: i >= 5 for i in range(3, 40)}
+        assert later.buckets == 10 and later.read().count() == 40
+    finally:
+        made.drop()

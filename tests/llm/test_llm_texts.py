@@ -1,6 +1,7 @@
 """BPE, classifiers, licences, quotes and mixing."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -211,3 +212,59 @@ def test_mixing_without_repeats_of_soft_members(spark):
     assert (kept[1] / kept[0]) / (whole[1] / whole[0]) == pytest.approx(0.5, rel=1e-2)
     mixed = [r.doc_id for r in mixing.mix(docs, model).collect()]
     assert len(set(mixed)) == len(mixed) > 300
+
+
+GPL = "This program is free software{a} you can redistribute it and/or modify\n# it under the terms of the GNU {name} as published by\n# the Free Software Foundation{b} either version {v} of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU {name} for more details."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (GPL.format(a=":", b=",", v=3, name="General Public License"), "GPL-3.0"),
+        (GPL.format(a=";", b=";", v=2, name="General Public License"), "GPL-2.0"),
+        (GPL.format(a=":", b=",", v=3, name="Affero General Public License"), "AGPL-3.0"),
+        (GPL.format(a=":", b=",", v=3, name="Lesser General Public License"), "LGPL-3.0"),
+        (GPL.format(a=";", b=";", v="2.1", name="Lesser General Public License").replace("program", "library"), "LGPL-2.1"),
+        (MPL, "MPL-2.0"),
+        ("// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;", "LGPL-2.1"),
+        ("Free software is a fine thing. This library is free software.", ""),
+    ],
+)
+def test_license_headers(spark, text, want):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.licenses for r in license_rules.scan_licenses(docs).collect()] == [want]
+
+
+def test_known_sentences_hold_no_end_mark():
+    """The scan cuts at end marks, so a sentence with one inside could never be found."""
+    for sentences in license_rules.SENTENCES.values():
+        assert not any(re.search(r"[.!?;:]+\s", s) for s in sentences)
+    assert {n for _, names in license_rules.RULES for n in names} <= set(license_rules.SENTENCES)
+
+
+def test_a_quoted_sentence_links_however_it_is_wrapped(spark):
+    long = "The index grows with the data. Merging it takes\nan hour on the old machines! We should look into that."
+    rows = [
+        (1, 0, "user", long),
+        (1, 1, "assistant", "Some words that nobody quotes at all."),
+        (1, 2, "user", "> Merging it takes an hour on the old\n> machines!\nWhich ones?"),
+        (1, 3, "assistant", "> We should look into that.\nYes."),
+        (1, 4, "user", "> We should.\nNo link: too short, and nobody said it."),
+        (1, 5, "user", "> Merging it takes an hour. We should look into that.\nHalf of it was said."),
+        (2, 0, "user", "> We should look into that.\nAnother conversation."),
+    ]
+    got = quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == {
+        (1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): None, (1, 5): 0, (2, 0): None
+    }
+
+
+@pytest.mark.parametrize("text", ["", "One two. Three four five! six", 'He said "go now, please." Then he left. Ok.', "a b c\nd e f.\n\ng h i"])
+def test_sentences_of_passages(text):
+    found = dict(quotation.passages(text.split("\n")))
+    for paragraph in text.split("\n\n"):
+        for sentence in re.split(r"(?<=[.!?])\s+|(?<=[.!?][\"])\s+", " ".join(paragraph.split())):
+            words = sentence.lower().split()
+            if len(words) >= quotation.LEAST_LINE_WORDS:
+                assert found[quotation._hash(words)] == len(words)
