@@ -10,6 +10,7 @@ document may repeat, every rate is kept at 1 or less, in the fit and in the mix.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,7 @@ class MixingModel:
     tables: dict[str, list[list[float]]]  # feature: per domain, per bin
     steps: tuple[tuple[float, ...], ...] = ()
     most: float | None = None  # the largest rate; None: any
+    miss: float = 0.0  # largest miss of a domain's target, as a share of the domain's tokens
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """Adds __p0, __p1, ... to rows with features."""
@@ -126,7 +128,8 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
     tokens if documents may repeat. Else no rate exceeds 1, and the budget begins at the most
     for which no domain needs repeats; documents with a share in several domains may keep
     that out of reach, so it is lowered to what the shortest domain gets until all fit. The
-    step is measured per token, so its largest curvature is 1 and a step of 1 is safe.
+    step is measured per token, so its largest curvature is 1 and a step of 1 is safe. A fit
+    that has not met its targets after STEPS steps is returned with its ``miss`` and a warning.
     """
     count = range(len(weights))
     if not repeat:
@@ -144,19 +147,25 @@ def fit_rates(members: DataFrame, model: MixingModel, weights: list[float], repe
     steps: list[tuple[float, ...]] = []
     table, done = members.withColumn("__rate", F.lit(1.0)), 0
     before: list[float] = []
-    for _ in range(STEPS):
+    largest = 0.0
+    # The last round takes no step; it measures what the one before has reached.
+    for tried in range(STEPS + 1):
         totals = sums(table, model.rate(F.col("__rate"), steps[done:]))
         if not repeat and before and max(abs(totals[k] - before[k]) / natural[k] for k in held) < STALLED:
             reached = min(totals[k] / targets[k] for k in held if targets[k] > 0)
             targets = [t * reached if 0 < reached < 1 else t for t in targets]
         before = totals
         miss = [(totals[k] - targets[k]) / natural[k] if k in held else 0.0 for k in count]
-        if max(abs(m) for m in miss) < TOLERANCE:
+        largest = max(abs(m) for m in miss)
+        if largest < TOLERANCE:
+            break
+        if tried == STEPS:
+            warnings.warn(f"mixing: a domain misses its target by {largest:.2%} of its tokens after {STEPS} steps", stacklevel=2)
             break
         steps.append(tuple(miss))
         if len(steps) - done == 12:
             table, done = materialise(table.withColumn("__rate", model.rate(F.col("__rate"), steps[done:]))), len(steps)
-    return replace(model, steps=tuple(steps))
+    return replace(model, steps=tuple(steps), miss=largest)
 
 
 def fit_mixing(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -268,3 +269,31 @@ def test_sentences_of_passages(text):
             words = sentence.lower().split()
             if len(words) >= quotation.LEAST_LINE_WORDS:
                 assert found[quotation._hash(words)] == len(words)
+
+
+def test_mixing_steps_equal_a_plain_fit_and_a_miss_is_reported(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["sun", "tree", "walk", "house", "blue", "river"]
+    texts = [" ".join(rng.choice(words) + rng.choice("abcd") for _ in range(rng.randint(5, 90))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t if i % 3 else t.upper(), None, None) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, "b" if (i % 3 == 0) ^ (i % 7 == 0) else "a") for i in range(300)], "doc_id long, domain string")
+    weights = {"a": 0.3, "b": 0.7}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        model, members = mixing.fit_mixing(docs, labels, weights)
+    assert model.miss < mixing.TOLERANCE
+    rows = members.withColumn("rate", model.rate()).collect()
+    p = np.array([[r["__p0"], r["__p1"]] for r in rows])
+    tokens, rate = np.array([r["__tokens"] for r in rows], float), np.ones(len(rows))
+    natural = tokens @ p
+    targets = natural.sum() * np.array([0.3, 0.7])
+    while True:
+        miss = ((tokens * rate) @ p - targets) / natural
+        if np.abs(miss).max() < mixing.TOLERANCE:
+            break
+        rate = np.maximum(rate - p @ miss, 0)
+    assert np.allclose([r.rate for r in rows], rate, rtol=1e-9, atol=1e-9)
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    with pytest.warns(UserWarning, match="misses its target"):
+        short, _ = mixing.fit_mixing(docs, labels, weights)
+    assert short.miss >= mixing.TOLERANCE and len(short.steps) == 2
