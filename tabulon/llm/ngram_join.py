@@ -432,9 +432,9 @@ def _check_heads(percent: int):
     return run
 
 
-def _head_links(whole: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+def _head_links(whole: DataFrame, heads: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Exact links of each set with its head, (node, head); a head's set goes to each block of its sets."""
-    crowd = heads.groupBy("head").agg(F.count(F.lit(1)).alias("held"))
+    crowd = scratch.keep(heads.groupBy("head").agg(F.count(F.lit(1)).alias("held")))
     total = heads.count()
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LEAF_POINTS)).cast("long")
     asked = attach_groups(heads, crowd, ["head"], "held", total).select("node", "head", block.alias("block"))
@@ -448,6 +448,11 @@ def _component_of(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.join(found, "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """(a, b): each node and its component, which connect as much as the links they come from."""
+    return found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) document ids that connect every pair at the threshold, over one row per set.
 
@@ -471,13 +476,13 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
         .select("subtree", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "point",
                 F.col("one").alias("print_a"), F.col("two").alias("print_b"))
     )
-    near = scratch.keep(_near_heads(runs, points, percent))
-    tried = _component_of(points, components(near.select(F.col("node").alias("a"), F.col("head").alias("b"))), "known")
+    near = scratch.keep(_near_heads(runs, points, percent, scratch))
+    joined = components(near.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    tried = scratch.keep(_component_of(points, joined, "known"))
     # What the bound connects; only its sets are needed.
-    found = _search_tree(scratch.keep(tried), percent, scratch)
+    found = _search_tree(tried, percent, scratch)
     parts = scratch.keep(
-        components(found.unionByName(near.select(F.col("node").alias("a"), F.col("head").alias("b"))))
-        .select("node", F.col("component").alias("part"))
+        components(found.unionByName(_stars(joined))).select("node", F.col("component").alias("part"))
     )
     wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(parts))
     sets = (
@@ -489,13 +494,13 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
     whole = scratch.keep(sets.join(placed, ["node", "print_a", "print_b"]).dropDuplicates(["node"]))
     # A node has no more heads than keys.
     best = F.slice(F.sort_array(F.collect_set(F.struct("share", "head")), asc=False), 1, HEADS)
-    heads = near.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.head").alias("head"))
-    checked = scratch.keep(_head_links(whole, heads, percent))
-    compared = _component_of(whole, components(checked), "known")
-    return _search_tree(scratch.keep(compared), percent, scratch).unionByName(checked)
+    heads = scratch.keep(near.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.head").alias("head")))
+    checked = components(_head_links(whole, heads, percent, scratch))
+    compared = scratch.keep(_component_of(whole, checked, "known"))
+    return _search_tree(compared, percent, scratch).unionByName(_stars(checked))
 
 
-def _near_heads(runs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _near_heads(runs: DataFrame, points: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, head, share) for the runs' links that the bound of the points allows.
 
     ``share`` is the bound of the similarity. Links are by print, of which a few ids may share
@@ -504,9 +509,9 @@ def _near_heads(runs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     sides = points.select("node", "n", "point", "print_a")
     total = runs.count()
     crowd = runs.groupBy("b").agg(F.sum(F.lit(1)).alias("held"))
-    heads = crowd.join(sides.withColumnRenamed("print_a", "b"), "b").select(
+    heads = scratch.keep(crowd.join(sides.withColumnRenamed("print_a", "b"), "b").select(
         "b", "held", F.col("node").alias("head"), F.col("n").alias("n_2"), F.col("point").alias("point_2")
-    )
+    ))
     asked = runs.select("a", "b").join(sides.withColumnRenamed("print_a", "a"), "a")
     met = attach_groups(asked, heads, ["b"], "held", total).where("node <> head")
     shared = _minima("point", "point_2")
