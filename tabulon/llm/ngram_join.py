@@ -8,10 +8,13 @@ cannot reach the threshold fall away before any set is compared.
 Points of unrelated texts all lie about equally far apart, so boxes over the whole corpus
 would prune nothing. The upper levels of the tree are therefore cut by the same groups: if
 two sets differ in at most d shingles, then of d + 1 groups one has the same content in
-both. Each set has one 64-bit key per group (within its band of sizes); sets that share
-a key fall into one subtree. Boxes and points split a subtree into parts that the bound
+both. Each set has one 64-bit key per group (within its band of sizes); the sets that share
+a key are a run, and fall into one subtree. Boxes and points split a subtree into parts that the bound
 connects, and only the sets of such parts are built and compared. All steps are lossless.
 Equal sets are one point, whatever their number.
+
+The 32 counts of long texts are alike by chance. So a point also has the parities of the counts
+of as many groups as its set has shingles, or more: where two parities differ, the sets do.
 """
 
 from __future__ import annotations
@@ -138,20 +141,46 @@ def _point(values: np.ndarray) -> np.ndarray:
     return np.bincount((values & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def _parity(values: np.ndarray) -> bytes:
+    """Parities of the counts in a power of two of groups, one or two a shingle (64 at least)."""
+    width = max(64, 1 << (len(values) - 1).bit_length()) if len(values) else 64
+    counts = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities for fewer groups: 64 * ``words`` of them."""
+    if parities.shape[1] == words:
+        return parities
+    return np.bitwise_xor.reduce(parities.reshape(len(parities), -1, words), axis=1)
+
+
+def _rows_of(parities) -> np.ndarray:
+    """Parities of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(parities), "<u8").reshape(len(parities), -1)
+
+
+def _differing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many shingles the sets of two rows of parities differ at least."""
+    words = min(one.shape[1], other.shape[1])
+    return np.bitwise_count(_folded(one, words) ^ _folded(other, words)).sum(1, dtype=np.int64)
+
+
 def _prints(words: int):
     def run(batches):
         for batch in batches:
-            n, one, two, point = [], [], [], []
+            n, one, two, point, parity = [], [], [], [], []
             for _, values in shingle_sets(batch.column(1), words):
                 a, b = _print(values)
-                n.append(len(values)), one.append(a), two.append(b), point.append(_point(values))
+                n.append(len(values)), one.append(a), two.append(b), point.append(_point(values)), parity.append(_parity(values))
             flat = pa.array(np.concatenate(point) if point else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * GROUPS), flat),
+                    pa.array(parity, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "one", "two", "point"],
+                ["doc_id", "n_shingles", "one", "two", "point", "parity"],
             )
     return run
 
@@ -184,20 +213,20 @@ def _pairs(keys, nodes):
 
 
 def _run_links(batches):
-    """(node, first node of the run) over rows sorted by key; runs may cross batches."""
-    last_key, root = None, None
+    """(key, node, first node of the run) over rows sorted by key and node, a node once a run; runs may cross batches."""
+    last_key, last_node, root = None, None, None
     for batch in batches:
         key, node = (np.asarray(batch.column(k)) for k in (0, 1))
         if not len(key):
             continue
         new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
+        again = np.concatenate(([last_node is not None and node[0] == last_node], node[1:] == node[:-1])) & ~new
         first = np.where(new, node, 0)
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         roots = np.where(at >= 0, first[np.maximum(at, 0)], root if root is not None else 0)
-        linked = node != roots
-        last_key, root = key[-1], roots[-1]
-        found = np.unique(np.stack((node[linked], roots[linked]), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        linked = (node != roots) & ~again
+        last_key, last_node, root = key[-1], node[-1], roots[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[linked]) for x in (key, node, roots)], ["key", "a", "b"])
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -256,18 +285,32 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def tree_links(ids, sizes, points, sets, side, percent: int, known=None) -> list[tuple[int, int]]:
+def _by_width(parities) -> tuple[np.ndarray, dict[int, tuple[int, np.ndarray]]]:
+    """Words of each of the rows, which come by size, and per width the first row so wide with the
+    parities of all from there on, folded to it."""
+    widths = np.array([len(p) // 8 for p in parities])
+    out, wider = {}, None
+    for words in np.unique(widths)[::-1].tolist():
+        first, end = np.searchsorted(widths, [words, words + 1]).tolist()
+        own = _rows_of(parities[first:end])
+        wider = own if wider is None else np.concatenate((own, _folded(wider, words)))
+        out[words] = first, wider
+    return widths, out
+
+
+def tree_links(ids, sizes, points, sets, side, percent: int, known=None, parities=None) -> list[tuple[int, int]]:
     """Links that connect what is connected at the threshold, from boxes down to sets.
 
     Pairs already connected, by a found link or because they are ``known`` to be in one
     component, are not compared. ``side`` is None for all pairs, else only pairs across it
-    count. Without ``sets`` the bound of the points decides.
+    count. Without ``sets`` the bounds of the points and their ``parities`` decide.
     """
     order = np.lexsort((points[:, 0], sizes))
     sizes, points = sizes[order].astype(np.int64), points[order].astype(np.int64)
     ids = [ids[k] for k in order]
     sets = None if sets is None else [np.asarray(sets[k]).view(np.uint64) for k in order]
     side = None if side is None else np.asarray(side)[order]
+    widths, folded = _by_width([parities[k] for k in order]) if parities is not None else (None, None)
     parent = list(range(len(ids)))
     if known is not None:
         first: dict = {}
@@ -298,7 +341,13 @@ def tree_links(ids, sizes, points, sets, side, percent: int, known=None) -> list
                 later = later[side[later] != side[a]]
             minima = np.minimum(points[a], points[later]).sum(1)
             fits = (minima * whole >= need * (sizes[a] + sizes[later])) & (sizes[a] * 100 >= sizes[later] * percent)
-            for b in later[fits][np.argsort(-minima[fits], kind="stable")]:
+            later, minima = later[fits], minima[fits]
+            if folded and len(later):
+                first, rows = folded[int(widths[a])]
+                apart = np.bitwise_count(rows[later - first] ^ rows[a - first]).sum(1, dtype=np.int64)
+                fits = apart * whole <= (100 - percent) * (sizes[a] + sizes[later])
+                later, minima = later[fits], minima[fits]
+            for b in later[np.argsort(-minima, kind="stable")]:
                 x, y = root(a), root(int(b))
                 if x == y:
                     continue
@@ -315,7 +364,7 @@ def _search(percent: int):
             links += tree_links(
                 rows["node"].tolist(), rows["n"].to_numpy(), np.stack(rows["point"].to_numpy()),
                 rows["shingles"].tolist() if "shingles" in rows else None,
-                None if one == other else rows["leaf"].to_numpy(), percent, rows["known"].to_numpy(),
+                None if one == other else rows["leaf"].to_numpy(), percent, rows["known"].to_numpy(), rows["parity"].tolist(),
             )
         return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
     return run
@@ -372,13 +421,14 @@ def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
 
 
 def _search_tree(points: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b) links between components of a subtree, of (subtree, known, node, n, point and perhaps shingles).
+    """(a, b) links between components of a subtree, of (subtree, known, node, n, point, parity and perhaps shingles).
 
     ``known`` is the component a node is already in. A large component is cut into leaves of
     its own; small ones share leaves, cut by size. Leaves hold about LEAF_POINTS points or
-    LEAF_SHINGLES shingles; a task gets two leaves whose boxes may hold a link, or one.
+    LEAF_SHINGLES shingles, and a subtree of no more is one leaf; a task gets two leaves whose
+    boxes may hold a link, or one.
     """
-    columns = [c for c in ("known", "node", "n", "point", "shingles") if c in points.columns]
+    columns = [c for c in ("known", "node", "n", "point", "parity", "shingles") if c in points.columns]
 
     def leaves_of(rows):
         weight = F.sum("n") / LEAF_SHINGLES if "shingles" in columns else F.lit(0.0)
@@ -386,13 +436,18 @@ def _search_tree(points: DataFrame, percent: int, scratch: Scratch) -> DataFrame
 
     total = points.count()
     known = scratch.keep(
-        points.groupBy("subtree", "known").agg(F.count(F.lit(1)).alias("rows"), leaves_of(F.count(F.lit(1))).alias("parts"))
+        points.groupBy("subtree", "known").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), leaves_of(F.count(F.lit(1))).alias("parts"))
         .withColumn("unit", F.when(F.col("parts") > 1, F.col("known")).otherwise(F.lit(-1).cast("long")))
     )
+    trees = scratch.keep(known.groupBy("subtree").agg(F.count(F.lit(1)).alias("held"), leaves_of(F.sum("rows")).alias("leaves")))
+    known = scratch.keep(
+        attach_groups(known, trees, ["subtree"], "held", known.count())
+        .select("subtree", "known", "rows", "unit", (F.col("leaves") == 1).alias("single"))
+    )
     # Sizes are cut by bands of a fixed ratio, and a band by hashes into as many leaves as it needs.
     band = F.floor(F.log(F.col("n").cast("double")) * 8).cast("long")
-    in_units = attach_groups(points, known.drop("parts"), ["subtree", "known"], "rows", total).drop("rows").withColumn(
-        "band", F.when(F.col("unit") < 0, band).otherwise(F.lit(0).cast("long"))
+    in_units = attach_groups(points, known, ["subtree", "known"], "rows", total).drop("rows").withColumn(
+        "band", F.when((F.col("unit") < 0) & ~F.col("single"), band).otherwise(F.lit(0).cast("long"))
     )
     parts = scratch.keep(
         in_units.groupBy("subtree", "unit", "band").agg(F.count(F.lit(1)).alias("rows"), leaves_of(F.count(F.lit(1))).alias("leaves"))
@@ -456,30 +511,31 @@ def _stars(found: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) document ids that connect every pair at the threshold, over one row per set.
 
-    The bound of the points connects each set with the first of its runs of equal keys; the
-    components of that are then searched for pairs across them. With the sets in hand the
+    The bounds of the points connect each set with the first of its runs of equal keys; runs
+    that this leaves in several components are then searched for pairs across them. With the sets in hand the
     same is done exactly: each set is checked against its nearest heads, and what that connects is
     compared only with what it does not connect. So a large group of near copies costs
     about one comparison a member.
     """
     key = ["n_shingles", "one", "two"]
-    runs = scratch.keep(
+    keyed = scratch.keep(
         docs.select("text").mapInArrow(_keys(words, percent), "key long, node long")
         .repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(_run_links, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        .mapInArrow(_run_links, "key long, a long, b long")
     )
-    subtrees = components(runs)
-    chosen = classes.join(subtrees.select(F.col("node").alias("one"), F.col("component").alias("subtree")), "one")
-    chosen = chosen.select(*key, F.col("least_id").alias("doc_id"), "subtree")
+    runs = scratch.keep(keyed.select("a", "b").distinct())
+    sharing = runs.select(F.explode(F.array("a", "b")).alias("one")).distinct()
+    chosen = classes.join(sharing, "one").select(*key, F.col("least_id").alias("doc_id"))
     points = scratch.keep(
         prints.join(chosen, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
-        .select("subtree", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "point",
+        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "point", "parity",
                 F.col("one").alias("print_a"), F.col("two").alias("print_b"))
     )
     near = scratch.keep(_near_heads(runs, points, percent, scratch))
     joined = components(near.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    tried = scratch.keep(_component_of(points, joined, "known"))
-    # What the bound connects; only its sets are needed.
+    members = _run_members(keyed, points, scratch)
+    tried = scratch.keep(_subtrees(members, joined, scratch).join(points.drop("print_a", "print_b"), "node"))
+    # What the bounds connect; only its sets are needed.
     found = _search_tree(tried, percent, scratch)
     parts = scratch.keep(
         components(found.unionByName(_stars(joined))).select("node", F.col("component").alias("part"))
@@ -489,7 +545,7 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
         docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
         .mapInArrow(_sets(words, wanted), "node long, print_a long, print_b long, shingles array<long>")
     )
-    placed = points.drop("subtree").join(parts, "node").withColumnRenamed("part", "subtree")
+    placed = points.join(parts, "node").withColumnRenamed("part", "subtree")
     # Copies of a row share all of these; the join drops what only the filter let through.
     whole = scratch.keep(sets.join(placed, ["node", "print_a", "print_b"]).dropDuplicates(["node"]))
     # A node has no more heads than keys.
@@ -500,23 +556,85 @@ def _links(docs: DataFrame, prints: DataFrame, classes: DataFrame, words: int, p
     return _search_tree(compared, percent, scratch).unionByName(_stars(checked))
 
 
+def _run_members(keyed: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node) of the runs to search; runs of the same sets, of which near copies have many, are one.
+
+    A run of two is its head and a set checked against it, so nothing is left to compare.
+    """
+    hashes = [F.bit_xor(F.xxhash64("a")).alias("one"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("two")]
+    whole = keyed.groupBy("key").agg(F.min("b").alias("head"), F.count(F.lit(1)).alias("held"), *hashes).where("held > 1")
+    once = scratch.keep(whole.groupBy("head", "held", "one", "two").agg(F.min("key").alias("key")).select("key", "head", "held"))
+    others = attach_groups(keyed.select("key", F.col("a").alias("print_a")), once.select("key", "held"), ["key"], "held", keyed.count())
+    members = others.select("key", "print_a").unionByName(once.select("key", F.col("head").alias("print_a")))
+    return members.join(points.select("print_a", "node"), "print_a").select("key", "node").distinct()
+
+
+def _subtrees(members: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """(subtree, node, known) of the runs with sets of several components, in which all that is left to link is.
+
+    A subtree is a run, or what such runs connect, if that has fewer pairs than its runs have together.
+    """
+    count = F.count(F.lit(1))
+    named = scratch.keep(_component_of(members, joined, "known"))
+    several = named.groupBy("key").agg(count.alias("held"), F.min("known").alias("least"), F.max("known").alias("most"))
+    several = scratch.keep(several.where("least < most").drop("most"))
+    left = scratch.keep(attach_groups(named, several, ["key"], "held", named.count()))
+    nodes = scratch.keep(left.groupBy("node", "known").agg(count.alias("runs"), F.sum("held").alias("pairs")))
+    # One row per component of linked sets, and what the runs connect these to.
+    parts = nodes.groupBy("known").agg(count.alias("nodes"), F.sum("runs").alias("rows"), F.sum("pairs").alias("pairs"))
+    whole = components(left.select(F.col("known").alias("a"), F.col("least").alias("b")))
+    parts = scratch.keep(parts.join(whole.withColumnRenamed("node", "known"), "known"))
+    trees = scratch.keep(
+        parts.groupBy("component").agg(count.alias("held"), (F.sum("nodes").cast("double") * F.sum("nodes") <= F.sum("pairs")).alias("merged"))
+    )
+    parts = scratch.keep(attach_groups(parts, trees, ["component"], "held", parts.count()))
+    merged = parts.where("merged").select("known", "component", "nodes")
+    apart = parts.where("NOT merged").select("known", "rows")
+    out = ["subtree", "node", "known"]
+    return (
+        attach_groups(nodes, merged, ["known"], "nodes", nodes.count()).withColumnRenamed("component", "subtree").select(*out)
+        .unionByName(attach_groups(left, apart, ["known"], "rows", left.count()).withColumnRenamed("key", "subtree").select(*out))
+    )
+
+
+def _check_parities(percent: int):
+    """(node, head, share) of the pairs whose parities allow a link."""
+    def run(batches):
+        for batch in batches:
+            node, head, n, other = (np.asarray(batch.column(c)) for c in ("node", "head", "n", "n_2"))
+            mine, theirs = batch.column("parity").to_pylist(), batch.column("parity_2").to_pylist()
+            apart = np.zeros(len(n), np.int64)
+            alike: dict[tuple[int, int], list[int]] = {}
+            for k, (x, y) in enumerate(zip(mine, theirs, strict=True)):
+                alike.setdefault((len(x), len(y)), []).append(k)
+            for at in alike.values():
+                apart[at] = _differing(_rows_of([mine[k] for k in at]), _rows_of([theirs[k] for k in at]))
+            fits = apart * (100 + percent) <= (100 - percent) * (n + other)
+            share = (n + other - apart) / (n + other + apart)
+            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (node, head, share)], ["node", "head", "share"])
+    return run
+
+
 def _near_heads(runs: DataFrame, points: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, head, share) for the runs' links that the bound of the points allows.
+    """(node, head, share) for the runs' links that the bounds of points and parities allow.
 
-    ``share`` is the bound of the similarity. Links are by print, of which a few ids may share
+    ``share`` is the parities' bound of the similarity. Links are by print, of which a few ids may share
     one; heads with many links are sent to them by broadcast.
     """
-    sides = points.select("node", "n", "point", "print_a")
+    sides = points.select("node", "n", "point", "parity", "print_a")
     total = runs.count()
     crowd = runs.groupBy("b").agg(F.sum(F.lit(1)).alias("held"))
     heads = scratch.keep(crowd.join(sides.withColumnRenamed("print_a", "b"), "b").select(
-        "b", "held", F.col("node").alias("head"), F.col("n").alias("n_2"), F.col("point").alias("point_2")
+        "b", "held", F.col("node").alias("head"), F.col("n").alias("n_2"), F.col("point").alias("point_2"), F.col("parity").alias("parity_2")
     ))
     asked = runs.select("a", "b").join(sides.withColumnRenamed("print_a", "a"), "a")
     met = attach_groups(asked, heads, ["b"], "held", total).where("node <> head")
-    shared = _minima("point", "point_2")
-    share = shared / (F.col("n") + F.col("n_2") - shared)
-    return met.where(_bound(shared, F.col("n"), F.col("n_2"), percent)).groupBy("node", "head").agg(F.max(share).alias("share"))
+    allowed = met.where(_bound(_minima("point", "point_2"), F.col("n"), F.col("n_2"), percent))
+    return (
+        allowed.select("node", "head", "n", "n_2", "parity", "parity_2")
+        .mapInArrow(_check_parities(percent), "node long, head long, share double")
+        .groupBy("node", "head").agg(F.max("share").alias("share"))
+    )
 
 
 def ngram_jaccard_join(
@@ -533,11 +651,11 @@ def ngram_jaccard_join(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch()
     prints = materialise(
-        docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, one long, two long, point array<int>")
+        docs.mapInArrow(_prints(words), "doc_id long, n_shingles long, one long, two long, point array<int>, parity binary")
     )
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     key = ["n_shingles", "one", "two"]
-    rows = prints.where(usable).drop("point")
+    rows = prints.where(usable).drop("point", "parity")
     classes = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     links = _links(docs.where("doc_id IS NOT NULL"), prints.where(usable), classes, words, percent, scratch)
     # Rows that share an id but not a text connect their classes.

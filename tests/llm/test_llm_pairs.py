@@ -235,3 +235,30 @@ def test_buckets_follow_the_first_batch_and_stay(spark, monkeypatch):
         assert later.buckets == 10 and later.read().count() == 40
     finally:
         made.drop()
+
+
+def test_parities_never_claim_more_than_sets_differ():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 63, 64, 65, 500, 1025):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for drop, add in ((0, 0), (1, 0), (0, 1), (n // 9, n // 9), (n // 2, 0), (0, 3 * n + 70), (n, n)):
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64))))
+            one, other = (ngram_join._rows_of([ngram_join._parity(x)]) for x in (a, b))
+            apart = len(np.setxor1d(a, b))
+            assert ngram_join._differing(one, other)[0] <= apart
+            if len(a) >= 500 and drop == n == add:
+                assert ngram_join._differing(one, other)[0] > 0.2 * apart  # a threshold of 80 allows 0.111 of both
+
+
+def test_long_texts_with_a_common_passage_build_no_sets(spark, monkeypatch):
+    """Counts of long unrelated texts are alike; their sets were built and sent to many pairs of leaves."""
+    built, original = [], ngram_join._head_links
+    monkeypatch.setattr(ngram_join, "_head_links", lambda whole, *rest: built.append(whole.count()) or original(whole, *rest))
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(400)]
+    texts = [[f"w{rng.randint(0, 10**6)}" for _ in range(2000)] + passage for _ in range(30)]
+    texts.append(["other", *texts[7]])
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 30 else i for i in range(31)}
+    assert built == [2]
