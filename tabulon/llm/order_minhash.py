@@ -190,13 +190,14 @@ def with_next(
 
 
 def _count_up_to(x: Column, cuts: list) -> Column:
-    """How many of the ascending cuts are <= x, by halving."""
+    """How many of the ascending cuts are <= x, by halving. The cuts are named once, so the
+    expression grows with their number only."""
     if not cuts:
         return F.lit(0)
     ordered = F.array(*[F.lit(c) for c in cuts])
-    low = F.lit(0)
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step:  # low + step cuts are <= x if the last of them is
-        low = low + F.when(F.coalesce(F.get(ordered, low + step - 1) <= x, F.lit(False)), step).otherwise(0)
-        step //= 2
-    return low
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+    def halve(low, step):  # low + step cuts are <= x if the last of them is
+        return low + F.when(F.coalesce(F.get(ordered, low + step - 1) <= x, F.lit(False)), step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), halve)

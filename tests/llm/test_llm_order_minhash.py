@@ -1,5 +1,6 @@
 """Order MinHash against a plain version that sorts the k-mers anew for every slot."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -119,3 +120,13 @@ def test_query_over_the_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.op13_order_minhash(spark, folder)) == expected(rows)
+
+
+def test_many_ranges_need_a_small_expression(spark):
+    """As many ranges as 6 GB has: the cuts are in the plan once, not once per path of the halving."""
+    cuts = [*range(-7, 2200, 3)]
+    found = spark.range(-20, 2300).select("id", om._count_up_to(F.col("id"), cuts).alias("n"))
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert all(r["n"] == bisect.bisect_right(cuts, r["id"]) for r in found.collect())
+    doubles = spark.createDataFrame([(None,), (float("nan"),), (0.5,), (-1.0,)], "x double")
+    assert [r[0] for r in doubles.select(om._count_up_to(F.col("x"), [-1.0, 0.5, 2.0])).collect()] == [0, 3, 2, 1]
