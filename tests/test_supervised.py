@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabulon.operators import features, fold_features, folds, forest, metrics, perceptron, profile, supervised
+from tabulon.operators import features, fold_features, folds, forest, metrics, perceptron, profile, supervised, trees
 from tabulon.plans import catalogue
 
 
@@ -326,3 +328,87 @@ def test_registered_forests_have_the_operators_defaults(spark, monkeypatch, name
     with pytest.raises(Reached) as reached:
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert reached.value.args == (300, forest.MAX_DEPTH, want, {})
+
+
+def test_forests_take_few_jobs(spark, table):
+    """A tree is grown by one task, so the jobs do not grow with the depth of the trees."""
+    noise = F.pmod(F.xxhash64("age", "salary"), F.lit(97)).cast("double")
+    assembled = VectorAssembler(inputCols=["age", "salary"], outputCol="features").transform(table)
+    rows = assembled.select("features", noise.alias("noise"), F.monotonically_increasing_id().alias(supervised.ROW_ID))
+    for task, label in (("classification", F.col("noise") % 2), ("regression", F.col("noise"))):
+        estimator = forest.build_random_forest(task, n_estimators=20, handle_class_imbalance=False)
+        try:
+            spark.sparkContext.setJobGroup(f"forest {task}", "forest")
+            made = forest.fit_sub_forests(rows.withColumn(supervised.LABEL, label), estimator)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest {task}")) < 16
+        made.drop()
+
+
+def best_split(codes, label, weight, classes):
+    """(gain, feature, cut) by trying everything."""
+    def unlike(rows):
+        w = weight[rows].sum()
+        if classes:
+            return w - sum(weight[rows][label[rows] == c].sum() ** 2 for c in (0, 1)) / w
+        mean = (weight[rows] * label[rows]).sum() / w
+        return (weight[rows] * (label[rows] - mean) ** 2).sum()
+
+    every, found = np.ones(len(label), bool), (0.0, -1, 0)
+    for f in range(codes.shape[1]):
+        for cut in range(codes[:, f].max()):
+            left = codes[:, f] <= cut
+            if left.any() and not left.all():
+                gain = unlike(every) - unlike(left) - unlike(~left)
+                if gain > found[0] + 1e-9:
+                    found = (gain, f, cut)
+    return found
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_a_tree_equals_brute_force(classes):
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 6, (70, 3)), axis=0).astype(np.uint8)
+    label = rng.integers(0, 2, len(codes)).astype(float) if classes else rng.normal(0, 3, len(codes))
+    weight = rng.integers(1, 4, len(codes)).astype(float)
+    stats = [weight * (label == 0), weight * (label == 1)] if classes else [weight, weight * label, weight * label**2]
+    made = trees.grow_tree(codes, stats, classes, 6, 3, 30, rng)
+    gains = np.zeros(3)
+
+    def walk(node, rows):
+        gain, f, cut = best_split(codes[rows], label[rows], weight[rows], classes)
+        if made.feature[node] < 0:  # a leaf, or leaves merged as they say the same
+            if classes and gain:
+                assert len({float(s) for s in np.argmax(made.scores(codes[rows]), axis=1)}) == 1
+            return
+        assert (made.feature[node], made.cut[node]) == (f, cut)
+        gains[f] += gain
+        left = codes[rows][:, f] <= cut
+        walk(made.child[node], rows[left])
+        walk(made.child[node] + 1, rows[~left])
+
+    walk(0, np.arange(len(codes)))
+    assert made.importances == pytest.approx(gains / gains.sum())
+    scores = made.scores(codes)
+    if classes:
+        assert (np.argmax(scores, axis=1) == label).all()
+    else:
+        assert scores[:, 0] == pytest.approx(label)
+
+
+def test_cuts_and_bins():
+    values = np.array([1.0, 1, 1, 2, 4, 4, 8])
+    assert trees.cut_points(values, 1, 8, 32).tolist() == [1.5, 3, 6]
+    assert trees.cut_points(np.zeros(5), 0, 1, 32).tolist() == [0.5]  # the sample missed the other value
+    assert trees.cut_points(np.zeros(5), 0, 0, 32).tolist() == []
+    many = trees.cut_points(np.arange(1000.0), 0, 999, 32)
+    assert len(many) == 31 and np.bincount(np.searchsorted(many, np.arange(1000.0))).max() <= 33
+    bins = trees.Bins.of([many] * 30 + [np.empty(0)])  # more than a long holds
+    rows = np.random.default_rng(2).integers(0, 1000, (50, 31)).astype(float)
+    longs = [trees._packed(bins, i, pd.Series(list(rows))).to_numpy() for i in range(bins.longs)]
+    assert bins.longs == 3
+    want = np.stack([np.searchsorted(c, rows[:, f]) for f, c in enumerate(bins.cuts)], axis=1)
+    assert (bins.codes(longs) == want).all()
+    cells, number = trees._distinct([np.concatenate([x, x]) for x in longs])
+    assert (number[:50] == number[50:]).all() and all((c[number[:50]] == x).all() for c, x in zip(cells, longs))
