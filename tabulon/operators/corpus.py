@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 import zipfile
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
@@ -26,8 +31,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import text as tx
 from tabulon.functions import values as vx
 from tabulon.operators.distinct import distinct_counts
-from tabulon.operators.quantiles import exact_quantiles
-from tabulon.session import materialise, persisted, spread
+from tabulon.session import materialise, persisted, ship_package, spread
 
 
 def stop_word_list(stop_words: str | Sequence[str] | None) -> list[str]:
@@ -77,26 +81,23 @@ def _exploded(df, array, name, *others):
 
 def corpus_statistics(df: DataFrame, column: str) -> DataFrame:
     """Document counts and lengths on the texts as they are. One row."""
-    docs = documents(df, column).withColumn("words", tx.word_count(F.col("text")))
-    words = F.col("words")
-    row = docs.agg(
-        F.count("*").alias("n"),
-        F.avg(words).alias("mean"),
-        F.min(words).alias("low"),
-        F.max(words).alias("high"),
-        F.avg(tx.char_count(F.col("text"))).alias("chars"),
-    ).first()
-    if not row["n"]:
+    texts = documents(df, column)
+    # Few distinct word counts: their sum is at most that of all words.
+    sizes = sorted(
+        texts.groupBy(tx.word_count(F.col("text")).alias("words"))
+        .agg(F.count("*").alias("n"), F.sum(tx.char_count(F.col("text")).cast("long")).alias("chars")).collect()
+    )
+    if not sizes:
         raise ValueError(f"Column '{column}' holds no usable text.")
-    # Word counts take few distinct values, so the median reads a small frequency table.
-    median = exact_quantiles(
-        docs, {"words": words}, [0.5], {"words": (row["n"], row["low"], row["high"])}
-    )["words"][0]
-    unique = distinct_counts(docs, {"text": F.col("text")})["text"]
+    total = sum(r["n"] for r in sizes)
+    below = np.cumsum([r["n"] for r in sizes])
+    low, high = (sizes[int(np.searchsorted(below, place, side="right"))]["words"] for place in ((total - 1) // 2, total // 2))
+    mean, chars = sum(r["words"] * r["n"] for r in sizes) / total, sum(r["chars"] for r in sizes) / total
+    unique = distinct_counts(texts, {"text": F.col("text")})["text"]
     return df.sparkSession.createDataFrame(
         [
-            (column, row["n"], unique, row["n"] - unique, row["mean"], median, row["low"],
-             row["high"], row["chars"])
+            (column, total, unique, total - unique, mean, (low + high) / 2, sizes[0]["words"],
+             sizes[-1]["words"], chars)
         ],
         "column_name string, document_count long, unique_documents long, "
         "duplicate_documents long, average_words double, median_words double, "
@@ -179,6 +180,91 @@ def ngrams(
     return top_terms(_exploded(runs, F.col("runs"), "ngram"), "ngram", top_n)
 
 
+#: Tokens that a task looks at together, about.
+SLICE_TOKENS = 1 << 20
+
+
+def _runs_of(batch: pa.RecordBatch, sizes: Sequence[int], counters: int):
+    """Per slice of texts and size: (number of the size, codes of the tokens, dictionary, first places, counters)."""
+    words = batch.column(0).drop_null()
+    ends = words.offsets.to_numpy()
+    begin = 0
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_TOKENS, side="right")) - 1)
+        held = words.slice(begin, end - begin)
+        lengths = np.diff(ends[begin:end + 1])
+        begin = end
+        coded = held.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        codes = coded.indices.to_numpy().astype(np.int64)
+        hashed = np.array([zlib.crc32(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[codes]
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # tokens from here to the end of the text
+        for i, n in enumerate(sizes):
+            first = np.flatnonzero(left >= n)
+            mixed = np.zeros(len(first), np.uint64)
+            for t in range(n):
+                mixed = (mixed ^ hashed[first + t]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            yield i, codes, coded.dictionary, first, (mixed % np.uint64(counters)).astype(np.int64)
+
+
+def _count_by_counter(sizes: Sequence[int], counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros((len(sizes), counters), np.int64)
+    for batch in batches:
+        for i, _, _, _, at in _runs_of(batch, sizes, counters):
+            totals[i] += np.bincount(at, minlength=counters)
+    i, at = np.nonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(totals[i, at])], names=["i", "counter", "n"])
+
+
+def _count_exactly(sizes: Sequence[int], kept: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, codes, dictionary, first, at in _runs_of(batch, sizes, kept.shape[1]):
+            first = first[kept[i][at]]
+            number = np.zeros(len(first), np.int64)
+            for t in range(sizes[i]):
+                _, number = np.unique(number * len(dictionary) + codes[first + t], return_inverse=True)
+            _, place, n = np.unique(number, return_index=True, return_counts=True)
+            parts = [dictionary.take(pa.array(codes[first[place] + t])) for t in range(sizes[i])]
+            term = pc.binary_join_element_wise(*parts, " ")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), term, pa.array(n)], names=["i", "term", "n"])
+
+
+def term_report(words: DataFrame, sizes: Sequence[int], top_n: int = 20, counters: int = COUNTERS) -> DataFrame:
+    """(size, term, frequency, place) of the most frequent runs of ``sizes`` words; ties ascending.
+
+    ``words`` holds arrays of tokens, best written once, as they are read twice or, for runs that
+    are all about equally rare, three times. As in ``top_terms``, all runs are counted by hash
+    and only those that may be listed exactly; here for all sizes at once, on numbered tokens.
+    """
+    if min(sizes, default=1) < 1:
+        raise ValueError("An n-gram holds one word or more.")
+    spark, sizes = words.sparkSession, list(sizes)
+    ship_package(spark)
+    words = words.select("words")
+    found = words.mapInArrow(partial(_count_by_counter, sizes, counters), "i int, counter int, n long")
+    found = found.groupBy("i", "counter").agg(F.sum("n").alias("n")).toArrow()  # one line per size and counter
+    totals = np.zeros((len(sizes), counters), np.int64)
+    totals[found.column("i").to_numpy(), found.column("counter").to_numpy()] = found.column("n").to_numpy()
+
+    def counted(kept):
+        """The first ``top_n`` (frequency, term) per size among the kept counters' terms."""
+        terms = words.mapInArrow(partial(_count_exactly, sizes, kept), "i int, term string, n long")
+        exact = materialise(terms.groupBy("i", "term").agg(F.sum("n").alias("n")))
+        return [exact.where(F.col("i") == i).orderBy(F.desc("n"), "term").limit(top_n).collect() for i in range(len(sizes))]
+
+    # A few counters per wanted place, as some hold many rare terms.
+    guess = np.maximum(np.sort(totals, axis=1)[:, ::-1][:, min(4 * top_n, counters) - 1], 1)
+    best = counted(totals >= guess[:, None])
+    floor = np.array([rows[-1]["n"] if len(rows) == top_n else 1 for rows in best])
+    rest = (totals >= floor[:, None]) & (totals < guess[:, None])
+    if rest.any():
+        best = [sorted([*a, *b], key=lambda r: (-r["n"], r["term"].encode()))[:top_n] for a, b in zip(best, counted(rest), strict=True)]
+    lines = [(n, r["term"], r["n"], place) for n, rows in zip(sizes, best, strict=True) for place, r in enumerate(rows, 1)]
+    return spark.createDataFrame(lines, "size int, term string, frequency long, place int")
+
+
 def vocabulary(
     df: DataFrame,
     column: str,

@@ -1,10 +1,13 @@
 import math
+import random
 import re
 import subprocess
 import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +183,31 @@ def test_top_terms_within_limits_and_empty(spark):
     got = corpus.top_terms(rows, "term", 2, F.sum("t"), {"df": F.sum("d")}, F.col("df") >= 2, 2).collect()
     assert [tuple(r) for r in got] == [("b", 5, 3), ("c", 5, 2)]
     assert corpus.top_terms(rows.limit(0), "term", 2, F.sum("t")).collect() == []
+
+
+def test_term_report_writes_no_rare_terms(spark, monkeypatch):
+    """Equal to counting everything, with few counters and small slices; rare runs are counted by hash only."""
+    rng = random.Random(4)
+    texts = [[rng.choice(["ab", "cd", "é", "x y"]) if rng.random() < 0.5 else f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60))] for _ in range(400)]
+    texts += [[], None, ["ab"], ["zz", "zz", "zz", "zz"] * 30]
+    words = spark.createDataFrame([(t,) for t in texts], "words array<string>").repartition(3)
+    counts = {n: Counter(" ".join(t[i : i + n]) for t in texts if t for i in range(len(t) - n + 1)) for n in (3, 1, 2, 200)}
+    want = [(n, w, c, i) for n in counts for i, (w, c) in enumerate(sorted(counts[n].items(), key=lambda p: (-p[1], p[0]))[:7], 1)]
+    written, real = [], corpus.materialise
+
+    def materialise(df):
+        written.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(corpus, "materialise", materialise)
+    for counters in (64, 4096):
+        got = corpus.term_report(words, list(counts), 7, counters)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert max(written[-1:]) < sum(map(len, counts.values())) / 4
+    monkeypatch.setattr(corpus, "SLICE_TOKENS", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts[5:], pa.list_(pa.string())).slice(7)], names=["words"])
+    found = Counter()
+    for made in corpus._count_exactly([2], np.ones((1, 16), bool), iter([batch])):
+        found.update(dict(zip(made.column("term").to_pylist(), made.column("n").to_pylist(), strict=True)))
+    assert found == Counter(" ".join(t[i : i + 2]) for t in texts[12:] if t for i in range(len(t) - 1))
+    assert corpus.term_report(words.limit(0), [1, 2], 7).count() == 0
