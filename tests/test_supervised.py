@@ -404,6 +404,8 @@ def test_cuts_and_bins():
     assert trees.cut_points(np.zeros(5), 0, 0, 32).tolist() == []
     many = trees.cut_points(np.arange(1000.0), 0, 999, 32)
     assert len(many) == 31 and np.bincount(np.searchsorted(many, np.arange(1000.0))).max() <= 33
+    heavy = trees.cut_points(np.concatenate([np.arange(1000.0), np.full(300, 500.0)]), 0, 999, 32)
+    assert len(heavy) == 31 and (heavy[heavy > 500][:3] == [500.5, 501.5, 502.5]).all()
     bins = trees.Bins.of([many] * 30 + [np.empty(0)])  # more than a long holds
     rows = np.random.default_rng(2).integers(0, 1000, (50, 31)).astype(float)
     longs = [trees._packed(bins, i, pd.Series(list(rows))).to_numpy() for i in range(bins.longs)]
